@@ -14,6 +14,10 @@ only carried.  An empty table gives an empty result, extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,38 +33,50 @@ SEQUENCE = 4096
 ID_BYTES = 4  # ids are little-endian unsigned 32-bit integers
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Remembered words, and the longest one that is remembered.
-MEMO_WORDS, MEMO_CHARS = 600_000, 64
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 48
+#: Lower case does not change these texts' ids: all characters are composed, and each has one lower-case form.
+_PLAIN = re.compile("[\x00-\u012f\u0131-\u02ff]*")
+
+
+def _worker_memory() -> dict:
+    """A dictionary that lasts as long as the Python worker, over its tasks."""
+    return sys.modules.setdefault("impactloom_worker_memory", types.ModuleType("impactloom_worker_memory")).__dict__
 
 
 def token_bytes(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as bytes, for tokenizers that never join across blanks.
+    """A function from a text to its ids as bytes, for tokenizers that lower-case and never join across blanks.
 
-    The tokenizer meets each word between blanks (space or newline) once and is asked for texts
-    with other white space or with characters that normalisation could change as a whole.
+    The tokenizer meets each word between blanks (space or newline) once, and lower case of texts
+    where that is sure to be the tokenizer's own.
     """
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    memo: dict[str, bytes] = {"": b""}
+    memory = _worker_memory()
+    if memory.get("path") != path:
+        memory.update(path=path, tokenizer=Tokenizer.from_file(path), words={"": b""})
+    tokenizer, memo = memory["tokenizer"], memory["words"]
 
     def encode(texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
+        parts = (text.lower() if _PLAIN.fullmatch(text) else text).replace("\n", " ").split(" ")
         try:
             return b"".join([memo[w] for w in parts])
         except KeyError:
             pass
-        new = [w for w in dict.fromkeys(parts) if w not in memo]
+        new = [w for w in set(parts) if w not in memo]
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
             memo[""] = b""
-            new = list(dict.fromkeys(parts))
-        known = dict(zip(new, encode(new), strict=True))
+            new = list(set(parts))
+        # A mark after letters is a piece of its own: such a word is its letters' ids, then the mark's.
+        marked = [w for w in new if len(w) > 1 and w[-1] in ",." and w[:-1].isalpha()]
+        plain = list({x for w in marked for x in (w[:-1], w[-1]) if x not in memo}.union(new).difference(marked))
+        known = dict(zip(plain, encode(plain), strict=True))
+        for w in marked:
+            known[w] = (known[w[:-1]] if w[:-1] in known else memo[w[:-1]]) + (known[w[-1]] if w[-1] in known else memo[w[-1]])
         memo.update((w, b) for w, b in known.items() if len(w) <= MEMO_CHARS)
         known[""] = b""
         return b"".join([known[w] if w in known else memo[w] for w in parts])
@@ -158,8 +174,8 @@ def pack(
         part = TaskContext.get().partitionId()
         state, encode = _Windows(part << 32, size, windows, min_cut), token_bytes(tokenizer)
         for batch in batches:
-            for i in range(batch.num_rows):
-                state.add(batch.column(0)[i].as_py(), encode(batch.column(1)[i].as_py() or "") + ending)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                state.add(doc, encode(text.as_py() or "") + ending)
                 if len(state.out) >= 20_000:
                     yield _table(state.out, [None] * len(state.out), part)
                     state.out = []
