@@ -36,6 +36,7 @@ _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 MEMO_WORDS, MEMO_CHARS = 1_000_000, 48
 #: Lower case does not change these texts' ids: all characters are composed, and each has one lower-case form.
 _PLAIN = re.compile("[\x00-\u012f\u0131-\u02ff]*")
+_LETTERS = re.compile("[a-z]+").fullmatch
 
 
 def _worker_memory() -> dict:
@@ -54,32 +55,48 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
 
     memory = _worker_memory()
     if memory.get("path") != path:
-        memory.update(path=path, tokenizer=Tokenizer.from_file(path), words={"": b""})
+        memory.update(path=path, tokenizer=Tokenizer.from_file(path), words={})
     tokenizer, memo = memory["tokenizer"], memory["words"]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    bpe = tokenizer.model
+
+    def learn(words: set[str]) -> None:
+        """A word of a-z is one piece, for which the model alone is asked; a mark behind it is the next piece."""
+        others = []
+        for w in words:
+            letters = w[:-1] if w[-1] in ",." else w
+            if not _LETTERS(letters):
+                others.append(w)
+                continue
+            if letters not in memo:
+                memo[letters] = np.asarray([t.id for t in bpe.tokenize(letters)], "<u4").tobytes()
+            if letters is not w:
+                memo[w] = memo[letters] + memo[w[-1]]
+        for w, x in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            memo[w] = np.asarray(x.ids, "<u4").tobytes()
+
+    def reset() -> None:
+        memo.clear()
+        memo[""] = b""
+        learn({" ,", " ."})
+        memo.update({",": memo.pop(" ,"), ".": memo.pop(" .")})
+
+    if not memo:
+        reset()
 
     def ids(text: str) -> bytes:
         parts = (text.lower() if _PLAIN.fullmatch(text) else text).replace("\n", " ").split(" ")
-        try:
-            return b"".join([memo[w] for w in parts])
-        except KeyError:
-            pass
-        new = [w for w in set(parts) if w not in memo]
+        new = set(parts).difference(memo)
         if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            memo[""] = b""
-            new = list(set(parts))
-        # A mark after letters is a piece of its own: such a word is its letters' ids, then the mark's.
-        marked = [w for w in new if len(w) > 1 and w[-1] in ",." and w[:-1].isalpha()]
-        plain = list({x for w in marked for x in (w[:-1], w[-1]) if x not in memo}.union(new).difference(marked))
-        known = dict(zip(plain, encode(plain), strict=True))
-        for w in marked:
-            known[w] = (known[w[:-1]] if w[:-1] in known else memo[w[:-1]]) + (known[w[-1]] if w[-1] in known else memo[w[-1]])
-        memo.update((w, b) for w, b in known.items() if len(w) <= MEMO_CHARS)
-        known[""] = b""
-        return b"".join([known[w] if w in known else memo[w] for w in parts])
+            reset()
+            new = set(parts).difference(memo)
+        if new:
+            learn(new)
+        out = b"".join(map(memo.__getitem__, parts))
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return out
 
     return ids
 
