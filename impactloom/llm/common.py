@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables of one operator, on the executors' disks until ``free``.
+
+    What is lost with an executor is computed again from its lineage.
+    """
+
+    def __init__(self) -> None:
+        self._kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def free(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
+from .common import Scratch, cut, join_small
 from .components import components
 from .text import shingles
 
@@ -148,11 +148,11 @@ def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
 class _Linker:
     def __init__(self, docs: DataFrame, text: str, key: str, k: int, percent: int) -> None:
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.scratch = k, percent, Scratch()
 
     def sketches(self) -> DataFrame:
         sets = self.docs.select("id", "text_hash", F.array_distinct(shingles(F.col("text"), self.k)).alias("shingles"))
-        return cut(sets.mapInArrow(_sketch, "id long, text_hash long, n long, set_id binary, regs binary"))
+        return self.scratch.keep(sets.mapInArrow(_sketch, "id long, text_hash long, n long, set_id binary, regs binary"))
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(set_id, n, shingles) of classes that bring id and text_hash."""
@@ -163,12 +163,12 @@ class _Linker:
         """Of pairs (a, b, na, nb) those that are linked, as (a, b)."""
         regs = classes.select("set_id", "regs")
         with_regs = pairs.join(regs.withColumnRenamed("set_id", "a").withColumnRenamed("regs", "ra"), "a").join(regs.withColumnRenamed("set_id", "b").withColumnRenamed("regs", "rb"), "b")
-        maybe = cut(with_regs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_plausible(self.percent), "a binary, b binary, na long, nb long"))
+        maybe = self.scratch.keep(with_regs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_plausible(self.percent), "a binary, b binary, na long, nb long"))
         ends = maybe.select(F.col("a").alias("set_id")).unionByName(maybe.select(F.col("b").alias("set_id"))).distinct()
-        sets = cut(self.sets(cut(classes.join(ends, "set_id", "left_semi").select("id", "text_hash", "set_id", "n"))).dropDuplicates(["set_id"]))
+        sets = self.scratch.keep(self.sets(self.scratch.keep(classes.join(ends, "set_id", "left_semi").select("id", "text_hash", "set_id", "n"))).dropDuplicates(["set_id"]))
         both = maybe.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return cut(both.where(shared * 100 >= F.lit(self.percent) * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
+        return self.scratch.keep(both.where(shared * 100 >= F.lit(self.percent) * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
 
     def near_size(self, na: str, nb: str) -> Column:
         return (F.col(na) * 100 >= F.col(nb) * self.percent) & (F.col(nb) * 100 >= F.col(na) * self.percent)
@@ -178,8 +178,8 @@ class _Linker:
         keys = F.array(*[F.xxhash64(F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS), F.lit(i)) for i in range(BANDS)])
         bands = classes.select("set_id", "n", F.explode(keys).alias("key"))
         counts = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        shared = cut(bands.join(counts, "key"))
-        crowd = cut(shared.where(F.col("members") > CROWD).select("set_id").distinct().withColumn("crowded", F.lit(True)))
+        shared = self.scratch.keep(bands.join(counts, "key"))
+        crowd = self.scratch.keep(shared.where(F.col("members") > CROWD).select("set_id").distinct().withColumn("crowded", F.lit(True)))
         few = shared.where(F.col("members") <= CROWD).join(crowd, "set_id", "left")
         listed = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("set_id", "n", F.coalesce("crowded", F.lit(False)).alias("crowded")))).alias("m"))
         pairs = (
@@ -201,10 +201,10 @@ class _Linker:
             .where(self.near_size("na", "nb"))
         )
         found = self.verified(pairs.unionByName(stars).distinct(), classes)
-        first = cut(components(found))
+        first = components(found)
         labelled = prefix.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         mixed = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-        left = cut(labelled.join(mixed, "shingle", "left_semi"))
+        left = self.scratch.keep(labelled.join(mixed, "shingle", "left_semi"))
         x = left.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("set_id", "n", "place", "component")])
         y = left.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("set_id", "n", "place", "component")])
         most = F.lit(1) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
@@ -219,14 +219,14 @@ class _Linker:
 
     def prefixes(self, crowd: DataFrame) -> DataFrame:
         """(set_id, n, shingle, place): the rare shingles that classes of the crowd must share one of."""
-        sets = cut(self.sets(cut(crowd.select("id", "text_hash", "set_id", "n"))).dropDuplicates(["set_id"]))
+        sets = self.scratch.keep(self.sets(self.scratch.keep(crowd.select("id", "text_hash", "set_id", "n"))).dropDuplicates(["set_id"]))
         each = sets.select("set_id", "n", F.explode("shingles").alias("shingle"))
         often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         # Shingles of one class only come first and match nothing: they are counted, not listed.
         known = each.join(often, "shingle").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
         length = F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100.0) - F.lit(1e-9)) + 1
         alone = F.col("n") - F.size("s")
-        return cut(
+        return self.scratch.keep(
             known.select("set_id", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("i", "x"))
             .select("set_id", "n", F.col("x.shingle").alias("shingle"), (F.col("i") + F.col("alone") + 1).alias("place"))
         )
@@ -241,16 +241,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     linker = _Linker(docs, text, key, k, percent)
     rows = linker.sketches()
     full = rows.where("n > 0")
-    classes = cut(
+    classes = linker.scratch.keep(
         full.groupBy("set_id", "n")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("r"), F.first("regs").alias("regs"))
         .select("set_id", "n", F.col("r.id").alias("id"), F.col("r.text_hash").alias("text_hash"), "regs")
     )
-    linked = cut(linker.links(classes))
+    linked = linker.links(classes)
     named = classes.select("set_id", "id").join(linked.withColumnRenamed("node", "set_id"), "set_id")
     names = named.groupBy("component").agg(F.min("id").alias("component_id"))
     of_set = named.join(names, "component").select("set_id", "component_id")
     alone = classes.select("set_id", "id").join(of_set, "set_id", "left").select("set_id", F.coalesce("component_id", "id").alias("component_id"))
     sets = full.select("id", "n", "set_id").join(alone, "set_id").select("id", "n", "component_id")
     every = sets.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return every.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    result = cut(every.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
+    linker.scratch.free()
+    return result
