@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("projections", "aggregates")
+MODULES = ("projections", "aggregates", "joins")
 
 
 def load() -> None:
