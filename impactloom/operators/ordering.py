@@ -34,9 +34,9 @@ def adaptive_cutoff(df: DataFrame, by: list[str], score: str, ties: list[str], n
     w = Window.partitionBy(*by)
     top = top_per_group(df, by, [F.col(score).desc(), *[F.col(t) for t in ties]], cap)
     ranked = top.withColumn("__r", F.row_number().over(w.orderBy(F.col(score).desc(), *ties)))
-    last = F.max(F.when(F.col("__r") == n, F.col(score))).over(w)
-    kept = (F.col("__r") <= n) | ((F.col(score) >= last * (1 - gap)) if gap > 0 else F.lit(False))
-    return ranked.where(kept).drop("__r")
+    ranked = ranked.withColumn("__last", F.max(F.when(F.col("__r") == n, F.col(score))).over(w))
+    kept = (F.col("__r") <= n) | ((F.col(score) >= F.col("__last") * (1 - gap)) if gap > 0 else F.lit(False))
+    return ranked.where(kept).drop("__r", "__last")
 
 
 def within_budget(df: DataFrame, by: list[str], order: list[Column], text: str, budget: int = 30_000, items: int = 12, least: int = 500, mark: str = "\n... [TRUNCATED]") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("projections", "aggregates", "joins")
+MODULES = ("projections", "aggregates", "joins", "ordering", "graphs")
 
 
 def load() -> None:
