@@ -32,8 +32,8 @@ from .common import cut
 SEQUENCE = 4096
 ID_BYTES = 4  # ids are little-endian unsigned 32-bit integers
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Remembered words, and the longest one that is remembered.
-MEMO_WORDS, MEMO_CHARS = 1_000_000, 48
+#: Remembered words, the longest one that is remembered, and the longest that outlasts a full memory.
+MEMO_WORDS, MEMO_CHARS, MEMO_SHORT = 250_000, 48, 8
 #: Lower case does not change these texts' ids: all characters are composed, and each has one lower-case form.
 _PLAIN = re.compile("[\x00-\u012f\u0131-\u02ff]*")
 _LETTERS = re.compile("[a-z]+").fullmatch
@@ -76,7 +76,10 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
             memo[w] = np.asarray(x.ids, "<u4").tobytes()
 
     def reset() -> None:
+        short = {w: x for w, x in memo.items() if len(w) <= MEMO_SHORT}
         memo.clear()
+        if len(short) <= MEMO_WORDS // 2:
+            memo.update(short)
         memo[""] = b""
         learn({" ,", " ."})
         memo.update({",": memo.pop(" ,"), ".": memo.pop(" .")})
