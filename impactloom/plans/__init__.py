@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("projections", "aggregates", "joins", "ordering", "graphs")
+MODULES = ("projections", "aggregates", "joins", "ordering", "graphs", "retrieval")
 
 
 def load() -> None:
