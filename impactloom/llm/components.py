@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, cut
 
-#: After so many rounds the edges are written to the shared folder, so that no lineage grows.
-CUT_EVERY = 6
+#: A round's edges are written in files of at least so many, but not in fewer than ``FILES``.
+EDGES_A_FILE, FILES = 200_000, 16
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,25 +28,21 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of every node with an edge; component is its least reachable node.
 
     ``edges`` has columns a and b of one orderable type; repeats, loops and either direction are
-    fine.
+    fine.  Each round writes its edges to the shared folder, so neither plan nor lineage grows.
     """
-    now, last = Scratch(), Scratch()
-    pairs = now.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = Scratch()
+    now = first.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sign = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31)).alias("s")]
-    before = pairs.agg(*sign).first()
-    for i in range(rounds):
+    before = now.agg(*sign).first()
+    for _ in range(rounds):
         if not before["n"]:
             break
-        now, last = last, now
-        pairs = _small_star(_large_star(pairs))
-        pairs = cut(pairs) if i % CUT_EVERY == CUT_EVERY - 1 else now.keep(pairs)
-        after = pairs.agg(*sign).first()
-        last.free()
+        now = cut(_small_star(_large_star(now)).coalesce(max(FILES, before["n"] // EDGES_A_FILE)))
+        first.free()
+        after = now.agg(*sign).first()
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    whole = cut(pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()))
-    now.free()
-    return whole
+    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
