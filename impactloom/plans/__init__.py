@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("projections", "aggregates", "joins", "ordering", "graphs", "retrieval")
+MODULES = ("projections", "aggregates", "joins", "ordering", "graphs", "retrieval", "scanning")
 
 
 def load() -> None:

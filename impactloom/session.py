@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,12 @@ def local_session(app: str = "impactloom", cores: str = "*", partitions: int = 8
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a temporary one where that is unset)."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        known = tempfile.mkdtemp(prefix="impactloom-")
+        spark.sparkContext.setCheckpointDir(known)
+    return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
