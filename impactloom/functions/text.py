@@ -13,8 +13,8 @@ SYNONYMS = {
     "order": ["order", "ordering"],
     "release": ["release", "free", "unlock"],
 }
-# Fixed value: identifiers in CamelCase or snake_case.
-SYMBOL = "\\b([a-zA-Z][a-z]+(?:[A-Z][a-z]+)+|[a-z]+(?:_[a-z]+)+)\\b"
+# Fixed value: identifiers in CamelCase or snake_case; word bounds are those of ASCII.
+SYMBOL = "(?<![A-Za-z0-9_])([a-zA-Z][a-z]+(?:[A-Z][a-z]+)+|[a-z]+(?:_[a-z]+)+)(?![A-Za-z0-9_])"
 # Fixed value: a quoted value that is given to something named like a secret.
 SECRET = "(?i)(api[_-]?key|secret|token|password)\\s*[:=]\\s*['\"][^'\"]+['\"]"
 
