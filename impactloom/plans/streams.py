@@ -14,7 +14,7 @@ from .views import oracle, view
 def streamed(spark, sf, build, name: str):
     """What a streaming query makes of the events: it runs until all files are read, and its table is read back."""
     path = f"{sf}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, for the table may be one file
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
     build(rows).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out)
