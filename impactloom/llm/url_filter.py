@@ -4,7 +4,7 @@ Two smoothed variable-order Markov models are counted, one over URLs that the ru
 over those that they block.  Contexts of three symbols down to none are interpolated by Witten-Bell
 weights: how often a context was seen against how many symbols followed it.  A URL's score is the
 difference of its log-likelihoods per symbol; the least score that is allowed is calibrated on a
-held-out fifth of the rules' URLs for the best balanced accuracy.
+held-out fifth of the rules' URLs: the middle of the limits with the best balanced accuracy.
 
 With 41 symbols a model has 41^4 counts at most (11 MB as floats), whatever the table's size; that
 is what is gathered and broadcast.  Null URLs and those without :// have an empty host and path, fit
@@ -139,7 +139,8 @@ def judge(df: DataFrame, url: str = "url", key: str = "page_id", rules: list[tup
             hist[r["by_rule"]][r["bin"]] = r["count"]
         shares = {v: np.cumsum(h) / max(h.sum(), 1) for v, h in hist.items()}
         gain = shares["block"] - shares["allow"]  # blocked below the bin's end, less what is lost
-        limit = float((np.argmax(gain) + 1) / _BINS * 2 * _WIDEST - _WIDEST) if gain.max() > 0 else 0.0
+        best = np.flatnonzero(gain >= gain.max() - 1e-12)
+        limit = float(((best[0] + best[-1]) / 2 + 1) / _BINS * 2 * _WIDEST - _WIDEST) if gain.max() > 0 else 0.0
     return scored.select(
         F.col("key").alias(key),
         "host",
