@@ -16,7 +16,6 @@ text's length.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
