@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -32,8 +33,8 @@ from .common import cut
 SEQUENCE = 4096
 ID_BYTES = 4  # ids are little-endian unsigned 32-bit integers
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Remembered words, the longest one that is remembered, and the longest that outlasts a full memory.
-MEMO_WORDS, MEMO_CHARS, MEMO_SHORT = 250_000, 48, 8
+#: Remembered words, and the longest one that is remembered.
+MEMO_WORDS, MEMO_CHARS = 500_000, 48
 #: Lower case does not change these texts' ids: all characters are composed, and each has one lower-case form.
 _PLAIN = re.compile("[\x00-\u012f\u0131-\u02ff]*")
 _LETTERS = re.compile("[a-z]+").fullmatch
@@ -59,6 +60,10 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
     tokenizer, memo = memory["tokenizer"], memory["words"]
 
     bpe = tokenizer.model
+    packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+    def packed(ids: list[int]) -> bytes:
+        return packers[len(ids)](*ids) if len(ids) < len(packers) else np.asarray(ids, "<u4").tobytes()
 
     def learn(words: set[str]) -> None:
         """A word of a-z is one piece, for which the model alone is asked; a mark behind it is the next piece."""
@@ -69,17 +74,14 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
                 others.append(w)
                 continue
             if letters not in memo:
-                memo[letters] = np.asarray([t.id for t in bpe.tokenize(letters)], "<u4").tobytes()
+                memo[letters] = packed([t.id for t in bpe.tokenize(letters)])
             if letters is not w:
                 memo[w] = memo[letters] + memo[w[-1]]
         for w, x in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            memo[w] = np.asarray(x.ids, "<u4").tobytes()
+            memo[w] = packed(x.ids)
 
     def reset() -> None:
-        short = {w: x for w, x in memo.items() if len(w) <= MEMO_SHORT}
         memo.clear()
-        if len(short) <= MEMO_WORDS // 2:
-            memo.update(short)
         memo[""] = b""
         learn({" ,", " ."})
         memo.update({",": memo.pop(" ,"), ".": memo.pop(" .")})
