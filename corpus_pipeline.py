@@ -14,18 +14,25 @@ from impactloom.llm.common import cut, join_small, shared_path, table
 from impactloom.llm.queries import tokenizer_path
 
 
+#: Rows that travel to a Python worker at once; documents are large, and so would be the buffers for more.
+ROWS_A_BATCH = "1000"
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    _modest(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest identifier."""
+    _modest(spark)
     return exact_dedup.distinct_rows(docs, keep="smallest")
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five words, similarity 0.8), the document with the smallest identifier."""
+    _modest(spark)
     marked = near_dup.near_duplicates(docs, k=5, percent=80)
     gone = cut(marked.where("not kept").select("doc_id").distinct())
     return join_small(docs, gone, ["doc_id"], "left_anti")
@@ -39,8 +46,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of token sequences."""
-    return packing.pack(docs, tokenizer_path(spark))
+    """The pieces of token sequences; workers keep no tokenizer, for other stages need the memory."""
+    _modest(spark)
+    return packing.pack(docs, tokenizer_path(spark), memo_words=100_000, keep_memory=False)
 
 
 STAGES = [
@@ -68,6 +76,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+def _modest(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

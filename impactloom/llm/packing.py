@@ -14,6 +14,9 @@ only carried.  An empty table gives an empty result, extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import struct
@@ -45,7 +48,16 @@ def _worker_memory() -> dict:
     return sys.modules.setdefault("impactloom_worker_memory", types.ModuleType("impactloom_worker_memory")).__dict__
 
 
-def token_bytes(path: str) -> Callable[[str], bytes]:
+def forget() -> None:
+    """Give the tokenizer's and the words' memory back to the system."""
+    _worker_memory().clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def token_bytes(path: str, memo_words: int = MEMO_WORDS) -> Callable[[str], bytes]:
     """A function from a text to its ids as bytes, for tokenizers that lower-case and never join across blanks.
 
     The tokenizer meets each word between blanks (space or newline) once, and lower case of texts
@@ -92,7 +104,7 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
     def ids(text: str) -> bytes:
         parts = (text.lower() if _PLAIN.fullmatch(text) else text).replace("\n", " ").split(" ")
         new = set(parts).difference(memo)
-        if len(memo) + len(new) > MEMO_WORDS:
+        if len(memo) + len(new) > memo_words:
             reset()
             new = set(parts).difference(memo)
         if new:
@@ -185,16 +197,20 @@ def pack(
     windows: int = 64,
     min_cut: int = 16,
     merge: int = 64,
+    memo_words: int = MEMO_WORDS,
+    keep_memory: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file that every executor can read.
+    ``tokenizer`` is the path of a ``tokenizers`` file that every executor can read.  A Python worker remembers the
+    ids of ``memo_words`` words from task to task; without ``keep_memory`` it gives that memory, and the
+    tokenizer's, back at the end of each task, for jobs that have other work for the worker.
     """
     ending = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        state, encode = _Windows(part << 32, size, windows, min_cut), token_bytes(tokenizer)
+        state, encode = _Windows(part << 32, size, windows, min_cut), token_bytes(tokenizer, memo_words)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 state.add(doc, encode(text.as_py() or "") + ending)
@@ -206,6 +222,9 @@ def pack(
             yield _table(state.out, [None] * len(state.out), part)
         if left:
             yield _table([(d, s, len(b) // ID_BYTES, 0, t, 0, 0) for d, s, b, t in left], [b for _, _, b, _ in left], part)
+        if not keep_memory:
+            del encode
+            forget()
 
     def again(pieces: pa.Table) -> pa.Table:
         rows = pieces.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).to_pylist()
