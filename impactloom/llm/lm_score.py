@@ -1,17 +1,20 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Words of all texts get identifiers in one shared vocabulary of 2^``VOCAB_BITS`` hashed words, pairs
-of neighbours in one table of 2^``PAIR_BITS``.  The target model is counted over documents that are
-labelled good, the background model over all documents, both in the same way, and both interpolate
-pairs with words:
+The target model is counted over documents that are labelled good, the background model over all
+documents, both in the same way, and both interpolate pairs of neighbours with words:
 
     p(w | v) = MIX * min(1, c(v, w) / c(v)) + (1 - MIX) * (c(w) + 1/2) / (N + V / 2)
 
-A document's beginning counts as a word, the one before its first word, so no loss depends on other rows.
-A document's score is its background loss per token less its target loss per token, in nats: the
-higher, the more it is like the target.  Every task sends its non-zero counts, so what is shuffled
-grows with the corpus; what is gathered for the models is bounded by the tables' sizes (2 models of
-2^18 + 2^20 counts) and broadcast.
+with V = 2^``VOCAB_BITS``.  A document's beginning counts as a word, the one before its first word, so no
+loss depends on other rows.  A document's score is its background loss per token less its target loss
+per token, in nats: the higher, the more it is like the target.
+
+Words and pairs are known by 64-bit hashes; no count is shared between them.  Rows are dealt into blocks
+of about ``BLOCK`` bytes of text.  A block sends the counts of its distinct words and pairs, sorted by
+hash and cut into ranges; a range's counts are summed over all blocks, and every block gets back the sums
+of its own words and pairs, in their order, and scores its rows by them.  So no task holds a model: what is
+held is one block's words and pairs or one range's, and both numbers grow with the corpus.  A frequent
+word comes once from each block.  The driver gets the text's size and the two models' totals.
 
 Null and empty texts have no tokens and score 0.  Labels for absent documents and repeated labels
 change nothing; extra columns are ignored.  Without target documents its counts are all zero.
@@ -28,14 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_small
 
-VOCAB_BITS, PAIR_BITS, MIX = 18, 20, 0.5
+VOCAB_BITS, MIX = 18, 0.5
+#: Bytes of text in a block, on average.
+BLOCK = 12 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _FOLD[65:91] += np.uint64(32)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = 4 << 20  # of text that are hashed together
+_BYTES = 2 << 20  # of text that are hashed together
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -43,8 +48,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: The hash of a document's beginning, which is the word before its first one.
+BEGINNING = _mixed(np.array([1], np.uint64))[0]
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word identifiers of all texts, pair identifiers with the word before, and each text's number of words.
+    """Hashes of the words of all texts, of their pairs with the word before, and each text's number of words.
 
     A word's hash is a polynomial over its bytes, A-Z folded, taken from running sums: no loop over words.
     """
@@ -64,16 +73,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]]) if len(hashes) else hashes
     counts = np.diff(bounds)
     opening = bounds[:-1][counts > 0]
-    before[opening] = np.uint64(1)
-    pairs = _mixed(before * np.uint64(0x94D049BB133111EB) + hashes) >> np.uint64(64 - PAIR_BITS)
-    return (hashes >> np.uint64(64 - VOCAB_BITS)).astype(np.int64), pairs.astype(np.int64), counts
-
+    before[opening] = BEGINNING
+    return hashes, _mixed(before * np.uint64(0x94D049BB133111EB) + hashes), counts
 
-#: The word slot of a document's beginning, which is the word before its first one.
-BEGINNING = int(_mixed(np.array([1], np.uint64))[0] >> np.uint64(64 - VOCAB_BITS))
 
-
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
     at, size, out = 0, 0, []
     for i in range(len(texts)):
         t = (texts[i].as_py() or "").encode()
@@ -86,49 +90,97 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(target, text) to (model, slot, n); word slots come first, then pair slots."""
-    words, size = 1 << VOCAB_BITS, (1 << VOCAB_BITS) + (1 << PAIR_BITS)
-    sums = np.zeros((2, size), np.int64)
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(target, text) to (bytes, n, t): the text's size, the words and beginnings of both models."""
+    size, sums = 0, [0, 0]
     for batch in batches:
         target = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
         for at, texts in _chunks(batch.column(1)):
-            ids, pairs, counts = tokens(texts)
-            own = np.repeat(target[at : at + len(texts)], counts)
-            sums[0] += np.bincount(np.concatenate([ids, pairs + words]), minlength=size)
-            sums[0, BEGINNING] += (counts > 0).sum()
-            if own.any():
-                sums[1] += np.bincount(np.concatenate([ids[own], pairs[own] + words]), minlength=size)
-                sums[1, BEGINNING] += ((counts > 0) & target[at : at + len(texts)]).sum()
-    for model in (0, 1):
-        slots = np.flatnonzero(sums[model])
-        for i in range(0, len(slots), 200_000):
-            s = slots[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), model, np.int32)), pa.array(s.astype(np.int32)), pa.array(sums[model][s])], names=["model", "slot", "n"])
-
-
-def _losses(models):
-    words = 1 << VOCAB_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = models.value
-        totals = table[:, :words].sum(axis=1)
-        for batch in batches:
-            for at, texts in _chunks(batch.column(1)):
-                ids, pairs, counts = tokens(texts)
-                before = np.concatenate([ids[:1], ids[:-1]])
-                before[np.cumsum(counts)[counts > 0] - counts[counts > 0]] = BEGINNING
-                doc = np.repeat(np.arange(len(texts)), counts)
-                sums = []
-                for m in (0, 1):
-                    c, c2, cv = table[m, ids], table[m, pairs + words], np.maximum(table[m, before], 1)
-                    p = MIX * np.minimum(1, c2 / cv) + (1 - MIX) * (c + 0.5) / (totals[m] + words / 2)
-                    sums.append(np.bincount(doc, weights=-np.log(p), minlength=len(texts)))
-                n = np.maximum(counts, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(counts.astype(np.int64)), pa.array(sums[1] / n), pa.array(sums[0] / n), pa.array((sums[0] - sums[1]) / n)],
-                    names=["id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
+            data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+            blank = _BLANK[data]
+            starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+            counts = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])))
+            counts += counts > 0
+            size += len(data)
+            sums[0] += int(counts.sum())
+            sums[1] += int(counts[target[at : at + len(texts)]].sum())
+    yield pa.RecordBatch.from_pydict({"bytes": [size], "n": [sums[0]], "t": [sums[1]]})
+
+
+def _grams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct hashes in order, the place of each word, pair and beginning among them, each text's number of words.
+
+    Words come first, then as many pairs, then a beginning for every text with words.
+    """
+    parts = [tokens(t) for _, t in _chunks(texts)]
+    counts = np.concatenate([c for _, _, c in parts]) if parts else np.zeros(0, np.int64)
+    opening = np.full((counts > 0).sum(), BEGINNING, np.uint64)
+    every = np.concatenate([w for w, _, _ in parts] + [p for _, p, _ in parts] + [opening])
+    del parts
+    keys, at = np.unique(every, return_inverse=True)
+    return keys, at, counts
+
+
+def _count(bits: int):
+    """(block, id, text, target) of a block to (range, block, keys, n, t); a range's hashes agree in their first ``bits`` bits."""
+
+    def run(block: pa.Table) -> pa.Table:
+        keys, at, counts = _grams(block["text"])
+        target = block["target"].to_numpy().astype(bool)
+        n = np.bincount(at, minlength=len(keys)).astype(np.uint32)
+        own = np.repeat(target, counts)
+        t = np.bincount(at[np.concatenate([own, own, target[counts > 0]])], minlength=len(keys)).astype(np.uint32)
+        of = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = np.append(first[1:], len(keys))
+        cuts = list(zip(first, ends, strict=True))
+        return pa.table(
+            [
+                pa.array(of[first].astype(np.int32)),
+                pa.array(np.full(len(first), block["block"][0].as_py(), np.int64)),
+                *[pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (keys, n, t)],
+            ],
+            names=["range", "block", "keys", "n", "t"],
+        )
+
+    return run
+
+
+def _sum(part: pa.Table) -> pa.Table:
+    """The rows of a range with the sums of all blocks in place of their own counts."""
+    each = [np.frombuffer(k, np.uint64) for k in part["keys"].to_pylist()]
+    _, at = np.unique(np.concatenate(each), return_inverse=True)
+    cuts = np.cumsum([0] + [len(k) for k in each])
+    out = []
+    for c in ("n", "t"):
+        # Sums of doubles are exact up to 2^53.
+        sums = np.bincount(at, weights=np.frombuffer(b"".join(part[c].to_pylist()), np.uint32)).astype(np.int64)[at]
+        out.append(pa.array([sums[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+    return pa.table([part["block"], part["range"], *out], names=["block", "range", "n", "t"])
+
+
+def _losses(totals: tuple[int, int]):
+    """A block's rows and the sums of its words and pairs to the rows' losses."""
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        keys, at, counts = _grams(block["text"])
+        known = known.sort_by("range")
+        words = int(counts.sum())
+        ids, pairs = at[:words], at[words : 2 * words]
+        before = np.concatenate([ids[:1], ids[:-1]])
+        before[np.cumsum(counts)[counts > 0] - counts[counts > 0]] = at[-1:]
+        doc, sums = np.repeat(np.arange(len(counts)), counts), []
+        for name, total in zip(("n", "t"), totals, strict=True):
+            c = np.frombuffer(b"".join(known[name].to_pylist()), np.int64)
+            if len(c) != len(keys):
+                raise ValueError("a block's rows have changed between counting and scoring")
+            p = MIX * np.minimum(1, c[pairs] / np.maximum(c[before], 1)) + (1 - MIX) * (c[ids] + 0.5) / (total + (1 << VOCAB_BITS) / 2)
+            sums.append(np.bincount(doc, weights=-np.log(p), minlength=len(counts)))
+        n = np.maximum(counts, 1)
+        return pa.table(
+            [block["id"], pa.array(counts.astype(np.int64)), pa.array(sums[1] / n), pa.array(sums[0] / n), pa.array((sums[0] - sums[1]) / n)],
+            names=["id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
 
     return run
 
@@ -140,9 +192,13 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "do
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     chosen = cut(target.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True)))
-    marked = join_small(rows, chosen, ["id"], "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
-    sums = marked.mapInArrow(_count, "model int, slot int, n long").groupBy("model", "slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((2, (1 << VOCAB_BITS) + (1 << PAIR_BITS)), np.float32)
-    table[sums["model"].to_numpy(), sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    models = docs.sparkSession.sparkContext.broadcast(table)
-    return rows.mapInArrow(_losses(models), "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", key)
+    marked = join_small(rows, chosen, ["id"], "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    size, *totals = marked.select("target", "text").mapInArrow(_totals, "bytes long, n long, t long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n", "t")]).first()
+    blocks = -(-size // BLOCK) or 1
+    # By the row's values, so a row that is read again is dealt to the same block.
+    dealt = marked.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text", "target")
+    bits = max(6, (blocks - 1).bit_length())
+    counts = dealt.groupBy("block").applyInArrow(_count(bits), "range int, block long, keys binary, n binary, t binary")
+    sums = counts.groupBy("range").applyInArrow(_sum, "block long, range int, n binary, t binary")
+    scored = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_losses(tuple(totals)), "id long, n_tokens long, target_loss double, background_loss double, score double")
+    return scored.withColumnRenamed("id", key)

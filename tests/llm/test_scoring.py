@@ -75,6 +75,17 @@ def test_language_model_equals_brute_force(spark):
         assert abs(x["score"] - (x["background_loss"] - x["target_loss"])) < 1e-9
 
 
+def test_language_model_keeps_words_and_pairs_apart(spark, monkeypatch):
+    """More words and pairs than any table of 2^18 slots keeps apart, over several blocks."""
+    monkeypatch.setattr(lm_score, "BLOCK", 400_000)
+    docs = [(i, " ".join(f"w{j}" for j in range(i * 4_000, i * 4_000 + 5_000))) for i in range(50)]
+    target = {d for d, _ in docs if d % 4 == 0}
+    got = {x["doc_id"]: x for x in lm_score.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(d,) for d in target], "doc_id long")).collect()}
+    for d, (n, background, wanted) in brute_losses(docs, target).items():
+        assert got[d]["n_tokens"] == n
+        assert abs(got[d]["background_loss"] - background / n) < 1e-6 and abs(got[d]["target_loss"] - wanted / n) < 1e-6
+
+
 def test_language_model_of_messy_rows(spark):
     rows = lm_score.score(documents(spark), labels(spark).select("doc_id")).collect()
     assert len(rows) == 12
