@@ -1,9 +1,13 @@
 """Licence recognition by sentence rules, native to Spark SQL.
 
-A text is split into sentences in two ways (at sentence ends and line breaks, and at sentence ends
-only, for wrapped paragraphs), sentences are normalised, known ones give their identifiers in order
-of place, and ordered rules over these identifiers name licences.  All of it happens within a row,
-so nothing is shuffled.
+A text is normalised to words, sentence ends and line breaks.  A known sentence is found where it stands
+between two of these (or the text's beginning and end), whether it is wrapped over lines, indented,
+commented out, or goes on after a ':', ';' or '.' of its own.  Found ones give their identifiers in order of
+place, and ordered rules over these identifiers name licences.  Of sentences that begin at one place the
+longest counts.  All of it happens within a row, so nothing is shuffled.
+
+The SQL splits at sentence ends and line breaks, or at sentence ends only.  It finds the same in one-line notices,
+but not in wrapped licence texts below a heading.
 
 A null or empty text has no sentences; repeated rows, identifiers and extra columns do not matter.
 """
@@ -53,35 +57,41 @@ RULES = [
     ("mpl", "MPL-2.0", ["mpl-2"]),
 ]
 _END = "[.!?:;]+[ \\t\\n\\x0B\\f\\r]+"
-_MARK = "\x01"
+_MARK, _LINE = "\x01", "\x02"
+# Words of a known sentence behind which it has a sentence end inside.
+INSIDE = {"gpl-3-program": "this program is free software", "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty", "mpl-2": "this source code form is subject to the terms of the mozilla public license v"}
+
+
+def _pattern() -> str:
+    """All known sentences, the longest first, between ends."""
 
+    def one(name: str, sentence: str) -> str:
+        start = INSIDE.get(name)
+        if not start:
+            return sentence.replace(" ", f"[ {_LINE}]+")
+        return f"[ {_MARK}{_LINE}]+".join(x.replace(" ", f"[ {_LINE}]+") for x in (start, sentence.removeprefix(start + " ")))
 
-def _known(text: Column, ends: str) -> Column:
+    either = "|".join(one(*x) for x in sorted(SENTENCES.items(), key=lambda x: -len(x[1])))
+    return f"(?:^|[{_MARK}{_LINE}]) ?({either})(?= ?(?:[{_MARK}{_LINE}]|$))"
+
+
+def _known(text: Column) -> Column:
     """Identifiers of the known sentences, in order."""
-    marked = F.regexp_replace(F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), ends, _MARK)
-    plain = F.regexp_replace(F.regexp_replace(marked, "licence", "license"), "[^a-z0-9\x01]+", " ")
-    found = F.filter(F.transform(F.split(plain, _MARK), lambda s: F.trim(s)), lambda s: s.isin(list(SENTENCES.values())))
+    marked = F.regexp_replace(F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), _END, _MARK)
+    plain = F.regexp_replace(F.regexp_replace(F.translate(marked, "\n", _LINE), "licence", "license"), f"[^a-z0-9{_MARK}{_LINE}]+", " ")
     ids = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
-    return F.transform(found, lambda s: F.element_at(ids, s))
+    return F.transform(F.regexp_extract_all(plain, F.lit(_pattern()), F.lit(1)), lambda s: F.element_at(ids, F.regexp_replace(s, f"[ {_MARK}{_LINE}]+", " ")))
 
 
-def _fits(sequence: str, needed: list[str]) -> Column:
-    return F.col(sequence).like("%" + "%".join(f"<{x}>" for x in needed) + "%")
+def _fits(needed: list[str]) -> Column:
+    return F.col("told").like("%" + "%".join(f"<{x}>" for x in needed) + "%")
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row: ``key``, sentence_ids, n_sentences, rules, licenses (comma-joined, rules' order).
-
-    sentence_ids are those found by the line-wise split, or else by the other.
-    """
-    rows = df.select(F.col(key).alias("key"), _known(F.col(text), _END + "|\\n").alias("lines"), _known(F.col(text), _END).alias("wrapped"))
-    tagged = rows.select(
-        "key",
-        F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.col("wrapped")).alias("ids"),
-        F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("lines"),
-        F.array_join(F.transform("wrapped", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("wrapped"),
-    )
-    fit = [(name, licence, _fits("lines", needed) | _fits("wrapped", needed)) for name, licence, needed in RULES]
+    """One row per row: ``key``, sentence_ids, n_sentences, rules, licenses (comma-joined, rules' order)."""
+    rows = df.select(F.col(key).alias("key"), _known(F.col(text)).alias("ids"))
+    tagged = rows.select("key", "ids", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("told"))
+    fit = [(name, licence, _fits(needed)) for name, licence, needed in RULES]
     # A licence whose longer rule fits is not named again by a part of it.
     bsd3 = next(c for name, _, c in fit if name == "bsd-3-text")
     fit = [(n, x, c & ~bsd3 if n == "bsd-2-text" else c) for n, x, c in fit]
