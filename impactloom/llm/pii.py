@@ -16,6 +16,7 @@ text's length.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, SURE, ACCEPT, ROUNDS = 3, 0.7, 0.85, 3
-#: Candidates are at most so long; context words are taken from so many characters.
+#: Longer instances are known by their hash; context words are taken from so many characters.
 LONGEST, AROUND = 64, 80
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,9 +91,9 @@ def _words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         if at < done:
             continue
         start, end = at, at + 1
-        while start > done and at - start <= LONGEST and not text[start - 1].isspace():
+        while start > done and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and end - at <= LONGEST and not text[end].isspace():
+        while end < len(text) and not text[end].isspace():
             end += 1
         done = end
         while k < len(taken) and taken[k][2] <= start:
@@ -103,10 +104,15 @@ def _words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             end -= 1
         while start < end and text[start] in "([{\"'*&$%#|":
             start += 1
-        if 4 <= end - start <= LONGEST:
+        if end - start >= 4:
             yield start, end
 
 
+def _instance(text: str) -> str:
+    text = text.lower()
+    return text if len(text) <= LONGEST else "sha256 " + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -127,7 +133,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = [(k, s, e) for s, k, e in spans]
                 found += [(None, s, e) for s, e in _words(text, spans)]
             counts = [sum(k == c for _, k, _ in spans) for c in range(len(KINDS))]
-            told = [{"kind": k, "start": s, "end": e, "instance": text[s:e].lower(), "patterns": patterns(text, s, e)} for k, s, e in found]
+            told = [{"kind": k, "start": s, "end": e, "instance": _instance(text[s:e]), "patterns": patterns(text, s, e)} for k, s, e in found]
             rows.append((f"{part}:{n}", counts, _told(spans), told))
             n += 1
         names, counts, base, found = zip(*rows, strict=True) if rows else ([], [], [], [])
@@ -138,10 +144,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bootstrap(occurrences: DataFrame) -> DataFrame:
-    """(instance, kind, confidence) of candidates, from occurrences (kind, instance, pattern)."""
+    """(instance, kind, confidence, sure) of candidates, from occurrences (kind, instance, pattern).
+
+    A confidence can be 1 in doubles; ``sure`` still tells such ones apart.
+    """
     edges = cut(occurrences.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
     # Only patterns around enough seeds can ever start; all their instances are kept, and those instances' other patterns.
     known = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
+    seeds = known
     sizes = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SUPPORT))
     candidates = edges.where("seed is null").select("pattern", "instance")
     for _ in range(ROUNDS):
@@ -155,10 +165,10 @@ def _bootstrap(occurrences: DataFrame) -> DataFrame:
             .withColumn("belief", F.col("mass") / (F.col("size") + 1))
             .where(F.col("belief") >= SURE)
         )
-        new = candidates.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("belief", F.lit(0.999)))))).alias("confidence"))
-        seeds = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
-        known = cut(seeds.unionByName(new))
-    return known.where(F.col("confidence") < 1).where(F.col("confidence") >= ACCEPT)
+        sure = -F.sum(F.log1p(-F.least("belief", F.lit(0.999))))
+        new = cut(candidates.join(scored, "pattern").groupBy("instance", "kind").agg(sure.alias("sure")).withColumn("confidence", 1 - F.exp(-F.col("sure"))))
+        known = seeds.unionByName(new.select("instance", "kind", "confidence"))
+    return new.where(F.col("confidence") >= ACCEPT)
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -170,7 +180,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     seen = cut(rows.mapInArrow(_extract, _ROW))
     each = seen.select("row", F.explode("found").alias("x")).select("row", "x.*")
     accepted = cut(_bootstrap(each.select("kind", "instance", F.explode("patterns").alias("pattern"))))
-    best = accepted.groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("by"))
+    best = accepted.groupBy("instance").agg(F.max(F.struct("confidence", F.round("sure", 9).alias("s"), (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("by"))
     more = each.where("kind is null").join(best, "instance").groupBy("row").agg(F.collect_list(F.struct("start", F.col("by").alias("kind"), "end")).alias("more"))
     names = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform(F.filter("found", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))

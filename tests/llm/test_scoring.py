@@ -170,6 +170,17 @@ def test_bootstrapping_finds_what_patterns_miss(spark):
     assert all(rows[i]["spans"] == rows[i]["base"] and rows[i]["n_email"] == 1 for i in range(8))
 
 
+def test_bootstrapping_keeps_what_is_sure_and_what_is_long(spark):
+    """A word in so many trusted contexts that its confidence is 1 in doubles, and one of over 64 characters."""
+    seeds = [(100 * c + i, f"and ask{c} at{c} person{i}@site{i}.org today{c}") for c in range(10) for i in range(30)]
+    sure, long = "person(at)site9.org", "x" * 80 + "(at)site9.org"
+    hidden = [(5000 + c, f"and ask{c} at{c} {sure} today{c}") for c in range(10)] + [(6000, f"and ask0 at0 {long} today0")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(seeds + hidden, "doc_id long, text string")).collect()}
+    for i, text in hidden:
+        start = len(text.rsplit(" ", 2)[0]) + 1
+        assert rows[i] == f"email:{start}:{start + len(long if i == 6000 else sure)}"
+
+
 def test_personal_data_of_messy_rows(spark):
     rows = pii.find(documents(spark)).collect()
     assert len(rows) == 12
