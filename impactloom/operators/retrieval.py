@@ -11,7 +11,8 @@ from ..functions.lookup import all_matches, first_match
 from ..functions.vector import cosine, norm
 from . import graph
 from . import projections as p
-from .ordering import adaptive_cutoff, top_per_group
+from .ordering import adaptive_cutoff, merged, top_per_group
+from .rounds import cut
 
 # What a request's words say it wants.
 INTENTS = {
@@ -48,16 +49,24 @@ def intents(text: Column) -> Column:
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, limit: int = 1_000) -> DataFrame:
     """(query_id, artifact_id, similarity): per query the ``k`` most similar chunks of its snapshot, exactly.
 
-    The list of queries is checked to be short and goes to every chunk; the chunks stay where they are, and of each
-    partition at most k rows per query are shuffled after the first ranking.
+    Queries are searched in blocks of about ``limit``; a block goes to every chunk, the chunks stay where they are, and of
+    each partition at most k rows per query are shuffled after the first ranking.
     """
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries at once")
-    q = F.broadcast(queries.select("query_id", F.col("snapshot_id").alias("q_snapshot"), F.col("embedding").cast("array<double>").alias("q")))
-    c = chunks.select("artifact_id", "snapshot_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("n", norm(F.col("e")))
-    pairs = c.where("n > 0").join(q, F.col("q_snapshot").isNull() | (F.col("q_snapshot") == F.col("snapshot_id")))
-    scored = pairs.select("query_id", "artifact_id", cosine(F.col("e"), F.col("q")).alias("similarity"))
-    return top_per_group(scored, ["query_id"], [F.col("similarity").desc(), F.col("artifact_id")], k)
+    c = chunks.select("artifact_id", "snapshot_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("n", norm(F.col("e"))).where("n > 0")
+    asked = queries.select("query_id", F.col("snapshot_id").alias("q_snapshot"), F.col("embedding").cast("array<double>").alias("q"))
+
+    def block(q: DataFrame) -> DataFrame:
+        pairs = c.join(F.broadcast(q), F.col("q_snapshot").isNull() | (F.col("q_snapshot") == F.col("snapshot_id")))
+        scored = pairs.select("query_id", "artifact_id", cosine(F.col("e"), F.col("q")).alias("similarity"))
+        return top_per_group(scored, ["query_id"], [F.col("similarity").desc(), F.col("artifact_id")], k)
+
+    n = asked.count()
+    if n <= limit:
+        return block(asked)
+    blocks = -(-n // limit)
+    dealt = cut(asked.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    # Each block's result is written, so that not all blocks are in the executors' memory at once.
+    return merged([cut(block(dealt.where(F.col("__b") == b).drop("__b"))) for b in range(blocks)])
 
 
 def lexical_hits(artifacts: DataFrame, keywords: DataFrame, request: Column, limit: int = 10_000) -> DataFrame:
