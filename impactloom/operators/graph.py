@@ -1,6 +1,7 @@
 """Graph operators over an edge table (from_id, to_id, type): neighbourhoods, paths, closures, lineage.
 
-Depths are bounded by parameters, so loops on the driver only build plans; frontiers stay distributed.
+Depths are bounded by parameters, so loops on the driver only build plans, but for lineage, which writes each round;
+frontiers stay distributed.
 """
 
 from __future__ import annotations
@@ -8,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import merged
+from .rounds import cut
+
 
 def hop1(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): the seeds and their neighbours in either direction."""
@@ -101,16 +105,20 @@ def first_path(edges: DataFrame, starts: DataFrame, goal: int, depth: int = 4) -
     return done.groupBy("start").agg(F.min("path").alias("path"))
 
 
-def lineage(nodes: DataFrame, start: DataFrame, depth: int = 16) -> DataFrame:
-    """(start, id, steps, cycle): the chain of parents of each start; ``nodes`` has id and parent."""
-    up = nodes.where("parent is not null").select("id", "parent")
-    front = start.select(F.col("id").alias("start"), "id", F.array("id").alias("chain"))
-    seen = front.withColumn("cycle", F.lit(False))
-    for _ in range(depth):
-        front = front.join(up, "id").select("start", F.col("parent").alias("id"), "chain", F.array_contains("chain", F.col("parent")).alias("cycle"))
-        seen = seen.unionByName(front.select("start", "id", F.array_append("chain", F.col("id")).alias("chain"), "cycle"))
-        front = front.where("not cycle").select("start", "id", F.array_append("chain", F.col("id")).alias("chain"))
-    return seen.select("start", "id", (F.size("chain") - 1).alias("steps"), "cycle")
+def lineage(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """(start, id, steps, cycle): the chain of parents of each start; ``nodes`` has id and parent.
+
+    A chain ends at its root, or with ``cycle`` at the first node that it meets again.  Each round is written, until no
+    chain goes on.
+    """
+    up = cut(nodes.where("parent is not null").select("id", "parent"))
+    front = cut(start.select(F.col("id").alias("start"), "id", F.array("id").alias("chain"), F.lit(False).alias("cycle")))
+    rounds = []
+    while not front.isEmpty():
+        rounds.append(front)
+        step = front.where("not cycle").join(up, "id").select("start", F.col("parent").alias("id"), "chain", F.array_contains("chain", F.col("parent")).alias("cycle"))
+        front = cut(step.select("start", "id", F.array_append("chain", F.col("id")).alias("chain"), "cycle"))
+    return merged([r.select("start", "id", (F.size("chain") - 1).alias("steps"), "cycle") for r in rounds or [front]])
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
