@@ -22,6 +22,7 @@ change nothing; extra columns are ignored.  Without target documents its counts
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +122,15 @@ def _grams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, at, counts
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts are mostly 0 and 1: packed they take little of the shuffle."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _large(parts: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zlib.decompress, parts.to_pylist())), kind)
+
+
 def _count(bits: int):
     """(block, id, text, target) of a block to (range, block, keys, n, t); a range's hashes agree in their first ``bits`` bits."""
 
@@ -138,7 +148,8 @@ def _count(bits: int):
             [
                 pa.array(of[first].astype(np.int32)),
                 pa.array(np.full(len(first), block["block"][0].as_py(), np.int64)),
-                *[pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (keys, n, t)],
+                pa.array([keys[i:j].tobytes() for i, j in cuts], pa.binary()),
+                *[pa.array([_small(x[i:j]) for i, j in cuts], pa.binary()) for x in (n, t)],
             ],
             names=["range", "block", "keys", "n", "t"],
         )
@@ -154,8 +165,8 @@ def _sum(part: pa.Table) -> pa.Table:
     out = []
     for c in ("n", "t"):
         # Sums of doubles are exact up to 2^53.
-        sums = np.bincount(at, weights=np.frombuffer(b"".join(part[c].to_pylist()), np.uint32)).astype(np.int64)[at]
-        out.append(pa.array([sums[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+        sums = np.bincount(at, weights=_large(part[c], np.uint32)).astype(np.int64)[at]
+        out.append(pa.array([_small(sums[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
     return pa.table([part["block"], part["range"], *out], names=["block", "range", "n", "t"])
 
 
@@ -171,7 +182,7 @@ def _losses(totals: tuple[int, int]):
         before[np.cumsum(counts)[counts > 0] - counts[counts > 0]] = at[-1:]
         doc, sums = np.repeat(np.arange(len(counts)), counts), []
         for name, total in zip(("n", "t"), totals, strict=True):
-            c = np.frombuffer(b"".join(known[name].to_pylist()), np.int64)
+            c = _large(known[name], np.int64)
             if len(c) != len(keys):
                 raise ValueError("a block's rows have changed between counting and scoring")
             p = MIX * np.minimum(1, c[pairs] / np.maximum(c[before], 1)) + (1 - MIX) * (c[ids] + 0.5) / (total + (1 << VOCAB_BITS) / 2)
