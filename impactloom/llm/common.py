@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local runs and
-    tests) a temporary folder is set.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a local run gets a temporary
+    folder; a cluster, whose executors would not see it, gets an error.
     """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="impactloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
@@ -38,24 +40,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Scratch:
-    """Intermediate tables of one operator, on the executors' disks until ``free``.
-
-    What is lost with an executor is computed again from its lineage.
-    """
-
-    def __init__(self) -> None:
-        self._kept: list[DataFrame] = []
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self._kept.append(df.persist(StorageLevel.DISK_ONLY))
-        return df
-
-    def free(self) -> None:
-        while self._kept:
-            self._kept.pop().unpersist()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -75,3 +59,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         this = F.col(c).eqNullSafe(F.col(f"__{c}"))
         cond = this if cond is None else cond & this
     return big.join(side, cond, how).drop(*[f"__{c}" for c in on])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are not in ``gone`` (id, text_hash), which should be cheap to count.
+
+    A row is known by its identifier, null or not, and its text together: rows that only share one of them stay.
+    """
+    marked = docs.select("*", F.col(key).cast("long").alias("__key"), F.xxhash64(F.col(text)).alias("__hash"))
+    return join_small(marked, gone.select(F.col("id").alias("__key"), F.col("text_hash").alias("__hash")), ["__key", "__hash"], "left_anti").drop("__key", "__hash")

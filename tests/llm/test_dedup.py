@@ -66,6 +66,56 @@ def test_near_duplicates_equal_brute_force(spark, groups, copies, edits):
     assert got == want
 
 
+def family(r, copies, edits, base):
+    out = []
+    for _ in range(copies):
+        text = list(base)
+        for _ in range(edits):
+            text[r.randrange(len(text))] = f"w{r.randrange(5_000)}"
+        out.append(" ".join(text))
+    return out
+
+
+def candidates(spark, monkeypatch, docs, k, percent):
+    """The components, and how many pairs were verified for them."""
+    seen, verified = [], near_dup._Linker.verified
+    with monkeypatch.context() as m:
+        m.setattr(near_dup._Linker, "verified", lambda self, pairs, classes: (seen.append(pairs.count()), verified(self, pairs, classes))[1])
+        rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=k, percent=percent).collect()
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}, sum(seen)
+
+
+def test_forms_with_other_contents_do_not_make_all_pairs(spark, monkeypatch):
+    """One form, four edits in each copy: hardly a pair is linked, nearly all share a band."""
+    base, verified = [f"w{i}" for i in range(100)], {}
+    for n in (200, 400):
+        docs = list(enumerate(family(random.Random(1), n, 4, base)))
+        got, verified[n] = candidates(spark, monkeypatch, docs, 5, 80)
+        assert got == brute_components(docs, 5, 80)
+    assert verified[400] < 3 * verified[200] and verified[400] < 400 * 399 / 2 / 8
+
+
+def test_groups_of_copies_and_variants_lose_no_link(spark, monkeypatch):
+    """Copies of a text, of a variant of it, and looser ones, so that templates are taken in more than one round."""
+    r, base = random.Random(2), [f"w{i}" for i in range(120)]
+    texts = family(r, 60, 1, base) + family(r, 60, 1, [*base[:90], *(f"v{i}" for i in range(30))]) + family(r, 40, 3, base)
+    docs = list(enumerate(texts))
+    for k, percent in ((3, 85), (5, 80)):
+        got, verified = candidates(spark, monkeypatch, docs, k, percent)
+        assert got == brute_components(docs, k, percent)
+        assert verified < len(docs) * 20
+
+
+def test_near_distinct_rows_tell_rows_apart_by_identifier_and_text(spark):
+    near, other = PROSE + " today", "completely different words stand here so that nothing is alike at all in this one text"
+    rows = [(1, PROSE), (None, near), (None, other), (7, PROSE + " now"), (7, other + " x"), (8, ""), (8, ""), (9, None), (3, LONG), (3, LONG)]
+    df = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    once = near_dup.distinct_rows(df)
+    assert once.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in once.collect()) == sorted([("1", PROSE), ("7", other + " x"), ("8", ""), ("8", ""), ("9", ""), ("3", LONG)])
+    assert near_dup.distinct_rows(documents(spark, [])).collect() == []
+
+
 def test_near_duplicates_of_messy_rows(spark):
     rows = near_dup.near_duplicates(documents(spark), k=5, percent=80).collect()
     assert len(rows) == 12
