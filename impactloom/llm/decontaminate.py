@@ -2,9 +2,13 @@
 
 A short item inside a long document has next to no Jaccard similarity with the whole of it, so the
 sets that are hashed are windows: the MinHash value of ``w`` consecutive word shingles.  Items are
-partitioned by size; partition p holds items of 2^p to 2^(p+1) - 1 shingles and uses windows of
-2^max(p-1, 0), so at most a half and at least a quarter of an item.  An item that is contained with at most one break per
-4w shingles keeps a whole window, and the window's MinHash value is then the same on both sides.
+partitioned by size, and a partition's ``w`` is the greatest power of two that fits in the longest run
+of shared shingles that an item of that size must keep.  Of n shingles at most l = n (100 - percent) / 100
+may be missing; an edit between shared words breaks k - 1 shingles or more, so there are at most
+l / (k - 1) of them, and of the runs between, one has (n - l) / (l / (k - 1) + 1) shingles or more: for five
+words and 80 % one shingle at n = 1, 7 at 8, 13 at 100.  That run holds a whole window, whose MinHash
+value is the same on both sides, so nothing is left to chance; only a document that has overlapping
+pieces of an item at separate places can lose more runs, and then windows with equal minima remain.
 Values of wider windows are minima of two values of the next narrower ones, so each partition
 costs one more pass over an array, and neighbouring windows mostly share a value: of w shingles
 about two values are left to look up.
@@ -13,7 +17,8 @@ Candidates are verified by exact containment: shared shingles / shingles of the
 
 An item's row with a null or empty text has no shingles and is never found; items or texts shorter
 than k words are one shingle.  Items with the same identifier count as one by the union of their
-shingles; documents likewise.  Empty tables give an empty result; extra columns are ignored.
+shingles; documents likewise, but ``clean_rows`` tells rows apart by identifier and text.  Empty tables give an
+empty result; extra columns are ignored.  There are no ties.
 """
 
 from __future__ import annotations
@@ -21,13 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
+from .common import cut, join_small, without_rows
 from .text import let, shingles
 
-#: Windows of 2^0 to 2^WIDEST shingles.
-WIDEST = 5
-
-
 def _wider(values: Column, step: int) -> Column:
     """MinHash values of windows of 2 * step from those of step; arrays shorter than that stay as they are."""
 
@@ -38,9 +39,11 @@ def _wider(values: Column, step: int) -> Column:
     return let(values, of)
 
 
-def _level(size: Column) -> Column:
+def _level(size: Column, k: int, percent: int) -> Column:
     """log2 of the window width for items of that size."""
-    return F.least(F.greatest(F.floor(F.log2(size.cast("double")) + F.lit(1e-9)).cast("int") - 1, F.lit(0)), F.lit(WIDEST))
+    lost = F.floor(size * (100 - percent) / 100)
+    run = (size - lost) / (F.floor(lost / max(k - 1, 1)) + 1)
+    return F.floor(F.log2(F.greatest(run, F.lit(1.0))) + F.lit(1e-9)).cast("int")
 
 
 def _labelled(values: Column, level: int) -> Column:
@@ -76,8 +79,8 @@ def contaminated(
 ) -> DataFrame:
     """Pairs (``key``, ``item_key``, shared, item_shingles) with 100 * shared >= percent * item_shingles."""
     own = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
-    sized = cut(own.select("item", shingles(F.col("text"), k).alias("hashes")).withColumn("of", _level(F.size(F.array_distinct("hashes"))))).where(F.size("hashes") > 0)
-    levels = sorted(r[0] for r in sized.select("of").distinct().collect())  # at most WIDEST + 1
+    sized = cut(own.select("item", shingles(F.col("text"), k).alias("hashes")).withColumn("of", _level(F.size(F.array_distinct("hashes")), k, percent))).where(F.size("hashes") > 0)
+    levels = sorted(r[0] for r in sized.select("of").distinct().collect())  # one for each power of two
     wanted = cut(_windows(sized, levels).where("level = of").select("level", "value", "item").distinct())
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     looked_up = _windows(texts.select("doc", shingles(F.col("text"), k).alias("hashes")), levels)
@@ -93,3 +96,13 @@ def contaminated(
         .where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
         .select(F.col("doc").alias(key), F.col("item").alias(item_key), "shared", "item_shingles")
     )
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that contain no item.
+
+    Rows are known by identifier and text, so neither null nor repeated identifiers take other rows along.
+    """
+    rows = docs.select(F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_hash")).alias("row"), F.col(text).alias("text"))
+    found = contaminated(rows, items, key="row", k=k, percent=percent)
+    return without_rows(docs, cut(found.select("row.id", "row.text_hash").distinct()), text, key)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -13,7 +14,7 @@ from impactloom.llm import decontaminate, licenses, packing, warc
 from impactloom.llm.common import shared_path
 from impactloom.llm.queries import tokenizer_path
 
-from .messy import LONG, PROSE, documents, pages
+from .messy import LONG, PROSE, documents, labels, pages
 from .test_dedup import brute_components, shingles
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -54,6 +55,31 @@ def test_benchmark_items_equal_brute_force(spark):
     assert {1, 2, 3, 9, None} <= found
 
 
+def test_edited_items_are_found_wherever_the_edits_stand(spark):
+    """Items of all sizes at 80 % and a little more: words replaced in the middle, evenly, or cut off at the ends."""
+    r, docs, items = random.Random(4), [], []
+    for n, i in enumerate([*range(1, 60), *range(60, 200, 3)]):
+        words = [f"a{i}b{j}" for j in range(i)]
+        items.append((n, " ".join(words)))
+        lost = max(i - 4, 1) // 5
+        for edits in {lost // 5, max(lost // 5 - 1, 0)}:
+            for at in ([i * (e + 1) // (edits + 1) for e in range(edits)], [i // 2 + e for e in range(edits)], r.sample(range(i), edits)):
+                own = [w if j not in at else "changed" for j, w in enumerate(words)]
+                docs.append((len(docs), " ".join(["before", *own, "after"])))
+        docs.append((len(docs), " ".join(words[lost // 2 : i - (lost - lost // 2)])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contained(docs, items)
+    assert len(want) > 250 and {tuple(x) for x in decontaminate.contaminated(df, it).collect()} == want
+
+
+def test_clean_rows_are_told_apart_by_identifier_and_text(spark):
+    rows = [(1, PROSE + " x"), (None, "y " + PROSE), (None, "free of it"), (1, "free too"), (1, PROSE + " x"), (2, None), (2, "")]
+    df = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    clean = decontaminate.clean_rows(df, spark.createDataFrame([(1, PROSE)], "item_id long, text string"))
+    assert clean.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in clean.collect()) == [("1", "free too"), ("2", ""), ("2", ""), ("None", "free of it")]
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "http://a\r\nX: y", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "u", ""), (None, "n", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (7, "z", "q" * 100_000)]
     path = shared_path(spark, "warc-test")
@@ -125,6 +151,28 @@ def test_packing_round_trip(spark):
     assert packing.pack(documents(spark, []), path).collect() == []
 
 
+def test_pipeline_stages_of_messy_rows(spark, tmp_path):
+    """Null and repeated identifiers, empty and long texts, empty tables and clashing columns, in every stage."""
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, PROSE), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = lambda rows: sorted((str(r["doc_id"]), r["text"] or "") for r in rows)
+    full, empty = documents(spark), documents(spark, [])
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
+        df = stage(spark, full, str(tmp_path))
+        out[name] = df.collect()
+        assert name == "packing" or df.columns == full.columns
+    every = text(full.collect())
+    assert set(text(out["quality classifier"])) <= set(every)
+    assert text(out["exact dedup"]) == sorted([("1", PROSE), ("3", PROSE + " today"), ("4", ""), ("6", LONG), ("7", " \t\n "), ("8", "Ünïcödé ÄÖ bob@x.org 😀")])
+    assert text(out["MinHash near-dedup"]) == sorted([("1", PROSE), ("4", ""), ("5", ""), ("6", LONG), ("7", " \t\n "), ("8", "Ünïcödé ÄÖ bob@x.org 😀"), ("None", "")])
+    assert text(out["benchmark decontamination"]) == [x for x in every if PROSE not in x[1].lower()]
+    assert {str(r["doc_id"]) for r in out["packing"]} == {d for d, _ in every}
+    assert spark.conf.get(corpus_pipeline.BATCH) == corpus_pipeline.ROWS_A_BATCH
+    spark.conf.set(corpus_pipeline.BATCH, "10000")
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     """Each stage on its own input: exact and near copies, benchmark passages, packing; the classifier keeps what it predicts good."""
     from tokenizers import Tokenizer
@@ -155,5 +203,7 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in before.collect()} - {d for d, *_ in found}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert_packed(pieces, {r["doc_id"]: r["text"] for r in docs.collect()}, Tokenizer.from_file(tokenizer_path(spark)))
+    spark.conf.set(corpus_pipeline.BATCH, "10000")
     whole = corpus_pipeline.run(spark, SMALL)
+    assert spark.conf.get(corpus_pipeline.BATCH) == "10000"
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
