@@ -6,11 +6,13 @@ of both classes and towards a multiple of the identity.  A score is the logistic
 difference of the classes' log densities, Mahalanobis distances from cached Cholesky factors, and
 log priors.
 
-Training uses every labelled row whose crc32(identifier) mod 5 is not 0; per class only a count, a
-sum and a sum of outer products leave the executors.  Labels, language, source and identifier are
+Training uses labelled rows whose crc32(identifier) mod 5 is not 0: all of them up to ``TRAIN_ROWS``,
+beyond that a sample of about so many by the identifier's hash.  Per class only a count, a sum and a sum
+of outer products leave the executors.  Labels, language, source and identifier are
 never inputs.  Null and empty texts have statistics like any other; labels that are null are
 skipped, a repeated label counts as often as it is there.  Without labels of both classes every
-score is the share of label 1, or 0.5 without any label.
+score is the share of label 1, or 0.5 without any label.  Documents with one identifier are each scored
+and, if it is labelled, each learned from; there are no ties.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_small
 
 STATS = 16
 #: Weights of the common covariance and of the identity in a class covariance.
 POOL, RIDGE = 0.1, 0.02
 LIMIT = 0.3
+#: The documented bound of the labelled rows that a model is fitted on.
+TRAIN_ROWS = 200_000
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 blank, 5 sentence mark, 6 symbol
 for _s, _k in (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("0123456789", 3), (" \t\n\r\x0b\x0c", 4), (".,;:?'-", 5)):
@@ -97,8 +101,16 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c] * m.size, pa.int32()), pa.array(range(m.size), pa.int32()), pa.array(m.reshape(-1))], names=["label", "place", "value"])
 
 
+def _inverse(factor: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, by forward substitution."""
+    out = np.zeros_like(factor)
+    for i in range(len(factor)):
+        out[i] = (np.eye(len(factor))[i] - factor[i, :i] @ out[:i]) / factor[i, i]
+    return out
+
+
 class Discriminant:
-    """Two classes' means, Cholesky factors and priors."""
+    """Two classes' means, inverted Cholesky factors and priors."""
 
     def __init__(self, sums: dict[int, np.ndarray]) -> None:
         self.counts = {c: float(m[0, 0]) for c, m in sums.items()}
@@ -116,15 +128,16 @@ class Discriminant:
             own = (sums[c][1:, 1:] / n - np.outer(mu, mu)) / np.outer(self.scale, self.scale)
             shrunk = (1 - POOL - RIDGE) * own + POOL * common + RIDGE * np.eye(STATS) * max(np.trace(own) / STATS, 0.05)
             factor = np.linalg.cholesky(shrunk)
-            self.parts.append((mu / self.scale, factor, np.log(np.diag(factor)).sum(), np.log(n / total)))
+            # The factor is triangular and small: its inverse is found once and kept for all batches.
+            self.parts.append((mu / self.scale, _inverse(factor), np.log(np.diag(factor)).sum(), np.log(n / total)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.parts:
             n = sum(self.counts.values())
             return np.full(len(x), self.counts.get(1, 0.0) / n if n else 0.5)
         logs = []
-        for mu, factor, logdet, prior in self.parts:
-            y = np.linalg.solve(factor, (x / self.scale - mu).T)
+        for mu, inverse, logdet, prior in self.parts:
+            y = inverse @ (x / self.scale - mu).T
             logs.append(prior - logdet - 0.5 * (y * y).sum(axis=0))
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -500, 500)))
 
@@ -143,10 +156,16 @@ def _held_out(key: str):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id") -> Discriminant:
-    """From (id, stats) and labels; rows with crc32(id) mod 5 = 0 are left out."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(~_held_out("id"))
-    rows = known.join(stats, "id").select("label", "stats")
+def training_labels(labels: DataFrame, label: str = "quality", key: str = "doc_id") -> DataFrame:
+    """(id, label) of the labels that a model is fitted on."""
+    known = cut(labels.where(F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null").where(~_held_out("id")))
+    share = min(1.0, TRAIN_ROWS / max(known.count(), 1))
+    return known if share == 1 else known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def train(stats: DataFrame, known: DataFrame) -> Discriminant:
+    """From (id, stats) and the labels to learn (id, label)."""
+    rows = join_small(stats, known, ["id"]).select("label", "stats")
     sums = rows.mapInArrow(_moments, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).collect()
     size = (STATS + 1) ** 2  # rows are two times this at most
     moments: dict[int, np.ndarray] = {}
@@ -159,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """One row per row: ``key``, held_out, score, predicted (1 if score >= ``limit``, else 0)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     stats = cut(rows.mapInArrow(_stats, "id long, stats array<double>"))
-    model = train(stats, labels, label, key)
+    model = train(stats, training_labels(labels, label, key))
     scored = stats.mapInArrow(_scored(model), "id long, score double")
     return scored.select(F.col("id").alias(key), _held_out("id").alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
@@ -167,7 +186,10 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are predicted good."""
     ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    model = train(cut(ids.mapInArrow(_stats, "id long, stats array<double>")), labels, label, key)
+    known = training_labels(labels, label, key)
+    # Only labelled documents are needed for the model; all are scored on their way to the result.
+    labelled = join_small(ids, known.select("id").distinct(), ["id"], "left_semi")
+    model = train(labelled.mapInArrow(_stats, "id long, stats array<double>"), known)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
