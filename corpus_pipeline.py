@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again for the next one.  All but the last return the columns of documents.  A stage's table is
 removed once the next one is written.
+
+Rows are told apart by identifier and text, so null and repeated identifiers take no other rows along.
+Quality: null and empty texts are scored like any other.  Exact and near duplicates: null texts count as
+empty; of ties in the identifier any one row stays; in the near stage rows without words all stay.
+Benchmark passages: rows without words hold none.  Packing: a null text is the ending id alone.  Long
+texts are read whole, repeated rows are equal texts, an empty table stays empty, and extra columns, whatever
+their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from impactloom.llm import decontaminate, exact_dedup, near_dup, packing, quality
-from impactloom.llm.common import cut, join_small, shared_path, table
+from impactloom.llm.common import shared_path, table
 from impactloom.llm.queries import tokenizer_path
 
 
 #: Rows that travel to a Python worker at once; documents are large, and so would be the buffers for more.
-ROWS_A_BATCH = "1000"
+BATCH, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +40,12 @@ def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five words, similarity 0.8), the document with the smallest identifier."""
     _modest(spark)
-    marked = near_dup.near_duplicates(docs, k=5, percent=80)
-    gone = cut(marked.where("not kept").select("doc_id").distinct())
-    return join_small(docs, gone, ["doc_id"], "left_anti")
+    return near_dup.distinct_rows(docs, k=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = cut(found.select("doc_id").distinct())
-    return join_small(docs, gone, ["doc_id"], "left_anti")
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,19 +68,23 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over documents."""
     docs = table(spark, sf_dir, "documents")
-    before = None
-    for _, stage in STAGES:
-        path = shared_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            _remove(spark, before)
-        before = path
+    batch, before = spark.conf.get(BATCH), None
+    try:
+        for _, stage in STAGES:
+            path = shared_path(spark, "stage")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                _remove(spark, before)
+            before = path
+    finally:
+        spark.conf.set(BATCH, batch)
     return docs
 
 
 def _modest(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+    """Stays set when a stage returns, for its plan runs later; ``run`` puts back what was set before."""
+    spark.conf.set(BATCH, ROWS_A_BATCH)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
