@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,14 @@ def local_session(app: str = "impactloom", cores: str = "*", partitions: int = 8
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a temporary one where that is unset)."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a local run gets a temporary folder; a cluster, whose executors would not see it, gets an error.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="impactloom-")
         spark.sparkContext.setCheckpointDir(known)
     return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
