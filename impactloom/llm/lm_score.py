@@ -3,9 +3,9 @@
 The target model is counted over documents that are labelled good, the background model over all
 documents, both in the same way, and both interpolate pairs of neighbours with words:
 
-    p(w | v) = MIX * min(1, c(v, w) / c(v)) + (1 - MIX) * (c(w) + 1/2) / (N + V / 2)
+    p(w | v) = MIX * c(v, w) / c(v) + (1 - MIX) * (c(w) + 1/2) / (N + V / 2)
 
-with V = 2^``VOCAB_BITS``.  A document's beginning counts as a word, the one before its first word, so no
+Both share the vocabulary, the V distinct words of all documents and their beginning.  A document's beginning counts as a word, the one before its first word, so no
 loss depends on other rows.  A document's score is its background loss per token less its target loss
 per token, in nats: the higher, the more it is like the target.
 
@@ -14,10 +14,12 @@ of about ``BLOCK`` bytes of text.  A block sends the counts of its distinct word
 hash and cut into ranges; a range's counts are summed over all blocks, and every block gets back the sums
 of its own words and pairs, in their order, and scores its rows by them.  So no task holds a model: what is
 held is one block's words and pairs or one range's, and both numbers grow with the corpus.  A frequent
-word comes once from each block.  The driver gets the text's size and the two models' totals.
+word comes once from each block.  The driver gets the text's size, the number of distinct words and the two
+models' totals.
 
 Null and empty texts have no tokens and score 0.  Labels for absent documents and repeated labels
-change nothing; extra columns are ignored.  Without target documents its counts are all zero.
+change nothing; extra columns are ignored.  Without target documents its counts are all zero; an empty table
+gives an empty result.  Repeated rows count each, texts of any length are read whole, and there are no ties.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_small
 
-VOCAB_BITS, MIX = 18, 0.5
+MIX = 0.5
 #: Bytes of text in a block, on average.
 BLOCK = 12 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2^64
@@ -42,6 +44,7 @@ _FOLD[65:91] += np.uint64(32)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = 2 << 20  # of text that are hashed together
+_WORDS = 1 << 20  # distinct words that a task gathers before it hands them on
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -92,20 +95,26 @@ def _chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(target, text) to (bytes, n, t): the text's size, the words and beginnings of both models."""
-    size, sums = 0, [0, 0]
+    """(target, text) to (word, bytes, n, t): distinct words, and with no word the text's size, the words and beginnings of both models."""
+    size, sums, seen = 0, [0, 0], np.zeros(0, np.uint64)
+
+    def row(words: np.ndarray | list, *totals: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), *[pa.array([x] * len(words), pa.int64()) for x in totals]], names=["word", "bytes", "n", "t"])
+
     for batch in batches:
         target = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
         for at, texts in _chunks(batch.column(1)):
-            data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-            blank = _BLANK[data]
-            starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-            counts = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])))
+            hashes, _, counts = tokens(texts)
             counts += counts > 0
-            size += len(data)
+            size += sum(map(len, texts)) + len(texts)
             sums[0] += int(counts.sum())
             sums[1] += int(counts[target[at : at + len(texts)]].sum())
-    yield pa.RecordBatch.from_pydict({"bytes": [size], "n": [sums[0]], "t": [sums[1]]})
+            seen = np.union1d(seen, hashes)
+            if len(seen) > _WORDS:
+                yield row(seen.view(np.int64), 0, 0, 0)
+                seen = seen[:0]
+    yield row(seen.view(np.int64), 0, 0, 0)
+    yield row([None], size, *sums)
 
 
 def _grams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +179,7 @@ def _sum(part: pa.Table) -> pa.Table:
     return pa.table([part["block"], part["range"], *out], names=["block", "range", "n", "t"])
 
 
-def _losses(totals: tuple[int, int]):
+def _losses(totals: tuple[int, int], kinds: int):
     """A block's rows and the sums of its words and pairs to the rows' losses."""
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
@@ -185,7 +194,7 @@ def _losses(totals: tuple[int, int]):
             c = _large(known[name], np.int64)
             if len(c) != len(keys):
                 raise ValueError("a block's rows have changed between counting and scoring")
-            p = MIX * np.minimum(1, c[pairs] / np.maximum(c[before], 1)) + (1 - MIX) * (c[ids] + 0.5) / (total + (1 << VOCAB_BITS) / 2)
+            p = MIX * c[pairs] / np.maximum(c[before], 1) + (1 - MIX) * (c[ids] + 0.5) / (total + kinds / 2)
             sums.append(np.bincount(doc, weights=-np.log(p), minlength=len(counts)))
         n = np.maximum(counts, 1)
         return pa.table(
@@ -204,12 +213,13 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "do
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     chosen = cut(target.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True)))
     marked = join_small(rows, chosen, ["id"], "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    size, *totals = marked.select("target", "text").mapInArrow(_totals, "bytes long, n long, t long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n", "t")]).first()
+    words = marked.select("target", "text").mapInArrow(_totals, "word long, bytes long, n long, t long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("bytes", "n", "t")])
+    kinds, size, *totals = words.agg(F.count("word") + 1, *[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n", "t")]).first()
     blocks = -(-size // BLOCK) or 1
     # By the row's values, so a row that is read again is dealt to the same block.
     dealt = marked.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text", "target")
     bits = max(6, (blocks - 1).bit_length())
     counts = dealt.groupBy("block").applyInArrow(_count(bits), "range int, block long, keys binary, n binary, t binary")
     sums = counts.groupBy("range").applyInArrow(_sum, "block long, range int, n binary, t binary")
-    scored = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_losses(tuple(totals)), "id long, n_tokens long, target_loss double, background_loss double, score double")
+    scored = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_losses(tuple(totals), kinds), "id long, n_tokens long, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("id", key)
