@@ -68,3 +68,10 @@ def without_rows(docs: DataFrame, gone: DataFrame, text: str = "text", key: str
     """
     marked = docs.select("*", F.col(key).cast("long").alias("__key"), F.xxhash64(F.col(text)).alias("__hash"))
     return join_small(marked, gone.select(F.col("id").alias("__key"), F.col("text_hash").alias("__hash")), ["__key", "__hash"], "left_anti").drop("__key", "__hash")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

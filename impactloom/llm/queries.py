@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, licenses, lm_score, near_dup, packing, pii, quality, url_filter, warc
-from .common import shared_path, table
+from .common import cut, remove, shared_path, table
 
 #: The tokenizer's file for packing; a path of another file can be set in the session.
 TOKENIZER_CONF, TOKENIZER = "impactloom.tokenizer", "word_bpe_49k.json"
@@ -56,7 +56,9 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.digest_of(warc.read_archive(spark, path))
+    found = cut(warc.digest_of(warc.read_archive(spark, path)))
+    remove(spark, path)
+    return found
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -87,10 +88,16 @@ def test_archive_round_trip(spark):
     archive = warc.read_archive(spark, path)
     read = archive.collect()
     assert len(read) == len(rows)
+    ids = [re.search("WARC-Record-ID: (.*)\r\n", r["header"])[1] for r in read]
+    assert len(set(ids)) == len(rows) and all(re.fullmatch("<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", i) for i in ids)
     for r in read:
-        body = bytes(r["payload"]) if "WARC-Type: response" in r["header"] else b""
-        assert bytes(r["record"]) == r["header"].encode() + body + b"\r\n\r\n"
-        assert r["header"].count("\r\n\r\n") == 1 and f"Content-Length: {len(body)}\r\n" in r["header"]
+        head, block = bytes(r["record"]).split(b"\r\n\r\n", 1)
+        assert head + b"\r\n\r\n" == r["header"].encode() and block.endswith(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        http, body = block[:-4].split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and int(fields["Content-Length"]) == len(http) + 4 + len(body)
+        assert body == (bytes(r["payload"]) if fields["WARC-Type"] == "response" else b"") and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        assert fields["WARC-Type"] == "response" or fields["WARC-Refers-To"] in ids
     got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.digest_of(archive).collect())
     want = []
     for page, _, html in rows:
