@@ -2,14 +2,16 @@
 
 Two smoothed variable-order Markov models are counted, one over URLs that the rules allow and one
 over those that they block.  Contexts of three symbols down to none are interpolated by Witten-Bell
-weights: how often a context was seen against how many symbols followed it.  A URL's score is the
-difference of its log-likelihoods per symbol; the least score that is allowed is calibrated on a
+weights: how often a context was seen against how many symbols followed it.  The models read whole URLs,
+scheme and query included.  A URL's score is the difference of its log-likelihoods per symbol; the least score that is allowed is calibrated on a
 held-out fifth of the rules' URLs: the middle of the limits with the best balanced accuracy.
 
 With 41 symbols a model has 41^4 counts at most (11 MB as floats), whatever the table's size; that
 is what is gathered and broadcast.  Null URLs and those without :// have an empty host and path, fit
-no rule and are scored as empty.  Without URLs of both kinds every score and the limit are 0, so
-everything is allowed.  Repeated rows are judged alike; extra columns are ignored.
+no rule; null ones are scored as empty.  Without URLs of both kinds every score and the limit are 0, so
+everything is allowed.  A score that ties with the limit is allowed; of two rules of one length that fit,
+the first listed counts.  Repeated rows are judged alike, a URL of any length is read whole, an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,9 +117,9 @@ def judge(df: DataFrame, url: str = "url", key: str = "page_id", rules: list[tup
     """One row per row: ``key``, host, path, rule, verdict, score."""
     spark = df.sparkSession
     host, path = host_and_path(F.col(url))
-    rows = df.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
+    rows = df.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url), F.lit("")).alias("lm_text"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    ruled = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), F.concat("host", "path").alias("lm_text"))
+    ruled = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "lm_text")
     held = F.pmod(F.xxhash64("lm_text"), F.lit(5)) == 0
     known = ruled.where("by_rule is not null")
     counted = known.where(~held).select("by_rule", "lm_text").mapInArrow(_count, "verdict string, cell long, n long").groupBy("verdict", "cell").agg(F.sum("n").alias("n")).toArrow()
