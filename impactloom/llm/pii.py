@@ -11,7 +11,8 @@
 
 Null texts are empty.  Repeated rows give a row each; an empty table gives an empty result; extra
 columns are ignored.  Offsets are code points, ends are exclusive.  Every search is linear in the
-text's length.
+text's length.  An instance that is a seed of several kinds in one context counts as the last of them in
+``KINDS``; of kinds that an instance supports alike the first is taken.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, SURE, ACCEPT, ROUNDS = 3, 0.7, 0.85, 3
-#: Longer instances are known by their hash; context words are taken from so many characters.
-LONGEST, AROUND = 64, 80
+#: Longer instances and context words are known by their hash.
+LONGEST = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -75,12 +76,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _nearest(text: str, at: int, step: int, wanted: int) -> list[str]:
+    """The ``wanted`` nearest whole words before (step -1) or after (step 1) a place, the nearest first; "" where there are fewer."""
+    reach = 64
+    while True:
+        cut = max(0, at - reach) if step < 0 else min(len(text), at + reach)
+        found = (text[cut:at] if step < 0 else text[at:cut]).split()
+        # The word at the cut may go on behind it.
+        whole = found if cut in (0, len(text)) else found[1:] if step < 0 else found[:-1]
+        if len(whole) >= wanted or cut in (0, len(text)):
+            return ([_known(w) for w in whole[::step][:wanted]] + [""] * wanted)[:wanted]
+        reach *= 4
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns around a span."""
-    before = text[max(0, start - AROUND) : start].lower().split()
-    after = text[end : end + AROUND].lower().split()
-    one, two = before[-1] if before else "^", before[-2] if len(before) > 1 else "^"
-    return [f"{two} {one} _", f"{one} _ {after[0] if after else '$'}"]
+    one, two = (w or "^" for w in _nearest(text, start, -1, 2))
+    return [f"{two} {one} _", f"{one} _ {_nearest(text, end, 1, 1)[0] or '$'}"]
 
 
 def _words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -98,7 +110,7 @@ def _words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         done = end
         while k < len(taken) and taken[k][2] <= start:
             k += 1
-        if any(s < end and e > start for s, _, e in taken[k : k + 8]):
+        if k < len(taken) and taken[k][0] < end:
             continue
         while end > start and text[end - 1] in ".,;:!?)]}\"'*&$%#|":
             end -= 1
@@ -108,7 +120,7 @@ def _words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             yield start, end
 
 
-def _instance(text: str) -> str:
+def _known(text: str) -> str:
     text = text.lower()
     return text if len(text) <= LONGEST else "sha256 " + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -133,7 +145,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = [(k, s, e) for s, k, e in spans]
                 found += [(None, s, e) for s, e in _words(text, spans)]
             counts = [sum(k == c for _, k, _ in spans) for c in range(len(KINDS))]
-            told = [{"kind": k, "start": s, "end": e, "instance": _instance(text[s:e]), "patterns": patterns(text, s, e)} for k, s, e in found]
+            told = [{"kind": k, "start": s, "end": e, "instance": _known(text[s:e]), "patterns": patterns(text, s, e)} for k, s, e in found]
             rows.append((f"{part}:{n}", counts, _told(spans), told))
             n += 1
         names, counts, base, found = zip(*rows, strict=True) if rows else ([], [], [], [])

@@ -26,6 +26,34 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r["predicted"] for r in held if r["quality"] == 1) / len(good) > 0.95
 
 
+def test_discriminant_equals_brute_force():
+    """Log densities by determinants and inverses in place of Cholesky factors."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = {c: rng.normal(c, 1 + c, (60 + 40 * c, quality.STATS)) @ rng.normal(0, 1, (quality.STATS, quality.STATS)) for c in (0, 1)}
+    z = {c: np.hstack([np.ones((len(x), 1)), x]) for c, x in rows.items()}
+    model = quality.Discriminant({c: m.T @ m for c, m in z.items()})
+    every = np.vstack(list(rows.values()))
+    common, logs = np.cov(every.T, bias=True), []
+    scale = np.sqrt(np.diag(common))
+    unit = np.outer(scale, scale)
+    for c in (0, 1):
+        own = np.cov(rows[c].T, bias=True) / unit
+        s = (1 - quality.POOL - quality.RIDGE) * own + quality.POOL * common / unit + quality.RIDGE * np.eye(quality.STATS) * max(np.trace(own) / quality.STATS, 0.05)
+        d = (every - rows[c].mean(axis=0)) / scale
+        logs.append(np.log(len(rows[c]) / len(every)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    assert np.allclose(model.scores(every), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-9)
+
+
+def test_quality_statistics_are_the_models_only_input(spark, monkeypatch):
+    """The bound of the labelled rows holds, and a model on a sample still scores all rows."""
+    docs, known = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 100)
+    assert 60 <= quality.training_labels(known).count() <= 140
+    assert quality.score(docs, known).count() == docs.count()
+
+
 def test_quality_of_messy_rows(spark):
     rows = quality.score(documents(spark), labels(spark)).collect()
     assert len(rows) == 12 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
@@ -48,13 +76,13 @@ def brute_losses(docs, target):
             uni.update([None, *w] if w else [])
             bi.update(zip([None, *w], w, strict=False))
         models.append((uni, bi, sum(uni.values())))
-    v = 1 << lm_score.VOCAB_BITS
+    v = len({x for w in words.values() for x in w}) + 1
     for d, w in words.items():
         losses = []
         for uni, bi, n in models:
             total = 0.0
             for before, x in zip([None, *w], w, strict=False):
-                p = lm_score.MIX * min(1, bi[before, x] / max(uni[before], 1)) + (1 - lm_score.MIX) * (uni[x] + 0.5) / (n + v / 2)
+                p = lm_score.MIX * bi[before, x] / max(uni[before], 1) + (1 - lm_score.MIX) * (uni[x] + 0.5) / (n + v / 2)
                 total -= math.log(p)
             losses.append(total)
         out[d] = (len(w), *losses)
@@ -86,6 +114,25 @@ def test_language_model_keeps_words_and_pairs_apart(spark, monkeypatch):
         assert abs(got[d]["background_loss"] - background / n) < 1e-6 and abs(got[d]["target_loss"] - wanted / n) < 1e-6
 
 
+def test_language_model_probabilities_sum_to_one(spark):
+    """Over the vocabulary, after any word that was seen: scored as documents of one word each are not enough, so by the brute-force model."""
+    docs = [(i, f"a{i % 3} b{i % 5} a{i % 2}") for i in range(30)]
+    words = sorted({w for _, t in docs for w in t.split()})
+    uni, bi = Counter(), Counter()
+    for _, t in docs:
+        w = t.split()
+        uni.update([None, *w])
+        bi.update(zip([None, *w], w, strict=False))
+    n, v = sum(uni.values()), len(words) + 1
+    singles = [(1000 + i, w) for i, w in enumerate(words)]
+    got = {x["doc_id"]: x["background_loss"] for x in lm_score.score(spark.createDataFrame(docs + singles, "doc_id long, text string"), spark.createDataFrame([], "doc_id long")).collect()}
+    uni.update([None] * len(words) + words)
+    bi.update([(None, w) for w in words])
+    n += 2 * len(words)
+    rest = (1 - lm_score.MIX) * (uni[None] + 0.5) / (n + v / 2)  # the beginning is a word too, which follows nothing
+    assert abs(sum(math.exp(-got[i]) for i, _ in singles) + rest - 1) < 1e-9
+
+
 def test_language_model_of_messy_rows(spark):
     rows = lm_score.score(documents(spark), labels(spark).select("doc_id")).collect()
     assert len(rows) == 12
@@ -123,6 +170,36 @@ def test_url_rules_equal_brute_force(spark):
     assert url_filter.judge(pages(spark, [])).collect() == []
 
 
+def test_url_scores_equal_brute_force(spark):
+    """Witten-Bell by dictionaries over the whole URLs, query included, that the filter may learn from."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcde") for _ in range(5))
+    urls = [f"http://{word()}.com/{word()}?q={word()}" for _ in range(60)] + [f"https://{word()}.net/fr/{word()}#{word()}" for _ in range(60)] + [f"http://x.org/{word()}?{word()}" for _ in range(20)] + [None, "", "HTTP://É.org/_"]
+    df = pages(spark, [(i, u, None) for i, u in enumerate(urls)])
+    held = {x["page_id"] for x in df.selectExpr("page_id", "pmod(xxhash64(coalesce(url, '')), 5) = 0 AS held").collect() if x["held"]}
+    code = lambda b: {**{c: i + 1 for i, c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789.-/")}}.get(b, url_filter.SYMBOLS - 1)
+    coded = [[0] * url_filter.ORDER + [code(b) for b in (u or "").encode().lower()] + [0] for u in urls]
+    models = {}
+    for verdict in ("allow", "block"):
+        follow = {}
+        for i, u in enumerate(urls):
+            if i not in held and brute_url(u)[3] == verdict:
+                for at in range(url_filter.ORDER, len(coded[i])):
+                    for order in range(url_filter.ORDER + 1):
+                        follow.setdefault(tuple(coded[i][at - order : at]), Counter())[coded[i][at]] += 1
+        models[verdict] = follow
+
+    def p(follow, context, symbol):
+        lower = p(follow, context[1:], symbol) if context else 1 / url_filter.SYMBOLS
+        seen = follow.get(context)
+        return (seen[symbol] + len(seen) * lower) / (sum(seen.values()) + len(seen)) if seen else lower
+
+    for x in url_filter.judge(df).collect():
+        c, own = coded[x["page_id"]], range(url_filter.ORDER, len(coded[x["page_id"]]))
+        want = sum(math.log(p(models["allow"], tuple(c[at - url_filter.ORDER : at]), c[at])) - math.log(p(models["block"], tuple(c[at - url_filter.ORDER : at]), c[at])) for at in own) / len(own)
+        assert abs(x["score"] - want) < 1e-5
+
+
 def test_url_model_separates_what_rules_do_not_reach(spark):
     r = random.Random(7)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
@@ -181,6 +258,86 @@ def test_bootstrapping_keeps_what_is_sure_and_what_is_long(spark):
         assert rows[i] == f"email:{start}:{start + len(long if i == 6000 else sure)}"
 
 
+def brute_spans(docs):
+    """Base and discovered spans with dictionaries; candidates and contexts by splitting at blanks."""
+    found = []
+    for d, text in docs:
+        base = brute_base(text)
+        spans = [(s, e, k) for s, k, e in base]
+        for m in re.finditer(r"\S+", text):
+            s, e = m.span()
+            if not re.search("[0-9@]", m[0]) or any(a < e and b > s for a, b, _ in spans[: len(base)]):
+                continue
+            e -= len(m[0]) - len(m[0].rstrip(".,;:!?)]}\"'*&$%#|"))
+            while s < e and text[s] in "([{\"'*&$%#|":
+                s += 1
+            if e - s >= 4:
+                spans.append((s, e, None))
+        for s, e, k in spans:
+            before, after = ["^", "^", *text[:s].lower().split()], [*text[e:].lower().split(), "$"]
+            found.append((d, s, e, k, text[s:e].lower(), {f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {after[0]}"}))
+    kinds, around = {}, {}
+    for _, _, _, k, name, contexts in found:
+        for c in contexts:
+            around.setdefault(c, {}).setdefault(name, None)
+            if k is not None:
+                around[c][name] = max(k, -1 if around[c][name] is None else around[c][name])
+                kinds.setdefault(name, set())
+    for names in around.values():
+        for name, k in names.items():
+            if k is not None:
+                kinds[name].add(k)
+    known = {(n, k): 1.0 for n, ks in kinds.items() for k in ks}
+    for _ in range(pii.ROUNDS):
+        belief = {}
+        for c, names in around.items():
+            for k in range(4):
+                held = [known[n, k] for n in names if (n, k) in known]
+                if len(held) >= pii.SUPPORT and sum(held) / (len(names) + 1) >= pii.SURE:
+                    belief[c, k] = sum(held) / (len(names) + 1)
+        sure = {}
+        for (c, k), x in belief.items():
+            for n, seed in around[c].items():
+                if seed is None:
+                    sure[n, k] = sure.get((n, k), 0.0) - math.log1p(-min(x, 0.999))
+        known = {x: 1 - math.exp(-v) for x, v in sure.items()} | {(n, k): 1.0 for n, ks in kinds.items() for k in ks}
+    best = {}
+    for (n, k), v in sure.items():
+        if 1 - math.exp(-v) >= pii.ACCEPT:
+            best[n] = max(best.get(n, (-1, 0, 0)), (1 - math.exp(-v), round(v, 9), -k))
+    out = {}
+    for d, s, e, k, name, _ in found:
+        if k is not None or name in best:
+            out.setdefault(d, []).append((s, k if k is not None else -best[name][2], e))
+    return {d: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out.get(d, []))) for d, _ in docs}
+
+
+def test_bootstrapping_equals_brute_force(spark):
+    r = random.Random(17)
+    frames = ["mail me at {} today", "call {} now", "server {} is down", "my card {} please", "reach him via {} or not", "x{} y"]
+    values = [lambda i: f"u{i}@h{i % 3}.org", lambda i: f"user{i}(at)host", lambda i: f"10.0.{i}.7", lambda i: f"host-{i}", lambda i: f"+49 30 {1000000 + i}", lambda i: f"0049-30-{i}", lambda i: f"id{i:04d}", lambda i: "z" * 70 + str(i), lambda i: f"({i}@)."]
+    discovered = 0
+    for _ in range(3):
+        docs = []
+        for d in range(150):
+            favoured = r.randrange(len(frames))
+            parts = [frames[favoured if r.random() < 0.8 else r.randrange(len(frames))].format(values[(2 * favoured + (r.random() < 0.2)) % len(values)](r.randrange(12))) for _ in range(r.randrange(1, 5))]
+            docs.append((d, r.choice([" ", "\n", " and "]).join(parts)))
+        want = brute_spans(docs)
+        got = {x["doc_id"]: (x["spans"], x["base"]) for x in pii.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+        assert {d: s for d, (s, _) in got.items()} == want
+        discovered += sum(s != b for s, b in got.values())
+    assert discovered >= 5
+
+
+def test_contexts_are_whole_words():
+    text = "a" * 500 + " " + "b" * 300 + " me@x.org " + "c" * 200
+    start = text.index("me@")
+    first, second = pii.patterns(text, start, start + 8)
+    assert first == f"{pii._known('a' * 500)} {pii._known('b' * 300)} _" and second == f"{pii._known('b' * 300)} _ {pii._known('c' * 200)}"
+    assert pii.patterns("me@x.org", 0, 8) == ["^ ^ _", "^ _ $"]
+
+
 def test_personal_data_of_messy_rows(spark):
     rows = pii.find(documents(spark)).collect()
     assert len(rows) == 12
