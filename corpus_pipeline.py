@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from impactloom.llm import decontaminate, exact_dedup, near_dup, packing, quality
-from impactloom.llm.common import shared_path, table
+from impactloom.llm.common import remove, shared_path, table
 from impactloom.llm.queries import tokenizer_path
 
 
@@ -75,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             stage(spark, docs, sf_dir).write.parquet(path)
             docs = spark.read.parquet(path)
             if before:
-                _remove(spark, before)
+                remove(spark, before)
             before = path
     finally:
         spark.conf.set(BATCH, batch)
@@ -86,8 +86,3 @@ def _modest(spark: SparkSession) -> None:
     """Stays set when a stage returns, for its plan runs later; ``run`` puts back what was set before."""
     spark.conf.set(BATCH, ROWS_A_BATCH)
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
