@@ -26,11 +26,11 @@ def src_url(spark, sf):
 
 
 _FILES = """SELECT doc_id, source AS repository, concat(CASE doc_id % 13 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/booking/' WHEN 2 THEN 'src/payment/' WHEN 3 THEN 'controllers/' WHEN 4 THEN 'services/' WHEN 5 THEN 'src/shared/' WHEN 6 THEN 'a/dist/' ELSE 'lib/' END,
- CASE doc_id % 17 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'reservation.ts' WHEN 2 THEN 'wallet.ts' WHEN 3 THEN 'x.png' WHEN 4 THEN 'a.generated.ts' WHEN 5 THEN 'yarn.lock' ELSE concat('f', doc_id, '.ts') END) AS path, n_chars * 40 AS size, doc_id % 19 = 0 AS binary FROM documents"""
+ CASE doc_id % 17 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'reservation.ts' WHEN 2 THEN 'wallet.ts' WHEN 3 THEN 'x.png' WHEN 4 THEN 'a.generated.ts' WHEN 5 THEN 'yarn.lock' WHEN 6 THEN 'package-lock.json' WHEN 7 THEN 'pnpm-lock.yaml' WHEN 8 THEN 'b.gen.ts' ELSE concat('f', doc_id, '.ts') END) AS path, n_chars * 40 AS size, doc_id % 19 = 0 AS binary FROM documents"""
 _IGNORED = ", ".join(f"'{d}'" for d in s.IGNORED_FOLDERS)
 _ENDS = " OR ".join(f"path LIKE '%{e}'" for e in s.IGNORED_ENDINGS)
 _REASONS = f"""SELECT doc_id, repository, path, size, coalesce(r, CASE WHEN count(*) FILTER (r IS NULL) OVER w > 20 OR sum(size) FILTER (r IS NULL) OVER w > 2000000 THEN 'REPO_LIMIT_EXCEEDED' END) AS reason FROM
-(SELECT *, CASE WHEN len(list_intersect(string_split(path, '/')[:-2], [{_IGNORED}])) > 0 THEN 'IGNORED_DIRECTORY' WHEN {_ENDS} THEN 'UNSUPPORTED_EXTENSION' WHEN contains(path, '.generated.') THEN 'GENERATED_FILE' WHEN size > 1048576 THEN 'FILE_TOO_LARGE' WHEN "binary" THEN 'BINARY_FILE' END AS r FROM f) y WINDOW w AS (PARTITION BY repository ORDER BY path, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+(SELECT *, CASE WHEN len(list_intersect(string_split(path, '/')[:-2], [{_IGNORED}])) > 0 THEN 'IGNORED_DIRECTORY' WHEN {_ENDS} THEN 'UNSUPPORTED_EXTENSION' WHEN string_split(path, '/')[-1] IN ('package-lock.json', 'yarn.lock', 'pnpm-lock.yaml') THEN 'VENDOR_FILE' WHEN contains(path, '.generated.') OR contains(path, '.gen.') THEN 'GENERATED_FILE' WHEN size > 1048576 THEN 'FILE_TOO_LARGE' WHEN "binary" THEN 'BINARY_FILE' END AS r FROM f) y WINDOW w AS (PARTITION BY repository ORDER BY path, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
 def files(spark, sf):
@@ -91,61 +91,96 @@ def src_arch(spark, sf):
     return s.architectures(files(spark, sf))
 
 
-#: Source text per language, made of a page's number in place of @N@, and of its remainder by three in place of @M@.
+#: Per language, source texts with what a reader finds in them: routes (verb, path, handler), and how many are out of
+#: a scanner's reach.  A page gets the text of its remainder by three; @N@ is its number.  The answers are stated, not derived.
 _TEXT = {
-    "python": """@router.get("/items/@N@")
-async def get_@N@(x):
-  pass
-@app.post(f"/x")
-def other():
-  pass""",
-    "go": """r.GET("/items/@N@", handler@N@)
-http.HandleFunc("/h", serve)
-r.POST(dynamic, x)""",
-    "java": """@GetMapping("/items/@N@")
-  public Item find@N@(Long id) {}
-@RequestMapping(value = X)""",
-    "csharp": """[HttpPost("items/@N@")]
-public async Task Add@N@(int x) {}
-app.MapGet("/m", Handle);app.MapGroup("/g")""",
-    "php": """Route::get('/items/@N@', [ItemController::class, 'show@N@']);Route::resource('x')""",
-    "ruby": """get '/items/@N@', to: 'items#show@N@'
-resources :x""",
-    "typescript": """@Controller('items')
-export class Items@N@ {
-@Get(':id')
-  async find@N@(id) {}
+    "python": [
+        ('@router.get("/items/@N@")\nasync def get_@N@(x):\n  pass\n@app.post(f"/x")\ndef other():\n  pass', [("GET", "/items/@N@", "get_@N@")], 1),
+        ("@app.post('/orders/@N@', status_code=201)\nasync def create(order):\n  pass\n\n@app.delete(\"/orders/{id}\")\ndef drop(id):\n  pass\n", [("POST", "/orders/@N@", "create"), ("DELETE", "/orders/{id}", "drop")], 0),
+        ("def helper(router):\n  return router.get('/x')\n", [], 0),
+    ],
+    "go": [
+        ('r.GET("/items/@N@", handler@N@)\nhttp.HandleFunc("/h", serve)\nr.POST(dynamic, x)', [("GET", "/items/@N@", "handler@N@"), ("ANY", "/h", "serve")], 1),
+        ('e.DELETE( "/orders/:id", api.Remove )\nmux.HandleFunc("/health/@N@", health)', [("DELETE", "/orders/:id", "api.Remove"), ("ANY", "/health/@N@", "health")], 0),
+        ('func main() { fmt.Println("GET /x") }', [], 0),
+    ],
+    "java": [
+        ('@GetMapping("/items/@N@")\n  public Item find@N@(Long id) {}\n@RequestMapping(value = X)', [("GET", "/items/@N@", "find@N@")], 1),
+        ('@PostMapping("/orders")\n  public ResponseEntity<Order> add@N@(Order o) {}\n@DeleteMapping("/orders/{id}")\n  public void drop(Long id) {}', [("POST", "/orders", "add@N@"), ("DELETE", "/orders/{id}", "drop")], 0),
+        ("@Service\npublic class Orders { public void get(String path) {} }", [], 0),
+    ],
+    "csharp": [
+        ('[HttpPost("items/@N@")]\npublic async Task Add@N@(int x) {}\napp.MapGet("/m", Handle);app.MapGroup("/g")', [("POST", "items/@N@", "Add@N@"), ("GET", "/m", "Handle")], 1),
+        ('[HttpDelete("orders/{id}")]\npublic IActionResult Drop(int id) {}\napp.MapPut("/o/@N@", Put@N@);', [("DELETE", "orders/{id}", "Drop"), ("PUT", "/o/@N@", "Put@N@")], 0),
+        ("class Orders { void Get(string path) {} }", [], 0),
+    ],
+    "php": [
+        ("Route::get('/items/@N@', [ItemController::class, 'show@N@']);Route::resource('x')", [("GET", "/items/@N@", "show@N@")], 1),
+        ("Route::post( '/orders', [OrderController::class, 'store']);\nRoute::delete('/orders/@N@', [OrderController::class, 'destroy']);", [("POST", "/orders", "store"), ("DELETE", "/orders/@N@", "destroy")], 0),
+        ("function get($path) { return route($path); }", [], 0),
+    ],
+    "ruby": [
+        ("get '/items/@N@', to: 'items#show@N@'\nresources :x", [("GET", "/items/@N@", "items#show@N@")], 1),
+        ("  post '/orders', to: 'orders#create'\n  delete '/orders/@N@', to: 'orders#drop'\n", [("POST", "/orders", "orders#create"), ("DELETE", "/orders/@N@", "orders#drop")], 0),
+        ("puts 'get'", [], 0),
+    ],
+    "typescript": [
+        ("@Controller('items')\nexport class Items@N@ {\n@Get(':id')\n  async find@N@(id) {}\n}\n@All()", [("GET", ":id", "find@N@")], 1),
+        ("@Controller('orders')\nexport class Items@N@ {\n@Post()\n  create(dto) {}\n@Delete(':id')\n  async drop(id) {}\n}", [("POST", "", "create"), ("DELETE", ":id", "drop")], 0),
+        ("@Injectable()\nexport class Items@N@ {\n  get(id) {}\n}", [], 0),
+    ],
+    "jest": [
+        ("describe('s', () => { it('a@N@', () => { expect(run()).toBe(1); }); it.skip('b', () => { expect(fn).toHaveBeenCalledTimes(2) }); test('twice', () => { expect(x).resolves.toFoo(1) }); test('twice', () => {}) })", [("a@N@", "NORMAL"), ("b", "SKIP")], 0),
+        ("it('c', () => { expect(order.total).toEqual(sum(1, add(2, 3))); expect(() => pay(0)).toThrow('no'); expect(view).toMatchSnapshot(); })", [("c", "NORMAL")], 0),
+        ("test.only('e@N@', () => { expect(list[0]).toBe(); expect(fn).not.toHaveBeenCalled(); expect(fn).toHaveBeenNthCalledWith(1, 'x'); expect(user).toHaveProperty('name'); expect(p).rejects.toThrowError() })", [("e@N@", "ONLY")], 0),
+    ],
 }
-@All()""",
-    "jest": "describe('s', () => { it('a@M@', () => { expect(run()).toBe(1); }); it.skip('b', () => { expect(fn).toHaveBeenCalledTimes(2) }); test('a1', () => { expect(x).resolves.toFoo(1) }) })",
-}
-
-
-def sources(language: str) -> str:
-    text = _TEXT[language].replace("'", "''")
-    return f"SELECT page_id, concat('p/', page_id) AS path, replace(replace('{text}', '@N@', page_id::VARCHAR), '@M@', (page_id % 3)::VARCHAR) AS content FROM pages"
+#: Of the texts for jest: (text, place, subject, matcher, arguments, kind, unresolved).
+_CLAIMED = [
+    (0, 1, "run()", "toBe", "1", "RETURN_VALUE", None),
+    (0, 2, "fn", "toHaveBeenCalledTimes", "2", "CALL_COUNT", None),
+    (0, 3, "x", "toFoo", "1", None, "ASSERTION_SEMANTICS_UNRESOLVED"),
+    (1, 1, "order.total", "toEqual", "sum(1, add(2, 3))", "STATE", None),
+    (1, 2, "() => pay(0)", "toThrow", "'no'", "EXCEPTION", None),
+    (1, 3, "view", "toMatchSnapshot", "", None, "SNAPSHOT_EXPECTATION_UNRESOLVED"),
+    (2, 1, "list[0]", "toBe", "", "STATE", "OUTCOME_NOT_EXPLICIT"),
+    (2, 2, "fn", "toHaveBeenCalled", "", "CALL_COUNT", None),
+    (2, 3, "fn", "toHaveBeenNthCalledWith", "1, 'x'", "INVOCATION_ARGUMENTS", None),
+    (2, 4, "user", "toHaveProperty", "'name'", "STATE", None),
+    (2, 5, "p", "toThrowError", "", "EXCEPTION", None),
+]
+_PAGES = "SELECT page_id, page_id % 3 AS m, concat('p/', page_id) AS path FROM pages"
 
 
 def source_files(spark, sf, language):
-    n, m = F.col("page_id").cast("string"), (F.col("page_id") % 3).cast("string")
-    content = F.replace(F.replace(F.lit(_TEXT[language]), F.lit("@N@"), n), F.lit("@M@"), m)
+    texts = F.array(*[F.lit(text) for text, _, _ in _TEXT[language]])
+    content = F.replace(F.get(texts, (F.col("page_id") % 3).cast("int")), F.lit("@N@"), F.col("page_id").cast("string"))
     return view(spark, sf, "pages").select("page_id", F.concat(F.lit("p/"), "page_id").alias("path"), content.alias("content"))
 
 
-def _duck(language: str) -> str:
-    parts = []
-    for pattern, verb, route, handler in x.ROUTES[language]:
-        p = pattern.replace("'", "''")
-        v = f"upper(unnest(regexp_extract_all(content, '{p}', {verb})))" if verb else f"unnest(list_transform(regexp_extract_all(content, '{p}'), lambda y: 'ANY'))"
-        parts.append(f"SELECT path, {v} AS verb, unnest(regexp_extract_all(content, '{p}', {route})) AS route, unnest(regexp_extract_all(content, '{p}', {handler})) AS handler FROM s")
-    return " UNION ALL ".join(parts)
+def _quoted(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """Stated answers as SQL."""
+    return f"(VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in rows)}) v({columns})"
+
+
+def _numbered(column: str) -> str:
+    return f"replace({column}, '@N@', page_id::VARCHAR) AS {column}"
+
+
+def _routes(language: str) -> str:
+    rows = [(i, *r) for i, (_, found, _) in enumerate(_TEXT[language]) for r in found]
+    return f"SELECT path, verb, {_numbered('route')}, {_numbered('handler')} FROM s JOIN {_values(rows, 'm, verb, route, handler')} USING (m)"
 
 
 def _add(name: str, language: str) -> None:
-    p = x.UNSUPPORTED[language].replace("'", "''")
-    gaps = f"SELECT path, 'UNSUPPORTED', len(regexp_extract_all(content, '{p}'))::VARCHAR, NULL FROM s WHERE regexp_matches(content, '{p}')"
+    gaps = [(i, n) for i, (_, _, n) in enumerate(_TEXT[language]) if n]
+    missing = f"SELECT path, 'UNSUPPORTED', n::VARCHAR, NULL FROM s JOIN {_values(gaps, 'm, n')} USING (m)"
 
-    @query(name, oracle(f"{_duck(language)} UNION ALL {gaps}", ("s", sources(language))))
+    @query(name, oracle(f"{_routes(language)} UNION ALL {missing}", ("s", _PAGES)))
     def run(spark, sf):
         f = source_files(spark, sf, language)
         missed = x.unsupported(f, language).select("path", F.lit("UNSUPPORTED").alias("verb"), F.col("n").cast("string").alias("route"), F.lit(None).cast("string").alias("handler"))
@@ -156,11 +191,11 @@ for _name, _language in (("src_py", "python"), ("src_go", "go"), ("src_java", "j
     _add(_name, _language)
 
 
-@query("src_ts", oracle("SELECT path, regexp_extract(content, 'export class (\\w+)', 1) AS class_name, upper(regexp_extract(content, '@(Get)', 1)) AS verb, regexp_extract(content, '@Get\\(''?([^'')]*)', 1) AS route FROM s", ("s", sources("typescript"))))
+@query("src_ts", oracle(f"SELECT path, decorator, concat('Items', page_id) AS class_name, verb, route, handler FROM (SELECT path, page_id, CASE m WHEN 2 THEN 'Injectable' ELSE 'Controller' END AS decorator FROM s) c LEFT JOIN (SELECT path, verb, route, handler FROM ({_routes('typescript')}) y) r USING (path)", ("s", _PAGES)))
 def src_ts(spark, sf):
-    """Decorated classes with the routes of their files."""
+    """Decorated classes with the routes of their files, if there are any."""
     f = source_files(spark, sf, "typescript")
-    return x.classes(f).join(x.routes(f, "typescript"), "path").select("path", F.col("name").alias("class_name"), "verb", "route")
+    return x.classes(f).join(x.routes(f, "typescript"), "path", "left").select("path", "decorator", F.col("name").alias("class_name"), "verb", "route", "handler")
 
 
 @query("src_registry", oracle("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'ruby' END AS scanner FROM pages"))
@@ -170,22 +205,22 @@ def src_registry(spark, sf):
     return view(spark, sf, "pages").select("page_id", F.when(language.isin(list(x.ROUTES)), language).alias("scanner"))
 
 
-@query("src_jest", oracle("SELECT path, title, modifier FROM (SELECT path, concat('a', page_id % 3) AS title, 'NORMAL' AS modifier FROM s UNION ALL SELECT path, 'b', 'SKIP' FROM s UNION ALL SELECT path, 'a1', 'NORMAL' FROM s) y QUALIFY count(*) OVER (PARTITION BY path, title) = 1", ("s", sources("jest"))))
+@query("src_jest", oracle(f"SELECT path, {_numbered('title')}, modifier FROM s JOIN {_values([(i, *r) for i, (_, found, _) in enumerate(_TEXT['jest']) for r in found], 'm, title, modifier')} USING (m)", ("s", _PAGES)))
 def src_jest(spark, sf):
     return x.tests(source_files(spark, sf, "jest"))
 
 
-_CLAIMS = "SELECT path, subject, matcher, place::INT AS place, CASE matcher WHEN 'toBe' THEN 'RETURN_VALUE' WHEN 'toHaveBeenCalledTimes' THEN 'CALL_COUNT' END AS kind FROM s, (VALUES ('run(', 'toBe', 1), ('fn', 'toHaveBeenCalledTimes', 2), ('x', 'toFoo', 3)) c(subject, matcher, place) WHERE subject <> 'run('"
+_CLAIMS = f"SELECT path, subject, matcher, arguments, kind, unresolved, place::INT AS place FROM s JOIN {_values(_CLAIMED, 'm, place, subject, matcher, arguments, kind, unresolved')} USING (m)"
 
 
-@query("src_jest_behav", oracle(_CLAIMS.replace("place::INT AS place", "(place - 1)::INT AS place"), ("s", sources("jest"))))
+@query("src_jest_behav", oracle(_CLAIMS, ("s", _PAGES)))
 def src_jest_behav(spark, sf):
     return x.assertions(source_files(spark, sf, "jest"))
 
 
-@query("src_assert", oracle(f"SELECT kind, count(*) AS n FROM ({_CLAIMS}) c GROUP BY kind", ("s", sources("jest"))))
+@query("src_assert", oracle(f"SELECT kind, unresolved, count(*) AS n FROM ({_CLAIMS}) c GROUP BY kind, unresolved", ("s", _PAGES)))
 def src_assert(spark, sf):
-    return x.assertions(source_files(spark, sf, "jest")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return x.assertions(source_files(spark, sf, "jest")).groupBy("kind", "unresolved").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_rel", oracle("SELECT artifact_id, artifact_key, file_path FROM v_artifact WHERE snapshot_id = (SELECT min(source) FROM documents) AND artifact_type = 'ENTITY'"))

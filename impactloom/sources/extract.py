@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lookup import lookup
+from ..functions.lookup import first_match
 
 VERBS = "get|post|put|patch|delete"
 #: language: (pattern, group of the verb, group of the path, group of the handler); group 0 means there is none.
@@ -33,18 +33,21 @@ UNSUPPORTED = {
     "typescript": r"@All\(",
 }
 # Matchers of assertions by what they check.
-ASSERTIONS = {
-    "toHaveBeenCalledTimes": "CALL_COUNT",
-    "toHaveBeenCalled": "INVOCATION_ARGUMENTS",
-    "toHaveBeenCalledWith": "INVOCATION_ARGUMENTS",
-    "toHaveBeenNthCalledWith": "INVOCATION_ARGUMENTS",
-    "toThrow": "EXCEPTION",
-    "toHaveProperty": "STATE",
-    "toBe": "RETURN_VALUE",
-    "toEqual": "RETURN_VALUE",
-}
+RETURN_VALUE = [
+    "toBe", "toEqual", "toStrictEqual", "toMatchObject", "toContain", "toContainEqual", "toBeCloseTo", "toBeGreaterThan", "toBeGreaterThanOrEqual", "toBeLessThan",
+    "toBeLessThanOrEqual", "toBeInstanceOf", "toBeDefined", "toBeUndefined", "toBeNull", "toBeTruthy", "toBeFalsy", "toBeNaN", "toHaveLength", "toMatch",
+]
+CALL_COUNT = ["toHaveBeenCalled", "toHaveBeenCalledOnce", "toHaveBeenCalledTimes", "toHaveReturned", "toHaveReturnedTimes"]
+INVOCATION_ARGUMENTS = ["toHaveBeenCalledWith", "toHaveBeenLastCalledWith", "toHaveBeenNthCalledWith"]
+EXCEPTION = ["toThrow", "toThrowError"]
+STATE = ["toHaveProperty"]
+SNAPSHOT = ["toMatchSnapshot", "toMatchInlineSnapshot"]
 _TEST = r"\b(describe|it|test)(?:\.(skip|only|todo))?\(\s*'([^']*)'"
-_EXPECT = r"expect\(([^)]*)\)(?:\.(?:not|resolves|rejects))?\.(\w+)\("
+#: What stands between parentheses, with up to three more inside one another.
+_INSIDE = r"[^()]*"
+for _ in range(3):
+    _INSIDE = rf"[^()]*(?:\({_INSIDE}\)[^()]*)*"
+_EXPECT = rf"\bexpect\(({_INSIDE})\)(?:\.(?:not|resolves|rejects))*\.(\w+)\(({_INSIDE})\)"
 
 
 def _each(content: str, pattern: str, groups: dict[str, int]) -> Column:
@@ -88,6 +91,30 @@ def tests(files: DataFrame) -> DataFrame:
 
 
 def assertions(files: DataFrame) -> DataFrame:
-    """(path, subject, matcher, kind, place): claims of tests; kind is null for matchers that are not known."""
-    each = files.select("path", F.explode(_each("content", _EXPECT, {"subject": 1, "matcher": 2})).alias("x")).select("path", "x.*")
-    return each.withColumn("kind", lookup(F.col("matcher"), ASSERTIONS))
+    """(path, subject, matcher, arguments, kind, unresolved, place): claims of tests, numbered in their file.
+
+    A returned value is state if the subject is a property or an element of something.  ``unresolved`` tells why a claim
+    says too little: snapshots and unknown matchers have no kind, and some matchers need what they expect.
+    """
+    each = files.select("path", F.explode(_each("content", _EXPECT, {"subject": 1, "matcher": 2, "arguments": 3})).alias("x")).select("path", "x.*")
+    matcher = F.col("matcher")
+    part = F.rtrim("subject").rlike(r"(\.\w+|\])$")
+    kind = first_match(
+        [
+            (matcher.isin(RETURN_VALUE) & part, "STATE"),
+            (matcher.isin(RETURN_VALUE), "RETURN_VALUE"),
+            (matcher.isin(CALL_COUNT), "CALL_COUNT"),
+            (matcher.isin(INVOCATION_ARGUMENTS), "INVOCATION_ARGUMENTS"),
+            (matcher.isin(EXCEPTION), "EXCEPTION"),
+            (matcher.isin(STATE), "STATE"),
+        ]
+    )
+    explicit = matcher.isin([*RETURN_VALUE, *STATE, "toHaveBeenNthCalledWith"])
+    unresolved = first_match(
+        [
+            (matcher.isin(SNAPSHOT), "SNAPSHOT_EXPECTATION_UNRESOLVED"),
+            (F.col("kind").isNull(), "ASSERTION_SEMANTICS_UNRESOLVED"),
+            (explicit & (F.trim("arguments") == ""), "OUTCOME_NOT_EXPLICIT"),
+        ]
+    )
+    return each.withColumn("kind", kind).withColumn("unresolved", unresolved).select("path", "subject", "matcher", "arguments", "kind", "unresolved", "place")

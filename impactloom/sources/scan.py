@@ -14,6 +14,7 @@ from ..operators.ordering import margin, within_limits
 # Folders and endings that are never read, and limits.
 IGNORED_FOLDERS = [".git", "node_modules", "dist", "build", "coverage", ".next", ".turbo", ".cache", "vendor", "tmp", "out", "target", ".idea", ".vscode", ".mvn", ".gradle"]
 IGNORED_ENDINGS = [".min.js", ".map", ".lock", ".zip", ".tar", ".gz", ".7z", ".exe", ".dll", ".so", ".dylib", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".csv"]
+LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml"]
 MAX_FILES, MAX_FILE_BYTES, MAX_BYTES = 10_000, 1 << 20, 100 << 20
 SNIFFED, CONTROL_SHARE = 8192, 0.3
 # Path terms of domains.
@@ -69,7 +70,11 @@ def skip_reason(path: Column, size: Column, binary: Column) -> Column:
     ending = F.lit(False)
     for e in IGNORED_ENDINGS:
         ending = ending | path.endswith(e)
-    return first_match([(ignored, "IGNORED_DIRECTORY"), (ending, "UNSUPPORTED_EXTENSION"), (F.contains(path, F.lit(".generated.")), "GENERATED_FILE"), (size > MAX_FILE_BYTES, "FILE_TOO_LARGE"), (binary, "BINARY_FILE")])
+    name = F.element_at(F.split(path, "/"), -1)
+    generated = F.contains(name, F.lit(".generated.")) | F.contains(name, F.lit(".gen."))
+    return first_match(
+        [(ignored, "IGNORED_DIRECTORY"), (ending, "UNSUPPORTED_EXTENSION"), (name.isin(LOCK_FILES), "VENDOR_FILE"), (generated, "GENERATED_FILE"), (size > MAX_FILE_BYTES, "FILE_TOO_LARGE"), (binary, "BINARY_FILE")]
+    )
 
 
 def enumerated(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
