@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import cut
+
 
 def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The greatest row by ``order`` of each group; an aggregation, so groups need no sort and combine early."""
@@ -19,6 +21,17 @@ def occurrences(df: DataFrame, seed: list[str], order: list[str], name: str = "o
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*seed).orderBy(*order)))
 
 
+def places(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place in the whole order: sorted in ranges, numbered in each, and moved by the ranges' sizes."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # The upper bits of such a number are the range, the lower 33 the row's place in it.
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = ranged.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")  # a row for each range
+    return moved.withColumn(name, F.col("__before") + row + 1).select(*df.columns, name)
+
+
 def unique_only(df: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs once; keys are counted with early combination, not by windows."""
     once = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select(*key)

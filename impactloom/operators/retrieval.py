@@ -12,7 +12,7 @@ from ..functions.vector import cosine, norm
 from . import graph
 from . import projections as p
 from .ordering import adaptive_cutoff, merged, top_per_group
-from .rounds import cut
+from .rounds import blocks, cut
 
 # What a request's words say it wants.
 INTENTS = {
@@ -63,24 +63,23 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, limit: int = 1_000) -
     n = asked.count()
     if n <= limit:
         return block(asked)
-    blocks = -(-n // limit)
-    dealt = cut(asked.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    parts = -(-n // limit)
+    dealt = cut(asked.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(parts))))
     # Each block's result is written, so that not all blocks are in the executors' memory at once.
-    return merged([cut(block(dealt.where(F.col("__b") == b).drop("__b"))) for b in range(blocks)])
+    return merged([cut(block(dealt.where(F.col("__b") == b).drop("__b"))) for b in range(parts)])
 
 
 def lexical_hits(artifacts: DataFrame, keywords: DataFrame, request: Column, limit: int = 10_000) -> DataFrame:
     """(artifact_id, domain): artifacts that hold a keyword; domain is 1 for a term of the request, else 0.5, or 0.
 
-    ``keywords`` has keyword and glossary (whether it is a domain term); the list is checked to be short.
+    ``keywords`` has keyword and glossary (whether it is a domain term); they are broadcast in blocks of about ``limit``.
     """
-    if keywords.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} keywords")
     pattern = F.concat(F.lit("%"), "keyword", F.lit("%"))
     hit = F.ilike("name", pattern)
     for c in ("file_path", "artifact_key"):
         hit = hit | F.ilike(c, pattern)
-    both = artifacts.select("artifact_id", "name", "file_path", "artifact_key").join(F.broadcast(keywords), hit)
+    named = artifacts.select("artifact_id", "name", "file_path", "artifact_key")
+    both = merged([named.join(F.broadcast(part), hit) for part in blocks(keywords, limit)])
     place = F.lower(F.concat_ws(" ", "name", "file_path"))
     named = F.col("glossary") & place.contains(F.lower("keyword"))
     strength = F.when(named & F.lower(request).contains(F.lower("keyword")), 1.0).when(named, 0.5).otherwise(0.0)

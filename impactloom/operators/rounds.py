@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the checkpoint folder, without its lineage.
 
-    A cluster names the folder in ``spark.checkpoint.dir``; only where it is unset, a temporary one is set.
+    A cluster names the folder in ``spark.checkpoint.dir``; only where it is unset, a local run gets a temporary one.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="impactloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def blocks(df: DataFrame, limit: int) -> list[DataFrame]:
+    """``df`` in parts of about ``limit`` rows, each of which may be broadcast; one part if it has no more."""
+    n = df.limit(limit + 1).count()
+    if n <= limit:
+        return [df]
+    parts = -(-df.count() // limit)
+    dealt = cut(df.withColumn("__b", F.pmod(F.xxhash64(*df.columns), F.lit(parts))))
+    return [dealt.where(F.col("__b") == i).drop("__b") for i in range(parts)]

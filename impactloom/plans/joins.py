@@ -140,7 +140,7 @@ def jn_row_detail(spark, sf):
 
 
 _OBSERVED = "SELECT event_id AS obs_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id % 30 END AS line, concat('t', user_id % 12) AS path FROM events"
-_TESTS = "SELECT vec_id AS case_id, concat('t', vec_id % 12) AS path, vec_id % 29 AS line FROM embeddings WHERE vec_id < 200"
+_TESTS = "SELECT vec_id AS case_id, concat('t', vec_id % 12) AS path, vec_id % 29 AS line FROM embeddings"
 
 
 @query("jn_runtime", oracle("SELECT obs_id, o.path, o.line, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'MATCHED' ELSE 'UNMATCHED' END AS correlation, CASE WHEN n = 1 THEN case_id END AS case_id FROM o LEFT JOIN (SELECT path, line, count(*) AS n, min(case_id) AS case_id FROM t GROUP BY path, line) c ON c.path = o.path AND c.line = o.line", ("o", _OBSERVED), ("t", _TESTS)))
@@ -293,24 +293,11 @@ def jn_edge_valid(spark, sf):
     return j.valid_edges(edges, view(spark, sf, "v_artifact"), over(spark, sf, _PROOF, "v_artifact"))
 
 
-@query("jn_audit", oracle("SELECT e.from_id, e.to_id, CASE WHEN 8 > a.end_line OR 0 < 0 THEN 'LOCATION_OUTSIDE_ARTIFACT_RANGE' WHEN NOT contains(array_to_string(string_split(a.excerpt, chr(10))[1:3], chr(10)), split_part(b.name, '_', 2)) THEN 'TARGET_CALL_NOT_AT_REPORTED_LOCATION' END AS reason FROM v_aedge e JOIN v_artifact a ON a.artifact_id = from_id JOIN v_artifact b ON b.artifact_id = to_id"))
+@query("jn_audit", oracle("SELECT e.from_id, e.to_id, CASE WHEN e.to_id % 7 + 3 > a.end_line THEN 'LOCATION_OUTSIDE_ARTIFACT_RANGE' WHEN NOT contains(array_to_string(string_split(a.excerpt, chr(10))[e.to_id % 7 + 1 : e.to_id % 7 + 3], chr(10)), split_part(b.name, '_', 2)) THEN 'TARGET_CALL_NOT_AT_REPORTED_LOCATION' END AS reason FROM v_aedge e JOIN v_artifact a ON a.artifact_id = from_id JOIN v_artifact b ON b.artifact_id = to_id"))
 def jn_audit(spark, sf):
-    """Whether the target is named in the reported lines (here the first three) of the source."""
-    a = view(spark, sf, "v_artifact").select(F.col("artifact_id").alias("from_id"), "end_line", F.array_join(F.slice(F.split("excerpt", "\n"), 1, 3), "\n").alias("lines"))
+    """Whether the target is named in the reported lines of the source; an edge reports three lines, from its target's remainder on."""
+    a = view(spark, sf, "v_artifact").select(F.col("artifact_id").alias("from_id"), "end_line", F.split("excerpt", "\n").alias("lines"))
     b = view(spark, sf, "v_artifact").select(F.col("artifact_id").alias("to_id"), F.split_part("name", F.lit("_"), F.lit(2)).alias("target"))
-    e = view(spark, sf, "v_aedge").join(a, "from_id").join(b, "to_id")
-    return e.select("from_id", "to_id", first_match([(F.col("end_line") < 8, "LOCATION_OUTSIDE_ARTIFACT_RANGE"), (~F.contains("lines", "target"), "TARGET_CALL_NOT_AT_REPORTED_LOCATION")]).alias("reason"))
-
-
-@query("jn_query_vec", oracle("SELECT vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dot FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"))
-def jn_query_vec(spark, sf):
-    from ..functions.vector import dot
-
-    e = view(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)  # one row
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("dot"))
-
-
-@query("jn_block_reason", oracle(f"SELECT run_id, list_sort(list_distinct(list({BLOCK_SQL}))) AS reasons FROM j GROUP BY run_id", ("j", JUDGED)))
-def jn_block_reason(spark, sf):
-    return judged(spark, sf).groupBy("run_id").agg(F.sort_array(F.collect_set(p.child_block(F.col("status"), F.col("stale"), F.col("decision")))).alias("reasons"))
+    e = view(spark, sf, "v_aedge").withColumn("first", (F.col("to_id") % 7 + 1).cast("int")).join(a, "from_id").join(b, "to_id")
+    reported = F.array_join(F.slice("lines", F.col("first"), F.lit(3)), "\n")
+    return e.select("from_id", "to_id", first_match([(F.col("end_line") < F.col("first") + 2, "LOCATION_OUTSIDE_ARTIFACT_RANGE"), (~F.contains(reported, F.col("target")), "TARGET_CALL_NOT_AT_REPORTED_LOCATION")]).alias("reason"))

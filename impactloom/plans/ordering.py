@@ -96,11 +96,11 @@ def srt_keyset(spark, sf):
 
 @query(
     "srt_rankmap",
-    oracle("SELECT link_id, row_number() OVER (ORDER BY CASE decision WHEN 'REJECTED' THEN 1 WHEN 'ACCEPTED' THEN 2 ELSE 3 END, CASE link_basis WHEN 'INFERRED' THEN 1 ELSE 2 END, link_id) AS place FROM v_link ORDER BY place LIMIT 200"),
+    oracle("SELECT link_id, row_number() OVER (ORDER BY CASE decision WHEN 'REJECTED' THEN 1 WHEN 'ACCEPTED' THEN 2 ELSE 3 END, CASE link_basis WHEN 'INFERRED' THEN 1 ELSE 2 END, link_id) AS place FROM v_link"),
 )
 def srt_rankmap(spark, sf):
     order = [rank_of(F.coalesce("decision", F.lit("")), ["REJECTED", "ACCEPTED"]), rank_of(F.col("link_basis"), ["INFERRED"]), F.col("link_id")]
-    return o.occurrences(view(spark, sf, "v_link").orderBy(*order).limit(200), [], order, "place").select("link_id", "place")
+    return o.places(view(spark, sf, "v_link"), order, "place").select("link_id", "place")
 
 
 _QUEUED = """SELECT 'INSIGHT' AS source, insight_id AS item_id, analysis_id, CASE WHEN insight_type = 'UNKNOWN' THEN 90 WHEN certainty = 'EVIDENCED' AND insight_id % 3 = 0 THEN 80 WHEN insight_id % 3 = 1 THEN 70 ELSE 30 END AS rank FROM v_insight WHERE review_status = 'NEEDS_REVIEW'

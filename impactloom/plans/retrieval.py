@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from ..functions.lookup import first_match
@@ -27,10 +30,10 @@ _COS = "list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _KNN = f"SELECT c.artifact_id, {_COS} AS similarity FROM v_chunk c, (SELECT embedding FROM v_chunk WHERE chunk_id = 0) q ORDER BY similarity DESC, artifact_id LIMIT 40"
 
 
-@query("rt_knn", oracle("SELECT query_id, artifact_id, round(similarity, 6) AS similarity FROM (SELECT q.chunk_id AS query_id, c.artifact_id, " + _COS + " AS similarity, row_number() OVER (PARTITION BY q.chunk_id ORDER BY " + _COS + " DESC, c.artifact_id) AS r FROM v_chunk c JOIN v_chunk q ON q.snapshot_id = c.snapshot_id WHERE q.chunk_id % 50 = 0) x WHERE r <= 10"))
+@query("rt_knn", oracle("SELECT query_id, artifact_id, round(similarity, 6) AS similarity FROM (SELECT q.chunk_id AS query_id, c.artifact_id, " + _COS + " AS similarity, row_number() OVER (PARTITION BY q.chunk_id ORDER BY " + _COS + " DESC, c.artifact_id) AS r FROM v_chunk c JOIN v_chunk q ON q.snapshot_id = c.snapshot_id WHERE q.chunk_id % 20 = 0) x WHERE r <= 10"))
 def rt_knn(spark, sf):
     chunks = view(spark, sf, "v_chunk")
-    found = r.nearest(chunks, chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "snapshot_id", "embedding"), 10)
+    found = r.nearest(chunks, chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "snapshot_id", "embedding"), 10)
     return found.select("query_id", "artifact_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -127,34 +130,65 @@ def rt_evidence(spark, sf):
     return top.join(last, "artifact_id").select("artifact_id", "evidence_id", p.link_basis(F.col("method"), F.col("signals")).alias("basis"))
 
 
-_TOKENS = "list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2))"
-
-
-def _overlap(spark, sf, boost=None):
-    """(request_id, artifact_id, score): shared words of requests and artifacts."""
-    words = F.explode(tokens(F.col("text"))).alias("w")
-    q = view(spark, sf, "v_request").select("request_id", words)
-    a = view(spark, sf, "v_artifact").select("artifact_id", F.concat_ws(" ", "name", "file_path", F.substring("excerpt", 1, 200)).alias("text")).select("artifact_id", words)
-    return q.join(a, "w").groupBy("request_id", "artifact_id").agg(F.count(F.lit(1)).alias("n"))
+_TOKENS = "list_filter(string_split(lower(regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2{})"
+# Words that say nothing, and how many words of an excerpt the baseline reads.
+STOPS, EXCERPT_WORDS = ["the", "and", "for", "that", "this", "with", "from", "a", "an"], 50
+_STOPPED = " AND w NOT IN (" + ", ".join(f"'{w}'" for w in STOPS) + ")"
 
 
-_OVERLAP = f"SELECT request_id, artifact_id, count(*) AS n FROM (SELECT request_id, unnest({_TOKENS.format('text')}) AS w FROM v_request) q JOIN (SELECT artifact_id, unnest({_TOKENS.format('text')}) AS w FROM (SELECT artifact_id, concat_ws(' ', name, file_path, excerpt[1:200]) AS text FROM v_artifact) x) a USING (w) GROUP BY request_id, artifact_id"
-
-
-@query("rt_lexeval", oracle(f"SELECT request_id, artifact_id, score FROM (SELECT request_id, artifact_id, n + CASE WHEN universal_kind = 'TEST_CASE' AND (contains(lower(text), 'test') OR contains(lower(text), 'qa')) THEN 2 ELSE 0 END AS score, universal_kind FROM ({_OVERLAP}) o JOIN v_artifact USING (artifact_id) JOIN v_request USING (request_id) WHERE universal_kind <> 'DOMAIN_SERVICE' OR artifact_id IN (SELECT from_id FROM v_aedge UNION SELECT to_id FROM v_aedge)) y QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, universal_kind, artifact_id) <= 20"))
+@query(
+    "rt_lexeval",
+    oracle(
+        """SELECT request_id, artifact_id, score FROM (SELECT r.request_id, a.artifact_id, a.universal_kind, file_path, name, artifact_key, coalesce(n, 0) + CASE WHEN a.universal_kind = 'API_ENDPOINT' THEN 2 * contains(lower(text), 'api')::INT + 2 * contains(lower(text), 'webhook')::INT
+  WHEN a.universal_kind = 'DOMAIN_SERVICE' THEN 2 * contains(lower(text), 'service')::INT WHEN a.universal_kind = 'TEST_CASE' THEN 2 * (contains(lower(text), 'test') OR contains(lower(text), 'qa'))::INT ELSE 0 END AS score
+ FROM v_request r CROSS JOIN v_artifact a LEFT JOIN o ON o.request_id = r.request_id AND o.artifact_id = a.artifact_id WHERE a.universal_kind <> 'DOMAIN_SERVICE' OR a.artifact_id IN (SELECT from_id FROM v_aedge UNION SELECT to_id FROM v_aedge)) y
+WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, universal_kind, file_path, name, artifact_key, artifact_id) <= 20""",
+        ("q", f"SELECT DISTINCT request_id, unnest({_TOKENS.format('text', _STOPPED)}) AS w FROM v_request"),
+        ("x", f"SELECT artifact_id, w, min(i) AS i FROM (SELECT artifact_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT artifact_id, {_TOKENS.format('excerpt', _STOPPED)} AS l FROM v_artifact) y) z GROUP BY artifact_id, w"),
+        ("w", f"SELECT artifact_id, w FROM x QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY i) <= {EXCERPT_WORDS} UNION SELECT artifact_id, unnest({_TOKENS.format('t', _STOPPED)}) FROM (SELECT artifact_id, concat_ws(' ', artifact_key, name, file_path, artifact_type, universal_kind) AS t FROM v_artifact) y"),
+        ("o", "SELECT request_id, artifact_id, count(*) AS n FROM q JOIN w USING (w) GROUP BY request_id, artifact_id"),
+    ),
+)
 def rt_lexeval(spark, sf):
-    """The plain baseline: shared words and a boost for wanted tests; services count only if the graph knows them."""
-    requests, artifacts, e = view(spark, sf, "v_request"), view(spark, sf, "v_artifact").select("artifact_id", "universal_kind"), view(spark, sf, "v_aedge")
-    known = e.select(F.col("from_id").alias("artifact_id")).union(e.select("to_id")).distinct().withColumn("known", F.lit(True))
-    rows = _overlap(spark, sf).join(artifacts, "artifact_id").join(known, "artifact_id", "left").where("universal_kind <> 'DOMAIN_SERVICE' OR known").join(requests, "request_id")
-    boost = F.when((F.col("universal_kind") == "TEST_CASE") & F.lower("text").rlike("test|qa"), 2).otherwise(0)
-    ranked = top_per_group(rows.withColumn("score", F.col("n") + boost), ["request_id"], [F.col("score").desc(), F.col("universal_kind"), F.col("artifact_id")], 20)
+    """The plain baseline: shared words and boosts for wanted kinds; services count only if the graph knows them.
+
+    An artifact without a shared word can only be among a request's best by its kind's boost, so of each kind the first
+    twenty are enough.
+    """
+    known = lambda c: F.filter(tokens(c), lambda w: ~w.isin(STOPS))
+    requests, e = view(spark, sf, "v_request"), view(spark, sf, "v_aedge")
+    linked = e.select(F.col("from_id").alias("artifact_id")).union(e.select("to_id")).distinct().withColumn("linked", F.lit(True))
+    artifacts = view(spark, sf, "v_artifact").join(linked, "artifact_id", "left").where("universal_kind <> 'DOMAIN_SERVICE' OR linked")
+    names = F.concat_ws(" ", "artifact_key", "name", "file_path", "artifact_type", "universal_kind")
+    words = artifacts.select("artifact_id", F.explode(F.array_union(known(names), F.slice(known(F.col("excerpt")), 1, EXCERPT_WORDS))).alias("w"))
+    shared = requests.select("request_id", F.explode(known(F.col("text"))).alias("w")).join(words, "w").groupBy("request_id", "artifact_id").agg(F.count(F.lit(1)).alias("n"))
+    low = F.lower("text")
+    two = lambda *said: F.when(reduce(or_, [low.contains(x) for x in said]), 2).otherwise(0)
+    wanted = F.array(*[F.struct(F.lit(k).alias("universal_kind"), b.alias("boost")) for k, b in (("API_ENDPOINT", two("api") + two("webhook")), ("DOMAIN_SERVICE", two("service")), ("TEST_CASE", two("test", "qa")))])
+    boosts = requests.select("request_id", F.explode(wanted).alias("b")).select("request_id", "b.*").where("boost > 0")
+    order = ["universal_kind", "file_path", "name", "artifact_key", "artifact_id"]
+    firsts = top_per_group(artifacts.select(*order), ["universal_kind"], [F.col(c) for c in order], 20)
+    alone = boosts.join(firsts, "universal_kind").select("request_id", "artifact_id", F.lit(0).cast("long").alias("n"))
+    rows = shared.unionByName(alone).groupBy("request_id", "artifact_id").agg(F.max("n").alias("n")).join(artifacts.select(*order), "artifact_id").join(boosts, ["request_id", "universal_kind"], "left")
+    ranked = top_per_group(rows.withColumn("score", F.col("n") + F.coalesce("boost", F.lit(0))), ["request_id"], [F.col("score").desc(), *[F.col(c) for c in order]], 20)
     return ranked.select("request_id", "artifact_id", "score")
 
 
-@query("srt_lexscore", oracle(f"SELECT request_id, artifact_id, 10 * n AS score FROM ({_OVERLAP}) o QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC, artifact_id) <= 12"))
+@query(
+    "srt_lexscore",
+    oracle(
+        "SELECT request_id, artifact_id, 10 * n AS score FROM (SELECT request_id, artifact_id, count(*) AS n FROM q JOIN w USING (w) GROUP BY request_id, artifact_id) o QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC, artifact_id) <= 12",
+        ("q", f"SELECT DISTINCT request_id, unnest({_TOKENS.format('text', '')}) AS w FROM v_request"),
+        ("w", f"SELECT DISTINCT artifact_id, unnest({_TOKENS.format('t', '')}) AS w FROM (SELECT artifact_id, concat_ws(' ', name, file_path, excerpt) AS t FROM v_artifact) y"),
+    ),
+)
 def srt_lexscore(spark, sf):
-    top = top_per_group(_overlap(spark, sf), ["request_id"], [F.col("n").desc(), F.col("artifact_id")], 12)
+    """Ten for each shared word of the whole texts; the best twelve."""
+    words = F.explode(tokens(F.col("text"))).alias("w")
+    q = view(spark, sf, "v_request").select("request_id", words)
+    a = view(spark, sf, "v_artifact").select("artifact_id", F.concat_ws(" ", "name", "file_path", "excerpt").alias("text")).select("artifact_id", words)
+    shared = q.join(a, "w").groupBy("request_id", "artifact_id").agg(F.count(F.lit(1)).alias("n"))
+    top = top_per_group(shared, ["request_id"], [F.col("n").desc(), F.col("artifact_id")], 12)
     return top.select("request_id", "artifact_id", (10 * F.col("n")).alias("score"))
 
 

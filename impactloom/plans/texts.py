@@ -103,3 +103,14 @@ def fn_histogram(spark, sf):
 @query("fn_json", oracle("SELECT event_id, (props ->> '$.k')::INT AS k, props ->> '$.none' AS none FROM events"))
 def fn_json(spark, sf):
     return view(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.none").alias("none"))
+
+
+_LISTED = """SELECT event_id, concat('[{"code":"SCAN_NOTE","n":', user_id, '}', CASE WHEN event_id % 3 > 0 THEN concat(',{"code":"REUSE_PLAN","n":', event_id % 50, '}') ELSE '' END, CASE WHEN event_id % 5 = 0 THEN ',{"code":"REUSE_PLAN","n":-1}' ELSE '' END, CASE WHEN event_id % 11 = 0 THEN '' ELSE ']' END) AS diagnostics FROM events"""
+
+
+@query("fn_json_find", oracle("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 > 0 THEN event_id % 50 WHEN event_id % 5 = 0 THEN -1 END::INT AS n FROM d", ("d", _LISTED)))
+def fn_json_find(spark, sf):
+    """The first diagnostic of a code in a JSON array; null if there is none or the text is no JSON."""
+    known = F.from_json("diagnostics", "array<struct<code:string,n:int>>")
+    first = F.get(F.filter(known, lambda x: x["code"] == "REUSE_PLAN"), F.lit(0))
+    return over(spark, sf, _LISTED.replace("{", "{{").replace("}", "}}"), "events").select("event_id", first["n"].alias("n"))

@@ -24,8 +24,8 @@ def local_session(app: str = "impactloom", cores: str = "*", partitions: int = 8
     )
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where that is unset, a local run gets a temporary folder; a cluster, whose executors would not see it, gets an error.
     """
@@ -35,4 +35,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="impactloom-")
         spark.sparkContext.setCheckpointDir(known)
-    return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return known
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
