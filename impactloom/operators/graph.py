@@ -1,7 +1,7 @@
 """Graph operators over an edge table (from_id, to_id, type): neighbourhoods, paths, closures, lineage.
 
-Depths are bounded by parameters, so loops on the driver only build plans, but for lineage, which writes each round;
-frontiers stay distributed.
+Depths are bounded by parameters, but for lineage, which goes on until no chain does.  Loops write each round, so that
+neither plans nor work grow with the rounds before; frontiers stay distributed.
 """
 
 from __future__ import annotations
@@ -42,12 +42,12 @@ def hop2_scores(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def upstream(edges: DataFrame, targets: DataFrame, depth: int = 4, types: tuple[str, ...] = ("CALLS",)) -> DataFrame:
     """(target, id, depth): what reaches each target over at most ``depth`` edges, at its least depth."""
-    back = edges.where(F.col("type").isin(*types)).select("from_id", F.col("to_id").alias("id")).distinct()
+    back = cut(edges.where(F.col("type").isin(*types)).select("from_id", F.col("to_id").alias("id")).distinct())
     seen = targets.select(F.col("id").alias("target"), "id").distinct().withColumn("depth", F.lit(0))
     front = seen
     for d in range(1, depth + 1):
         step = front.join(back, "id").select("target", F.col("from_id").alias("id")).distinct()
-        front = step.join(seen.select("target", "id"), ["target", "id"], "left_anti").withColumn("depth", F.lit(d))
+        front = cut(step.join(seen.select("target", "id"), ["target", "id"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
 
@@ -55,10 +55,10 @@ def upstream(edges: DataFrame, targets: DataFrame, depth: int = 4, types: tuple[
 def closure(edges: DataFrame, start: DataFrame, depth: int, cap: int) -> DataFrame:
     """(id, depth) of the callers of all starts together, the nearest ``cap`` of them."""
     one = start.select("id").distinct()
-    back = edges.select("from_id", F.col("to_id").alias("id")).distinct()
+    back = cut(edges.select("from_id", F.col("to_id").alias("id")).distinct())
     seen = front = one.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        front = front.join(back, "id").select(F.col("from_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        front = cut(front.join(back, "id").select(F.col("from_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen.orderBy("depth", "id").limit(cap)
 
@@ -69,14 +69,14 @@ def test_paths(edges: DataFrame, targets: DataFrame, depth: int = 4, most: int =
     A path lists node identifiers from the test to the target.  Of paths of one length that with the least list of
     identifiers, read from the target, stays.
     """
-    calls = edges.where("type = 'CALLS'").select("from_id", F.col("to_id").alias("id")).distinct()
+    calls = cut(edges.where("type = 'CALLS'").select("from_id", F.col("to_id").alias("id")).distinct())
     tests = edges.where("type = 'TESTS'").select(F.col("from_id").alias("test"), F.col("to_id").alias("id")).distinct()
     best = Window.partitionBy("target", "id").orderBy("trail")
     seen = front = targets.select(F.col("id").alias("target"), "id", F.array("id").alias("trail")).distinct()
     for _ in range(depth):
         step = front.join(calls, "id").select("target", F.col("from_id").alias("id"), F.array_append("trail", F.col("from_id")).alias("trail"))
         step = step.join(seen.select("target", "id"), ["target", "id"], "left_anti")
-        front = step.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
+        front = cut(step.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r"))
         seen = seen.unionByName(front)
     found = seen.join(tests, "id").select("target", "test", F.size("trail").alias("n_edges"), F.array_append("trail", F.col("test")).alias("trail"))
     one = found.groupBy("target", "test").agg(F.min(F.struct("n_edges", "trail")).alias("p")).select("target", "test", "p.*")
@@ -94,12 +94,18 @@ def qa_coverage(targets: DataFrame, paths: DataFrame) -> DataFrame:
 
 def first_path(edges: DataFrame, starts: DataFrame, goal: int, depth: int = 4) -> DataFrame:
     """(start, path): the path that a depth-first search by target identifier meets first; not always a shortest one."""
-    out = edges.where("type = 'CALLS'").select(F.col("from_id").alias("id"), "to_id").distinct()
+    out = cut(edges.where("type = 'CALLS'").select(F.col("from_id").alias("id"), "to_id").distinct())
+    # How many edges a node is from the goal: paths go on only through nodes that can still reach it.
+    left = step = starts.sparkSession.createDataFrame([(goal, 0)], ["to_id", "left"])
+    for d in range(1, depth + 1):
+        step = out.join(step.select("to_id"), "to_id", "left_semi").select(F.col("id").alias("to_id")).distinct().join(left.select("to_id"), "to_id", "left_anti").withColumn("left", F.lit(d).cast("long"))
+        step = cut(step)
+        left = left.unionByName(step)
     front = starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path"))
     done = front.where(F.col("id") == goal)
-    for _ in range(depth):
-        front = front.where(F.col("id") != goal).join(out, "id").where(~F.array_contains("path", F.col("to_id")))
-        front = front.select("start", F.col("to_id").alias("id"), F.array_append("path", F.col("to_id")).alias("path"))
+    for d in range(depth):
+        front = front.where(F.col("id") != goal).join(out, "id").where(~F.array_contains("path", F.col("to_id"))).join(left.where(F.col("left") < depth - d).select("to_id"), "to_id", "left_semi")
+        front = cut(front.select("start", F.col("to_id").alias("id"), F.array_append("path", F.col("to_id")).alias("path")))
         done = done.unionByName(front.where(F.col("id") == goal))
     # Depth-first order is the order of the lists of identifiers: no path to the goal is the beginning of another.
     return done.groupBy("start").agg(F.min("path").alias("path"))

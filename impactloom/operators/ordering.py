@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,9 +69,21 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], text: str,
 
 
 def within_limits(df: DataFrame, by: list[str], order: list[str], size: str, files: int, total: int) -> DataFrame:
-    """Rows in order with ``kept``: false from the first on that passes the number of files or the total size."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("kept", (F.count(F.lit(1)).over(w) <= files) & (F.sum(size).over(w) <= total))
+    """Rows in order with ``kept``: false from the first on that passes the number of files or the total size.
+
+    Rows are sorted in ranges, so a large group lies in many of them; sums run inside a range, and what a group has in
+    earlier ranges is added.  Only one group of a range can have begun before it.
+    """
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = ranged.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum(size), F.lit(0)).alias("__s"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("__part").alias("__of"), *[F.col(c).alias(f"__by_{c}") for c in by], F.sum("__n").over(earlier).alias("__n"), F.sum("__s").over(earlier).alias("__s")).where("__n is not null")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("__part") == F.col("__of"))
+    rows = ranged.join(F.broadcast(before), same, "left")  # a row for each range at most
+    n, s = (F.coalesce(c, F.lit(0)) for c in ("__n", "__s"))
+    kept = (F.count(F.lit(1)).over(w) + n <= files) & (F.coalesce(F.sum(size).over(w), F.lit(0)) + s <= total)
+    return rows.withColumn("kept", kept).select(*df.columns, "kept")
 
 
 def interleaved(df: DataFrame, by: list[str], lists: list[str], column: str, order: list[str], n: int) -> DataFrame:

@@ -185,3 +185,27 @@ def test_scan_of_folders(spark, tmp_path):
     assert scan.frameworks(short).first()["languages"] == ["GO"]
     capped = scan.enumerated(short.drop("content"), max_files=1)
     assert dict(pairs(capped, "path", "reason"))["src/a.go"] == "REPO_LIMIT_EXCEEDED"
+
+
+def test_limits_and_places_over_many_ranges(spark):
+    """One large group, a null one and small ones, against running sums on the driver."""
+    from impactloom.operators import ordering as o
+
+    rows = [(None if i % 10 == 9 else "big" if i % 10 else f"g{i % 7}", i * 7 % 1_000, i % 13 if i % 17 else None) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "g string, k int, size long").repartition(7)
+    want, n, total = set(), {}, {}
+    for g, k, size in sorted(rows, key=lambda r: r[1]):
+        n[g], total[g] = n.get(g, 0) + 1, total.get(g, 0) + (size or 0)
+        want |= {(g, k)} if n[g] <= 60 and total[g] <= 300 else set()
+    got = {(r["g"], r["k"]) for r in o.within_limits(df, ["g"], ["k"], "size", 60, 300).where("kept").collect()}
+    assert got == want
+    placed = o.places(df, [F.col("k")], "place").collect()
+    assert sorted((r["place"], r["k"]) for r in placed) == [(i + 1, i) for i in range(1_000)]
+
+
+def test_first_path_only_goes_where_the_goal_is(spark):
+    from impactloom.operators import graph
+
+    wide = [(0, i, "CALLS") for i in range(1, 60)] + [(i, j, "CALLS") for i in range(1, 60) for j in range(100, 160)] + [(59, 9_000, "CALLS"), (9_000, 9_999, "CALLS"), (0, 1, "TESTS")]
+    e = spark.createDataFrame(wide, "from_id long, to_id long, type string")
+    assert graph.first_path(e, spark.createDataFrame([(0,), (150,)], "id long"), 9_999).collect()[0]["path"] == [0, 59, 9_000, 9_999]
