@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import merged
+from .ordering import merged, top_per_group
 from .rounds import cut
 
 
@@ -131,3 +131,101 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (id)."""
     ids = nodes.select("id").distinct()
     return edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+
+
+def impact_graph(analyses: DataFrame, links: DataFrame, edges: DataFrame, insights: DataFrame, proofs: DataFrame, max_nodes: int = 50, max_edges: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Nodes (analysis_id, node, node_type, source, rank, truncated) and edges (analysis_id, source, target, type, source_kind) of analyses.
+
+    ``analyses`` has analysis_id and requirement_id, ``links`` analysis_id, link_id, artifact_id and score, ``insights``
+    analysis_id, insight_id, insight_type and review_status, ``proofs`` insight_id, evidence_id and artifact_id.
+    Room goes first to the roots, then to artifacts by their best link, to dependencies and the neighbours
+    that they bring by (from, to, type), to insights, confirmed ones first.  Of equals the smaller identifier comes first.
+    """
+    room, by = max_nodes - 2, ["analysis_id"]
+    best = links.groupBy("analysis_id", "artifact_id").agg(F.max(F.struct("score", (-F.col("link_id")).alias("l"))).alias("b"))
+    artifacts = cut(top_per_group(best, by, [F.col("b").desc()], room).select("analysis_id", "artifact_id"))
+    taken = analyses.select("analysis_id").join(artifacts.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n")), "analysis_id", "left").fillna(0)
+    # Only the first edges of an artifact can be among the first of an analysis, so hubs do not multiply.
+    out = top_per_group(edges, ["from_id"], [F.col("to_id"), F.col("type")], max_edges).withColumn("artifact_id", F.col("from_id"))
+    back = top_per_group(edges, ["to_id"], [F.col("from_id"), F.col("type")], max_edges).withColumn("artifact_id", F.col("to_id"))
+    near = artifacts.join(out.unionByName(back), "artifact_id").select("analysis_id", "from_id", "to_id", "type").distinct()
+    order = Window.partitionBy("analysis_id")
+    near = near.withColumn("place", F.row_number().over(order.orderBy("from_id", "to_id", "type"))).where(F.col("place") <= max_edges)
+    deps = cut(near.join(taken, "analysis_id").where(F.col("place") <= max_edges - 1 - F.col("n")))
+    ends = deps.select("analysis_id", "n", F.explode(F.array(F.struct(F.col("from_id").alias("artifact_id"), (2 * F.col("place")).alias("o")), F.struct(F.col("to_id").alias("artifact_id"), (2 * F.col("place") + 1).alias("o")))).alias("e"))
+    fresh = ends.select("analysis_id", "n", "e.*").join(artifacts, ["analysis_id", "artifact_id"], "left_anti").groupBy("analysis_id", "n", "artifact_id").agg(F.min("o").alias("o"))
+    fresh = cut(fresh.withColumn("r", F.row_number().over(order.orderBy("o"))).where(F.col("r") <= room - F.col("n")).select("analysis_id", "artifact_id"))
+    counts = [deps.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("d")), fresh.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("f"))]
+    for c in counts:
+        taken = taken.join(c, "analysis_id", "left").fillna(0)
+    state = F.when(F.col("review_status") == "CONFIRMED", 0).when(F.col("review_status") == "NEEDS_REVIEW", 1).otherwise(2)
+    told = top_per_group(insights, by, [state, F.col("insight_id")], room)
+    told = told.withColumn("place", F.row_number().over(order.orderBy(state, "insight_id"))).join(taken, "analysis_id").where(F.col("place") <= room - F.col("n") - F.col("f"))
+    shown = artifacts.unionByName(fresh)
+    on = told.select("analysis_id", "insight_id").join(proofs, "insight_id").join(shown, ["analysis_id", "artifact_id"], "left_semi").groupBy("insight_id").agg(F.min_by("artifact_id", "evidence_id").alias("on"))
+    told = cut(told.join(on, "insight_id", "left"))
+
+    def name(kind: str, c: str):
+        return F.concat(F.lit(f"{kind}-"), c)
+
+    def nodes_of(df: DataFrame, node, node_type, source: str, rank: int) -> DataFrame:
+        return df.select("analysis_id", node.alias("node"), node_type.alias("node_type"), F.lit(source).alias("source"), F.lit(rank).alias("rank"))
+
+    def edges_of(df: DataFrame, source, target, kind, source_kind: str) -> DataFrame:
+        return df.select("analysis_id", source.alias("source"), target.alias("target"), kind.alias("type"), F.lit(source_kind).alias("source_kind"))
+
+    insight_type = F.col("insight_type")
+    node_type = F.when(insight_type.isin("UNKNOWN", "QA_SCENARIO"), insight_type).otherwise(F.lit("INSIGHT"))
+    told_by = F.when(insight_type == "UNKNOWN", "RAISES_UNKNOWN").when(insight_type == "QA_SCENARIO", "SUGGESTS_QA").otherwise("EVIDENCES")
+    size = links.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("l")), insights.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("i"))
+    whole = analyses.select("analysis_id").join(size[0], "analysis_id", "left").join(size[1], "analysis_id", "left").fillna(0)
+    truncated = whole.select("analysis_id", (F.col("l") + F.col("i") + 2 > max_nodes).alias("truncated"))
+    nodes = merged(
+        [
+            nodes_of(analyses, name("req", "requirement_id"), F.lit("REQUIREMENT"), "ROOT", 0),
+            nodes_of(analyses, name("analysis", "analysis_id"), F.lit("ANALYSIS"), "ROOT", 1),
+            nodes_of(artifacts, name("artifact", "artifact_id"), F.lit("ARTIFACT"), "TRACEABILITY", 2),
+            nodes_of(fresh, name("artifact", "artifact_id"), F.lit("ARTIFACT"), "DEPENDENCY", 4),
+            nodes_of(told, name("insight", "insight_id"), node_type, "INSIGHT", 3),
+        ]
+    ).join(truncated, "analysis_id")
+    tests = F.col("type") == "TESTS"  # shown from what is tested to its test
+    drawn = told.where(F.col("place") <= max_edges - 1 - F.col("n") - F.col("d"))
+    shown_edges = merged(
+        [
+            edges_of(analyses, name("req", "requirement_id"), name("analysis", "analysis_id"), F.lit("AFFECTS"), "ROOT_LINK"),
+            edges_of(artifacts, name("analysis", "analysis_id"), name("artifact", "artifact_id"), F.lit("AFFECTS"), "TRACEABILITY"),
+            edges_of(deps, F.when(tests, name("artifact", "to_id")).otherwise(name("artifact", "from_id")), F.when(tests, name("artifact", "from_id")).otherwise(name("artifact", "to_id")), F.col("type"), "DEPENDENCY"),
+            edges_of(drawn, F.coalesce(name("artifact", "on"), name("analysis", "analysis_id")), name("insight", "insight_id"), told_by, "EVIDENCE_LINK"),
+        ]
+    )
+    return nodes, shown_edges
+
+
+def scenario_page(edges: DataFrame, targets: DataFrame, limit: int, offset: int, depth: int = 4, most: int = 50, scan: int = 5_000) -> DataFrame:
+    """(id, scenarios, static_calls, dependencies, has_more, limitations): what is told of an artifact, a page of its tests at a time.
+
+    Tests are those of the artifact and of its callers, in the order of their identifiers, each once.  ``most`` bounds the
+    lists of calls and dependencies, ``scan`` the tests that are looked at; what a bound leaves out is named.
+    """
+    one = targets.select("id").distinct()
+    tests = edges.where("type = 'TESTS'").select(F.col("from_id").alias("test"), F.col("to_id").alias("id"))
+    found = upstream(edges, one, depth).select("target", "id").join(tests, "id").select(F.col("target").alias("id"), "test").distinct()
+    found = top_per_group(found, ["id"], [F.col("test")], scan)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("test"))
+    paged = found.withColumn("place", place).groupBy("id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("place").between(offset + 1, offset + limit), F.col("test")))).alias("scenarios"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    out = edges.join(one.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("from_id").alias("id"), "to_id", "type").distinct()
+
+    def ends(rows: DataFrame, named: str) -> DataFrame:
+        rows = rows.select("id", "to_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("to_id"))).where(F.col("place") <= most + 1)
+        return rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("place") <= most, F.col("to_id")))).alias(named), (F.count(F.lit(1)) > most).alias(f"{named}_cut"))
+
+    every = one.join(paged, "id", "left").join(ends(out.where("type = 'CALLS'"), "static_calls"), "id", "left").join(ends(out, "dependencies"), "id", "left")
+    nothing = F.array().cast("array<bigint>")
+    every = every.fillna(0, ["n"]).fillna(False, ["static_calls_cut", "dependencies_cut"])
+    more = F.col("n") > offset + limit
+    limitations = F.array_compact(F.array(F.when(F.col("n") == 0, "NO_SUPPORTED_TEST_REFERENCE"), F.when(F.col("n") == scan, "SCENARIO_SOURCE_SCAN_LIMIT"), F.when(more | F.col("static_calls_cut") | F.col("dependencies_cut"), "COMPREHENSION_LIMIT")))
+    return every.select("id", *[F.coalesce(F.col(c).cast("array<bigint>"), nothing).alias(c) for c in ("scenarios", "static_calls", "dependencies")], more.alias("has_more"), limitations.alias("limitations"))

@@ -110,20 +110,53 @@ def gr_mermaid(spark, sf):
     return g.induced(view(spark, sf, "v_aedge"), nodes.select(F.col("artifact_id").alias("id")))
 
 
+_IMPACT = (
+    ("sc", "SELECT analysis_id, link_id, artifact_id, link_id * 7919 % 101 AS score FROM v_link"),
+    ("im_a", "SELECT analysis_id, artifact_id FROM (SELECT analysis_id, artifact_id, row_number() OVER (PARTITION BY analysis_id ORDER BY s DESC, l) AS r FROM (SELECT analysis_id, artifact_id, max(score) AS s, arg_max(link_id, (score, -link_id)) AS l FROM sc GROUP BY ALL) x) y WHERE r <= 48"),
+    ("im_n", "SELECT v.analysis_id, count(a.artifact_id) AS n_a FROM v_analysis v LEFT JOIN im_a a USING (analysis_id) GROUP BY v.analysis_id"),
+    ("im_d", "SELECT y.*, n_a FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY from_id, to_id, type) AS r FROM (SELECT analysis_id, e.* FROM im_a JOIN v_edge e ON from_id = artifact_id UNION SELECT analysis_id, e.* FROM im_a JOIN v_edge e ON to_id = artifact_id) x) y JOIN im_n USING (analysis_id) WHERE r <= 79 - n_a"),
+    ("im_f", """SELECT analysis_id, id FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY o) AS k FROM (SELECT analysis_id, n_a, id, min(o) AS o FROM (SELECT analysis_id, n_a, from_id AS id, 2 * r AS o FROM im_d UNION ALL SELECT analysis_id, n_a, to_id, 2 * r + 1 FROM im_d) x
+ ANTI JOIN im_a a ON a.analysis_id = x.analysis_id AND a.artifact_id = x.id GROUP BY ALL) y) z WHERE k <= 48 - n_a"""),
+    ("im_c", "SELECT n.*, coalesce(d, 0) AS n_d, coalesce(f, 0) AS n_f FROM im_n n LEFT JOIN (SELECT analysis_id, count(*) AS d FROM im_d GROUP BY ALL) x USING (analysis_id) LEFT JOIN (SELECT analysis_id, count(*) AS f FROM im_f GROUP BY ALL) y USING (analysis_id)"),
+    ("im_i", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY CASE review_status WHEN 'CONFIRMED' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END, insight_id) AS k FROM v_insight) x JOIN im_c USING (analysis_id) WHERE k <= 48 - n_a - n_f"),
+    ("im_p", "SELECT i.insight_id, arg_min(e.artifact_id, e.evidence_id) AS shown FROM im_i i JOIN v_insight_evidence b USING (insight_id) JOIN v_evidence e USING (evidence_id) JOIN (SELECT * FROM im_a UNION SELECT * FROM im_f) s ON s.analysis_id = i.analysis_id AND s.artifact_id = e.artifact_id GROUP BY i.insight_id"),
+)
+
+
+def impact(spark, sf):
+    analyses = view(spark, sf, "v_analysis").select("analysis_id", F.col("run_id").alias("requirement_id"))
+    proofs = view(spark, sf, "v_insight_evidence").join(view(spark, sf, "v_evidence").select("evidence_id", "artifact_id"), "evidence_id")
+    return g.impact_graph(analyses, over(spark, sf, _IMPACT[0][1], "v_link"), view(spark, sf, "v_edge"), view(spark, sf, "v_insight"), proofs)
+
+
 @query(
     "gr_impact",
     oracle(
-        """SELECT analysis_id, 'ARTIFACT' AS node_kind, artifact_id AS node_id, min(link_id) AS via FROM v_link WHERE link_type = 'AFFECTED' GROUP BY analysis_id, artifact_id QUALIFY row_number() OVER (PARTITION BY analysis_id ORDER BY min(link_id)) <= 50
-UNION ALL SELECT analysis_id, 'INSIGHT', insight_id, insight_id FROM v_insight UNION ALL SELECT analysis_id, 'RUN', run_id, analysis_id FROM v_analysis"""
+        """SELECT x.*, l + i + 2 > 50 AS truncated FROM (SELECT analysis_id, concat('req-', run_id) AS node, 'REQUIREMENT' AS node_type, 'ROOT' AS source, 0 AS rank FROM v_analysis UNION ALL SELECT analysis_id, concat('analysis-', analysis_id), 'ANALYSIS', 'ROOT', 1 FROM v_analysis
+UNION ALL SELECT analysis_id, concat('artifact-', artifact_id), 'ARTIFACT', 'TRACEABILITY', 2 FROM im_a UNION ALL SELECT analysis_id, concat('artifact-', id), 'ARTIFACT', 'DEPENDENCY', 4 FROM im_f
+UNION ALL SELECT analysis_id, concat('insight-', insight_id), CASE WHEN insight_type IN ('UNKNOWN', 'QA_SCENARIO') THEN insight_type ELSE 'INSIGHT' END, 'INSIGHT', 3 FROM im_i) x
+JOIN (SELECT analysis_id, (SELECT count(*) FROM v_link l WHERE l.analysis_id = v.analysis_id) AS l, (SELECT count(*) FROM v_insight i WHERE i.analysis_id = v.analysis_id) AS i FROM v_analysis v) y USING (analysis_id)""",
+        *_IMPACT,
     ),
 )
 def gr_impact(spark, sf):
-    """The nodes of an analysis' graph: its run, at most fifty artifacts, its insights."""
-    links = view(spark, sf, "v_link").where("link_type = 'AFFECTED'").groupBy("analysis_id", F.col("artifact_id").alias("node_id")).agg(F.min("link_id").alias("via"))
-    a = top_per_group(links, ["analysis_id"], [F.col("via")], 50).select("analysis_id", F.lit("ARTIFACT").alias("node_kind"), "node_id", "via")
-    i = view(spark, sf, "v_insight").select("analysis_id", F.lit("INSIGHT").alias("node_kind"), F.col("insight_id").alias("node_id"), F.col("insight_id").alias("via"))
-    r = view(spark, sf, "v_analysis").select("analysis_id", F.lit("RUN").alias("node_kind"), F.col("run_id").alias("node_id"), F.col("analysis_id").alias("via"))
-    return a.unionByName(i).unionByName(r)
+    """The nodes of an analysis' graph: its requirement, itself, at most fifty with artifacts, their neighbours and insights."""
+    return impact(spark, sf)[0]
+
+
+@query(
+    "gr_impact_edges",
+    oracle(
+        """SELECT analysis_id, concat('req-', run_id) AS source, concat('analysis-', analysis_id) AS target, 'AFFECTS' AS type, 'ROOT_LINK' AS source_kind FROM v_analysis UNION ALL SELECT analysis_id, concat('analysis-', analysis_id), concat('artifact-', artifact_id), 'AFFECTS', 'TRACEABILITY' FROM im_a
+UNION ALL SELECT analysis_id, concat('artifact-', CASE type WHEN 'TESTS' THEN to_id ELSE from_id END), concat('artifact-', CASE type WHEN 'TESTS' THEN from_id ELSE to_id END), type, 'DEPENDENCY' FROM im_d
+UNION ALL SELECT analysis_id, CASE WHEN shown IS NULL THEN concat('analysis-', analysis_id) ELSE concat('artifact-', shown) END, concat('insight-', insight_id), CASE insight_type WHEN 'UNKNOWN' THEN 'RAISES_UNKNOWN' WHEN 'QA_SCENARIO' THEN 'SUGGESTS_QA' ELSE 'EVIDENCES' END, 'EVIDENCE_LINK'
+ FROM im_i LEFT JOIN im_p USING (insight_id) WHERE k <= 79 - n_a - n_d""",
+        *_IMPACT,
+    ),
+)
+def gr_impact_edges(spark, sf):
+    """The edges of an analysis' graph, at most eighty."""
+    return impact(spark, sf)[1]
 
 
 @query(
@@ -150,6 +183,23 @@ def gr_comprehend(spark, sf):
     return out.fillna(0)
 
 
+_REACHED = "SELECT DISTINCT u.target AS id, e.from_id AS test FROM up u JOIN v_edge e ON e.to_id = u.id AND e.type = 'TESTS'"
+
+
+@query(
+    "gr_comprehend_page",
+    oracle(
+        """SELECT s.id, coalesce(list_sort(c[6:15]), []) AS scenarios, coalesce(k[1:50], []) AS static_calls, coalesce(o[1:50], []) AS dependencies, coalesce(len(c), 0) > 15 AS has_more,
+ list_filter([CASE WHEN c IS NULL THEN 'NO_SUPPORTED_TEST_REFERENCE' END, CASE WHEN len(c) = 5000 THEN 'SCENARIO_SOURCE_SCAN_LIMIT' END, CASE WHEN coalesce(len(c), 0) > 15 OR coalesce(len(k), 0) > 50 OR coalesce(len(o), 0) > 50 THEN 'COMPREHENSION_LIMIT' END], lambda x: x IS NOT NULL) AS limitations
+FROM s LEFT JOIN (SELECT id, list_sort(list(test))[1:5000] AS c FROM t GROUP BY id) x USING (id) LEFT JOIN (SELECT from_id AS id, list_sort(list(DISTINCT to_id)) AS k FROM v_edge WHERE type = 'CALLS' GROUP BY 1) y USING (id) LEFT JOIN (SELECT from_id AS id, list_sort(list(DISTINCT to_id)) AS o FROM v_edge GROUP BY 1) z USING (id)""",
+        ("s", _SEEDS), ("up", _UP), ("t", _REACHED),
+    ),
+)
+def gr_comprehend_page(spark, sf):
+    """The second part of a comprehension: ten tests from the sixth on, calls, dependencies, and what was left out."""
+    return g.scenario_page(view(spark, sf, "v_edge"), seeds(spark, sf), 10, 5)
+
+
 _CALLS = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages"
 
 
