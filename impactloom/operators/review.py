@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookup import all_matches, count_if, first_match, ratio
@@ -303,3 +303,103 @@ def prf(expected: DataFrame, predicted: DataFrame, by: list[str], key: list[str]
         ratio(F.col("true_positive"), F.col("expected")).alias("recall"),
         ratio(2 * F.col("true_positive"), F.col("expected") + F.col("predicted")).alias("f1"),
     )
+
+
+def coverage_gates(judged: DataFrame, links: DataFrame, link_bridge: DataFrame, insights: DataFrame, insight_bridge: DataFrame) -> DataFrame:
+    """(run_id, gate, status, analyses, artifacts, insights): the five gates of a run with the identifiers that they stop at."""
+    runs = judged.select("analysis_id", "run_id", F.coalesce(F.col("decision") == "ACCEPTED", F.lit(False)).alias("accepted"))
+    proven, risks = artifact_evidence(links, link_bridge), risk_coverage(insights, insight_bridge)
+    bare = proven.where("not covered").select("analysis_id", F.col("artifact_id").alias("id"))
+    loose = risks.where("not covered").select("analysis_id", F.col("insight_id").alias("id"))
+    qa = insights.where("insight_type = 'QA_SCENARIO'").select("analysis_id")
+    no_qa = risks.select("analysis_id").distinct().join(qa, "analysis_id", "left_anti")
+    empty = runs.where("accepted").join(links.select("analysis_id"), "analysis_id", "left_anti")
+    found = {
+        "REVIEW_DECISION": ("analyses", "FAIL", runs.where("not accepted").select("run_id", F.col("analysis_id").alias("id"))),
+        "EVIDENCE_COVERAGE": ("artifacts", "WARN", bare.join(runs, "analysis_id").select("run_id", "id")),
+        "QA_COVERAGE": ("insights", "WARN", loose.join(runs, "analysis_id").select("run_id", "id")),
+        "RISK_COVERAGE": ("analyses", "WARN", no_qa.join(runs, "analysis_id").select("run_id", F.col("analysis_id").alias("id"))),
+        "REPOSITORY_READINESS": ("analyses", "WARN", empty.select("run_id", F.col("analysis_id").alias("id"))),
+    }
+    rows = reduce(DataFrame.unionByName, [ids.select("run_id", F.lit(gate).alias("gate"), F.col("id").cast("long").alias("id")) for gate, (_, _, ids) in found.items()])
+    stopped = rows.groupBy("run_id", "gate").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    every = runs.select("run_id").distinct().withColumn("gate", F.explode(F.array(*[F.lit(g) for g in found])))
+    out = every.join(stopped, ["run_id", "gate"], "left")
+    nothing = F.array().cast("array<bigint>")
+    lists = {kind: F.when(F.col("gate").isin([g for g, (k, _, _) in found.items() if k == kind]) & F.col("ids").isNotNull(), F.col("ids")).otherwise(nothing) for kind in ("analyses", "artifacts", "insights")}
+    status = first_match([(F.col("ids").isNull(), "PASS"), (F.col("gate") == "REVIEW_DECISION", "FAIL")], "WARN")
+    return out.select("run_id", "gate", status.alias("status"), *[v.alias(k) for k, v in lists.items()])
+
+
+def normalised_claims(claims: DataFrame) -> DataFrame:
+    """Claims held to what is stored for them, with what was taken back and why.
+
+    ``claims`` has analysis_id, insight_id, insight_key, insight_type, certainty, confidence, description, given, when_, then_,
+    n_evidence and n_related.  Of claims of an analysis with one key all but that with the least identifier get an error.
+    """
+    said, c = F.col("insight_type"), F.col("certainty")
+    spelled = [F.lower("description").contains(w) for w in ("given:", "when:", "then:")]
+    parts = [F.coalesce(F.col(k) != "", F.lit(False)) for k in ("given", "when_", "then_")]
+    testable = reduce(Column.__and__, parts) | F.coalesce(reduce(Column.__and__, spelled), F.lit(False))
+    vague = (said == "QA_SCENARIO") & ~testable
+    open_ = said.isin("QUESTION", "UNKNOWN") | vague
+    out = claims.withColumn("new_type", F.when(vague, "UNKNOWN").otherwise(said)).withColumn("c1", F.when(open_, "UNKNOWN").otherwise(c))
+    untraced = F.col("new_type").isin("QA_SCENARIO", "ACCEPTANCE_CRITERIA") & (F.col("n_evidence") == 0) & (F.col("n_related") == 0)
+    c1 = F.when(untraced, "UNKNOWN").otherwise(F.col("c1"))
+    bare = first_match(
+        [
+            ((c1 == "EVIDENCED") & (F.col("n_evidence") == 0), "EVIDENCED_DOWNGRADED_NO_PERSISTED_EVIDENCE"),
+            ((c1 == "INFERRED") & (F.col("n_evidence") == 0), "INFERRED_DOWNGRADED_NO_CONTEXTUAL_EVIDENCE"),
+            ((c1 == "CONFLICTING") & (F.col("n_evidence") < 2), "CONFLICTING_DOWNGRADED_INSUFFICIENT_EVIDENCE"),
+        ]
+    )
+    first = F.row_number().over(Window.partitionBy("analysis_id", "insight_key").orderBy("insight_id")) == 1
+    return out.select(
+        "insight_id",
+        F.col("new_type").alias("insight_type"),
+        F.when(bare.isNotNull(), "UNKNOWN").otherwise(c1).alias("certainty"),
+        F.when(~open_, F.col("confidence")).alias("confidence"),
+        F.when(vague, "QA_SCENARIO_DOWNGRADED_NOT_TESTABLE").alias("qa_integrity"),
+        F.when(untraced, F.concat("new_type", F.lit("_DOWNGRADED_NO_TRACEABLE_CONTEXT"))).alias("traceability_integrity"),
+        bare.alias("evidence_integrity"),
+        F.when(untraced | bare.isNotNull(), c).alias("original_certainty"),
+        F.when(~first, "AI_OUTPUT_SCHEMA_VALIDATION_FAILED").alias("error"),
+    )
+
+
+# What a domain pack may be called, its versions and states.
+PACK_ID = r"^[a-z][a-z0-9-]*$"
+SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$"
+PACK_STATES = ["STABLE", "PARTIAL", "EXPERIMENTAL"]
+
+
+def catalogue_errors(entries: DataFrame) -> DataFrame:
+    """(place, code, alias): what is wrong with the entries of a catalogue, which are read by place.
+
+    ``entries`` has place, pack, version, status, aliases (an array), limits (how many are told) and explicit_only.  An alias
+    belongs to the first pack and version that uses it; every further use in an entry is an error too.
+    """
+    name = F.concat_ws("@", "pack", "version")
+    e = entries.withColumn("name", name)
+    before = F.lag("name").over(Window.partitionBy("pack").orderBy("place"))
+    again = F.row_number().over(Window.partitionBy("pack", "version").orderBy("place")) > 1
+    codes = all_matches(
+        [
+            (F.size("aliases") == 0, "DOMAIN_PACK_ALIASES_REQUIRED"),
+            (~F.col("pack").rlike(PACK_ID), "INVALID_DOMAIN_PACK_ID"),
+            (~F.col("version").rlike(SEMVER), "INVALID_DOMAIN_PACK_VERSION"),
+            (~F.col("status").isin(PACK_STATES), "INVALID_DOMAIN_PACK_STATUS"),
+            ((F.col("status") == "PARTIAL") & (F.col("limits") == 0), "PARTIAL_DOMAIN_PACK_REQUIRES_KNOWN_LIMITS"),
+            ((F.col("status") == "PARTIAL") & ~F.col("explicit_only"), "PARTIAL_DOMAIN_PACK_REQUIRES_EXPLICIT_SELECTION"),
+            (F.col("before") != F.col("name"), "MULTIPLE_ACTIVE_DOMAIN_PACK_VERSIONS_UNSUPPORTED"),
+            (F.col("again"), "DUPLICATE_DOMAIN_PACK_VERSION"),
+        ]
+    )
+    whole = e.withColumn("before", before).withColumn("again", again).select("place", F.explode(codes).alias("code"), F.lit(None).cast("string").alias("alias"))
+    used = e.select("place", "name", F.posexplode("aliases").alias("at", "alias")).withColumn("alias", F.lower(F.trim("alias")))
+    # The owner by an aggregate that combines before the shuffle: an alias that everybody uses is no hot group.
+    owner = used.groupBy("alias").agg(F.min_by("name", F.struct("place", "at")).alias("owner"))
+    uses = used.groupBy("place", "name", "alias").agg(F.count(F.lit(1)).alias("n")).join(owner, "alias")
+    wrong = uses.withColumn("wrong", F.col("n") - 1 + F.when(F.col("owner") != F.col("name"), F.col("n")).otherwise(0)).where("wrong > 0")
+    twice = wrong.select("place", F.lit("DUPLICATE_DOMAIN_PACK_ALIAS").alias("code"), "alias", F.explode(F.array_repeat(F.lit(0), F.col("wrong").cast("int"))).alias("x")).drop("x")
+    return whole.unionByName(twice)

@@ -154,6 +154,25 @@ def agg_coverage(spark, sf):
     return r.coverage(judged(spark, sf), *[view(spark, sf, f"v_{n}") for n in ("link", "link_evidence", "insight", "insight_evidence")])
 
 
+_STOPS = """SELECT run_id, 'REVIEW_DECISION' AS gate, analysis_id AS id FROM j WHERE decision IS DISTINCT FROM 'ACCEPTED' UNION SELECT run_id, 'EVIDENCE_COVERAGE', artifact_id FROM proven JOIN j USING (analysis_id) WHERE NOT covered
+UNION SELECT run_id, 'QA_COVERAGE', insight_id FROM risks JOIN j USING (analysis_id) WHERE NOT covered UNION SELECT run_id, 'RISK_COVERAGE', analysis_id FROM risks JOIN j USING (analysis_id) WHERE analysis_id NOT IN (SELECT analysis_id FROM v_insight WHERE insight_type = 'QA_SCENARIO')
+UNION SELECT run_id, 'REPOSITORY_READINESS', analysis_id FROM j WHERE decision = 'ACCEPTED' AND analysis_id NOT IN (SELECT analysis_id FROM v_link)"""
+
+
+@query(
+    "agg_coverage_gates",
+    oracle(
+        """SELECT run_id, gate, CASE WHEN ids IS NULL THEN 'PASS' WHEN gate = 'REVIEW_DECISION' THEN 'FAIL' ELSE 'WARN' END AS status, CASE WHEN gate IN ('REVIEW_DECISION', 'RISK_COVERAGE', 'REPOSITORY_READINESS') AND ids IS NOT NULL THEN ids ELSE [] END AS analyses,
+ CASE WHEN gate = 'EVIDENCE_COVERAGE' AND ids IS NOT NULL THEN ids ELSE [] END AS artifacts, CASE WHEN gate = 'QA_COVERAGE' AND ids IS NOT NULL THEN ids ELSE [] END AS insights
+FROM (SELECT DISTINCT run_id FROM j) r CROSS JOIN (VALUES ('REVIEW_DECISION'), ('EVIDENCE_COVERAGE'), ('QA_COVERAGE'), ('RISK_COVERAGE'), ('REPOSITORY_READINESS')) g(gate) LEFT JOIN (SELECT run_id, gate, list_sort(list(id::BIGINT)) AS ids FROM stops GROUP BY ALL) x USING (run_id, gate)""",
+        ("j", JUDGED), ("risks", RISKS), ("proven", PROVEN), ("stops", _STOPS),
+    ),
+)
+def agg_coverage_gates(spark, sf):
+    """Each gate of a run with the analyses, artifacts or insights that it stops at."""
+    return r.coverage_gates(judged(spark, sf), *[view(spark, sf, f"v_{n}") for n in ("link", "link_evidence", "insight", "insight_evidence")])
+
+
 @query(
     "agg_completion",
     oracle(

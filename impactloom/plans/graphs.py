@@ -9,6 +9,7 @@ from ..operators import graph as g
 from ..operators import projections as p
 from ..operators.ordering import top_per_group
 from ..registry import query
+from ..sources import extract as x
 from .joins import over
 from .views import oracle, view
 
@@ -203,8 +204,8 @@ def gr_comprehend_page(spark, sf):
 _CALLS = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages"
 
 
-@query("gr_build", oracle("SELECT c.page_id AS from_page, target AS symbol, q.page_id AS to_page FROM (SELECT DISTINCT page_id, target FROM c) c LEFT JOIN (SELECT concat('/', split_part(split_part(html, '<title>', 2), ' ', 1)) AS symbol, min(page_id) AS page_id FROM pages GROUP BY 1) q ON q.symbol = c.target", ("c", _CALLS)))
-def gr_build(spark, sf):
+@query("gr_refs", oracle("SELECT c.page_id AS from_page, target AS symbol, q.page_id AS to_page FROM (SELECT DISTINCT page_id, target FROM c) c LEFT JOIN (SELECT concat('/', split_part(split_part(html, '<title>', 2), ' ', 1)) AS symbol, min(page_id) AS page_id FROM pages GROUP BY 1) q ON q.symbol = c.target", ("c", _CALLS)))
+def gr_refs(spark, sf):
     """Edges from references in text: the referenced symbol is looked up among declared ones; without one it stays unresolved."""
     pages = view(spark, sf, "pages")
     refs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("symbol")).distinct()
@@ -213,6 +214,82 @@ def gr_build(spark, sf):
     return refs.join(declared, "symbol", "left").select(F.col("page_id").alias("from_page"), "symbol", "to_page")
 
 
+#: A page gets the text of its remainder by four; @N@ is its number, @M@ the next one, @K@ the last but one.
+_CODE = [
+    """@Controller('c')
+export class C@N@ {
+  constructor(private readonly svc: S@M@, private shared: Shared) {}
+  async find(id) {
+    return this.svc.load(id);
+  }
+  drop(id) {
+    this.svc.gone(id);
+    this.shared.note(id);
+    this.nobody.call();
+  }
+}
+""",
+    """@Injectable()
+export class S@N@ {
+  constructor(@InjectRepository(E@M@) private readonly rows: Repository<E@M@>) {}
+  async load(id) {
+    return this.rows.findOne(id);
+  }
+  make() {
+    return new E@M@();
+  }
+}
+@Injectable()
+export class Shared {
+  note(x) {
+    return x;
+  }
+}
+""",
+    """@Entity()
+export class E@N@ {
+  name: string;
+}
+""",
+    """const s = new S@K@();
+it('loads', () => { s.load(1); });
+it.skip('later', () => { s.make(); });
+test('odd', () => { s.gone(); q.run(); });
+it('none', () => { expect(1).toBe(1); });
+""",
+]
+#: What a reader finds in them, if the class that is meant is there (S, E) or not: (text, source, meant, target, type, reason without it, reason with it).
+_FOUND = [
+    (0, "C@N@#find", "S", "load", "CALLS", "UNRESOLVED_RECEIVER", None),
+    (0, "C@N@#drop", "S", "gone", "CALLS", "UNRESOLVED_RECEIVER", "METHOD_ARTIFACT_NOT_EXTRACTED"),
+    (1, "S@N@#load", "E", "", "USES", "UNRESOLVED_RECEIVER", None),
+    (1, "S@N@#make", "E", "", "USES", "", None),
+    (3, "p/@N@#loads", "T", "load", "TESTS", "UNRESOLVED_RECEIVER", None),
+    (3, "p/@N@#odd", "T", "gone", "TESTS", "UNRESOLVED_RECEIVER", "METHOD_ARTIFACT_NOT_EXTRACTED"),
+]
+_FOUND_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in _FOUND) + ") v(m, source, meant, method, type, missing, with_it)"
+
+
+@query(
+    "gr_build",
+    oracle(
+        f"""SELECT replace(source, '@N@', page_id::VARCHAR) AS source, CASE WHEN NOT there THEN CASE meant WHEN 'E' THEN 'rows.findOne' WHEN 'T' THEN concat('s.', method) ELSE concat('svc.', method) END
+ WHEN meant = 'E' THEN concat('E', page_id + 1) WHEN with_it IS NOT NULL THEN concat(CASE meant WHEN 'T' THEN 's.' ELSE 'svc.' END, method) ELSE concat('S', page_id + CASE meant WHEN 'T' THEN -2 ELSE 1 END, '#', method) END AS target,
+ CASE WHEN NOT there AND meant = 'E' THEN 'CALLS' ELSE type END AS type, CASE WHEN there THEN with_it ELSE missing END AS reason
+FROM (SELECT *, page_id + CASE meant WHEN 'T' THEN -2 ELSE 1 END IN (SELECT page_id FROM pages) AS there FROM pages JOIN {_FOUND_SQL} ON m = page_id % 4) x WHERE there OR missing <> ''
+UNION ALL SELECT concat('C', page_id, '#drop'), 'nobody.call', 'CALLS', 'UNRESOLVED_RECEIVER' FROM pages WHERE page_id % 4 = 0
+UNION ALL SELECT concat('C', page_id, '#drop'), 'shared.note', 'CALLS', 'AMBIGUOUS_SYMBOL' FROM pages WHERE page_id % 4 = 0
+UNION ALL SELECT concat('p/', page_id, '#odd'), 'q.run', 'TESTS', 'UNRESOLVED_RECEIVER' FROM pages WHERE page_id % 4 = 3 UNION ALL SELECT concat('p/', page_id, '#none'), NULL, 'TESTS', 'NO_SUPPORTED_DIRECT_REFERENCE' FROM pages WHERE page_id % 4 = 3"""
+    ),
+)
+def gr_build(spark, sf):
+    """Edges of source files: calls through injected fields, entities in use, tests of methods; the rest with its reason."""
+    content = F.get(F.array(*[F.lit(t) for t in _CODE]), (F.col("page_id") % 4).cast("int"))
+    for mark, n in (("@N@", 0), ("@M@", 1), ("@K@", -2)):
+        content = F.replace(content, F.lit(mark), (F.col("page_id") + n).cast("string"))
+    return x.code_edges(view(spark, sf, "pages").select(F.concat(F.lit("p/"), "page_id").alias("path"), content.alias("content")))
+
+
 _IMPORTS = "SELECT l_partkey % 60 AS module, l_suppkey % 25 AS symbol, l_orderkey % 90 AS provider FROM v_line WHERE l_linenumber = 1"
 
 

@@ -13,6 +13,7 @@ from ..functions.vector import unit
 from ..operators import projections as p
 from ..operators import retrieval as r
 from ..operators.ordering import latest, top_per_group
+from ..operators.review import catalogue_errors, normalised_claims
 from ..registry import query
 from .joins import over
 from .views import oracle, view
@@ -215,26 +216,27 @@ def ai_pack(spark, sf):
     return packs.select("analysis_id", F.md5(F.array_join("l.line", "\n")).alias("pack_md5"), F.size("l").cast("long").alias("items"))
 
 
-_PROOFS = "SELECT i.insight_id, i.insight_type, i.certainty, statement, count(b.evidence_id) AS n FROM v_insight i LEFT JOIN v_insight_evidence b ON b.insight_id = i.insight_id GROUP BY ALL"
+_SAID = """SELECT i.analysis_id, i.insight_id, CASE WHEN i.insight_id % 29 = 0 THEN 'key' ELSE concat('key-', i.insight_id) END AS insight_key, CASE WHEN i.insight_id % 17 = 0 THEN 'QUESTION' ELSE insight_type END AS insight_type, certainty, 50 + i.insight_id % 50 AS confidence,
+ CASE i.insight_id % 4 WHEN 0 THEN 'Given: a cart. When: paid. Then: shipped' WHEN 1 THEN 'given: a cart, then: shipped' ELSE statement END AS description, CASE WHEN i.insight_id % 3 > 0 THEN 'a cart' END AS given,
+ CASE WHEN i.insight_id % 3 > 1 THEN 'paid' END AS when_, CASE WHEN i.insight_id % 5 > 1 THEN 'shipped' WHEN i.insight_id % 5 = 1 THEN '' END AS then_, coalesce(n, 0) AS n_evidence, CASE WHEN i.insight_id % 7 = 0 THEN 1 ELSE 0 END AS n_related
+FROM v_insight i LEFT JOIN (SELECT insight_id, count(DISTINCT evidence_id) * (1 + insight_id % 2) AS n FROM v_insight_evidence GROUP BY insight_id) b ON b.insight_id = i.insight_id"""
+_TYPED = """SELECT *, CASE WHEN insight_type = 'QA_SCENARIO' AND NOT (coalesce(given <> '' AND when_ <> '' AND then_ <> '', false) OR (lower(description) LIKE '%given:%' AND lower(description) LIKE '%when:%' AND lower(description) LIKE '%then:%')) THEN 'UNKNOWN' ELSE insight_type END AS t FROM said"""
+_HELD = "SELECT *, t IN ('QUESTION', 'UNKNOWN') AS undecided, t IN ('QA_SCENARIO', 'ACCEPTANCE_CRITERIA') AND n_evidence + n_related = 0 AS untraced FROM typed"
+_PROVEN = "SELECT *, CASE WHEN undecided OR untraced OR certainty = 'UNKNOWN' THEN NULL WHEN certainty = 'EVIDENCED' AND n_evidence = 0 THEN 'EVIDENCED_DOWNGRADED_NO_PERSISTED_EVIDENCE' WHEN certainty = 'INFERRED' AND n_evidence = 0 THEN 'INFERRED_DOWNGRADED_NO_CONTEXTUAL_EVIDENCE' WHEN certainty = 'CONFLICTING' AND n_evidence < 2 THEN 'CONFLICTING_DOWNGRADED_INSUFFICIENT_EVIDENCE' END AS bare FROM held"
 
 
 @query(
     "ai_normalise",
     oracle(
-        """SELECT insight_id, t AS insight_type, CASE WHEN c = 'UNKNOWN' OR (t IN ('QA_SCENARIO', 'ACCEPTANCE_CRITERIA') AND n = 0) OR (c IN ('EVIDENCED', 'INFERRED') AND n = 0) OR (c = 'CONFLICTING' AND n < 2) THEN 'UNKNOWN' ELSE c END AS certainty
-FROM (SELECT insight_id, n, CASE WHEN insight_type = 'QA_SCENARIO' AND length(statement) < 12 THEN 'UNKNOWN' ELSE insight_type END AS t, CASE WHEN insight_type = 'UNKNOWN' OR (insight_type = 'QA_SCENARIO' AND length(statement) < 12) THEN 'UNKNOWN' ELSE certainty END AS c FROM p) x""",
-        ("p", _PROOFS),
+        """SELECT insight_id, t AS insight_type, CASE WHEN undecided OR untraced OR bare IS NOT NULL THEN 'UNKNOWN' ELSE certainty END AS certainty, CASE WHEN NOT undecided THEN confidence END AS confidence, CASE WHEN t <> insight_type THEN 'QA_SCENARIO_DOWNGRADED_NOT_TESTABLE' END AS qa_integrity,
+ CASE WHEN untraced THEN concat(t, '_DOWNGRADED_NO_TRACEABLE_CONTEXT') END AS traceability_integrity, bare AS evidence_integrity, CASE WHEN untraced OR bare IS NOT NULL THEN certainty END AS original_certainty,
+ CASE WHEN row_number() OVER (PARTITION BY analysis_id, insight_key ORDER BY insight_id) > 1 THEN 'AI_OUTPUT_SCHEMA_VALIDATION_FAILED' END AS error FROM proved""",
+        ("said", _SAID), ("typed", _TYPED), ("held", _HELD), ("proved", _PROVEN),
     ),
-)
+)
 def ai_normalise(spark, sf):
-    """Claims are held to the evidence that is stored for them; scenarios too short to test become unknowns."""
-    n = view(spark, sf, "v_insight_evidence").groupBy("insight_id").agg(F.count(F.lit(1)).alias("n"))
-    i = view(spark, sf, "v_insight").join(n, "insight_id", "left").fillna(0, ["n"])
-    vague = (F.col("insight_type") == "QA_SCENARIO") & (F.length("statement") < 12)
-    i = i.withColumn("insight_type", F.when(vague, "UNKNOWN").otherwise(F.col("insight_type")))
-    c, n = F.col("certainty"), F.col("n")
-    unknown = (F.col("insight_type") == "UNKNOWN") | (F.col("insight_type").isin("QA_SCENARIO", "ACCEPTANCE_CRITERIA") & (n == 0)) | (c.isin("EVIDENCED", "INFERRED") & (n == 0)) | ((c == "CONFLICTING") & (n < 2))
-    return i.select("insight_id", "insight_type", F.when(unknown, "UNKNOWN").otherwise(c).alias("certainty"))
+    """Claims are held to the evidence that is stored for them; scenarios that cannot be tested become unknowns."""
+    return normalised_claims(over(spark, sf, _SAID, "v_insight_evidence", "v_insight"))
 
 
 @query(
@@ -289,8 +291,30 @@ def dp_concepts(spark, sf):
     return named_terms(view(spark, sf, "v_request"), aliases).select("request_id", "concept").distinct()
 
 
-@query("dp_govern", oracle("SELECT lower(name) AS alias, count(DISTINCT universal_kind) AS owners FROM v_artifact GROUP BY lower(name) HAVING count(DISTINCT universal_kind) > 1"))
+_CATALOGUE = """SELECT c_custkey AS place, concat(CASE WHEN c_custkey % 13 = 0 THEN 'Pack-' ELSE 'pack-' END, c_custkey % 40) AS pack, CASE WHEN c_custkey % 11 = 0 THEN 'v1' WHEN c_custkey % 12 = 0 THEN '1.02.0' ELSE concat('1.', c_custkey % 3, '.0') END AS version,
+ CASE c_custkey % 5 WHEN 0 THEN 'PARTIAL' WHEN 1 THEN 'DRAFT' WHEN 2 THEN 'EXPERIMENTAL' ELSE 'STABLE' END AS status, CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 6 = 0 THEN concat('Al', c_custkey, ', al', c_custkey) ELSE concat('name', c_custkey, ',n', c_custkey % 90) END AS alias_list,
+ c_custkey % 10 AS limits, c_custkey % 2 = 0 AS explicit_only FROM customer"""
+
+
+@query(
+    "dp_govern",
+    oracle(
+        """SELECT place, unnest(list_filter([CASE WHEN alias_list IS NULL THEN 'DOMAIN_PACK_ALIASES_REQUIRED' END, CASE WHEN pack LIKE 'P%' THEN 'INVALID_DOMAIN_PACK_ID' END, CASE WHEN version IN ('v1', '1.02.0') THEN 'INVALID_DOMAIN_PACK_VERSION' END, CASE WHEN status = 'DRAFT' THEN 'INVALID_DOMAIN_PACK_STATUS' END,
+ CASE WHEN status = 'PARTIAL' AND limits = 0 THEN 'PARTIAL_DOMAIN_PACK_REQUIRES_KNOWN_LIMITS' END, CASE WHEN status = 'PARTIAL' AND NOT explicit_only THEN 'PARTIAL_DOMAIN_PACK_REQUIRES_EXPLICIT_SELECTION' END, CASE WHEN before <> name THEN 'MULTIPLE_ACTIVE_DOMAIN_PACK_VERSIONS_UNSUPPORTED' END, CASE WHEN again THEN 'DUPLICATE_DOMAIN_PACK_VERSION' END], lambda x: x IS NOT NULL)) AS code, NULL AS alias
+FROM (SELECT *, lag(name) OVER (PARTITION BY pack ORDER BY place) AS before, row_number() OVER (PARTITION BY name ORDER BY place) > 1 AS again FROM e) y
+UNION ALL SELECT u.place, 'DUPLICATE_DOMAIN_PACK_ALIAS', u.alias FROM u WHERE earlier > 0 UNION ALL SELECT u.place, 'DUPLICATE_DOMAIN_PACK_ALIAS', u.alias FROM u JOIN (SELECT alias, arg_min(name, (place, nth)) AS owner FROM u GROUP BY alias) o USING (alias) WHERE owner <> name""",
+        ("c", _CATALOGUE), ("e", "SELECT *, concat(pack, '@', version) AS name FROM c"),
+        ("u", "SELECT *, row_number() OVER (PARTITION BY place, alias ORDER BY nth) - 1 AS earlier FROM (SELECT place, name, lower(trim(a)) AS alias, nth FROM (SELECT place, name, unnest(string_split(alias_list, ',')) AS a, generate_subscripts(string_split(alias_list, ','), 1) AS nth FROM e WHERE alias_list IS NOT NULL) x) y"),
+    ),
+)
 def dp_govern(spark, sf):
+    """What is wrong with a catalogue of domain packs."""
+    entries = over(spark, sf, _CATALOGUE, "customer")
+    return catalogue_errors(entries.withColumn("aliases", F.coalesce(F.split("alias_list", ","), F.array().cast("array<string>"))))
+
+
+@query("dp_aliases", oracle("SELECT lower(name) AS alias, count(DISTINCT universal_kind) AS owners FROM v_artifact GROUP BY lower(name) HAVING count(DISTINCT universal_kind) > 1"))
+def dp_aliases(spark, sf):
     """Aliases that more than one concept claims."""
     return view(spark, sf, "v_artifact").groupBy(F.lower("name").alias("alias")).agg(F.countDistinct("universal_kind").alias("owners")).where("owners > 1")
 

@@ -198,11 +198,19 @@ def src_ts(spark, sf):
     return x.classes(f).join(x.routes(f, "typescript"), "path", "left").select("path", "decorator", F.col("name").alias("class_name"), "verb", "route", "handler")
 
 
-@query("src_registry", oracle("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'ruby' END AS scanner FROM pages"))
+#: The scanner of a page's file; the last language has none.
+_LANGUAGES = [*x.ROUTES, "cobol"]
+_DISPATCHED = " UNION ALL ".join(f"SELECT path, '{name}' AS language, verb, route, handler FROM ({_routes(name)}) y{i} WHERE split_part(path, '/', 2)::BIGINT % {len(_LANGUAGES)} = {i}" for i, name in enumerate(x.ROUTES))
+
+
+@query("src_registry", oracle(_DISPATCHED, ("s", _PAGES)))
 def src_registry(spark, sf):
-    """The scanner for a language, null if there is none."""
-    language = F.get(F.array(*[F.lit(v) for v in ("python", "go", "ruby", "cobol")]), (F.col("page_id") % 4).cast("int"))
-    return view(spark, sf, "pages").select("page_id", F.when(language.isin(list(x.ROUTES)), language).alias("scanner"))
+    """Files of all languages in one table, each read by the scanner of its language."""
+    texts = F.array(*[F.array(*[F.lit(t) for t, _, _ in _TEXT.get(name, _TEXT["python"])]) for name in _LANGUAGES])
+    n = (F.col("page_id") % len(_LANGUAGES)).cast("int")
+    content = F.replace(F.get(F.get(texts, n), (F.col("page_id") % 3).cast("int")), F.lit("@N@"), F.col("page_id").cast("string"))
+    language = F.get(F.array(*[F.lit(name) for name in _LANGUAGES]), n)
+    return x.dispatched(view(spark, sf, "pages").select(F.concat(F.lit("p/"), "page_id").alias("path"), language.alias("language"), content.alias("content")))
 
 
 @query("src_jest", oracle(f"SELECT path, {_numbered('title')}, modifier FROM s JOIN {_values([(i, *r) for i, (_, found, _) in enumerate(_TEXT['jest']) for r in found], 'm, title, modifier')} USING (m)", ("s", _PAGES)))

@@ -6,6 +6,8 @@ nothing but regular expressions runs per file.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,12 @@ def routes(files: DataFrame, language: str) -> DataFrame:
     return found
 
 
+def dispatched(files: DataFrame) -> DataFrame:
+    """(path, language, verb, route, handler): each file is read by the scanner of its language; other languages have none."""
+    found = [routes(files.where(F.col("language") == name), name).withColumn("language", F.lit(name)) for name in ROUTES]
+    return reduce(DataFrame.unionByName, found).select("path", "language", "verb", "route", "handler")
+
+
 def unsupported(files: DataFrame, language: str) -> DataFrame:
     """(path, n) of files with patterns that are seen but not resolved."""
     return files.select("path", F.regexp_count("content", F.lit(UNSUPPORTED[language])).cast("long").alias("n")).where("n > 0")
@@ -118,3 +126,69 @@ def assertions(files: DataFrame) -> DataFrame:
         ]
     )
     return each.withColumn("kind", kind).withColumn("unresolved", unresolved).select("path", "subject", "matcher", "arguments", "kind", "unresolved", "place")
+
+
+_CLASS_START = r"(?=@(?:Controller|Injectable|Entity|Module)\()"
+_METHOD_START = r"(?m)(?=^  (?:async )?\w+\([^)\n]*\)[^{;\n]*\{)"
+_TEST_START = r"(?=\b(?:it|test)(?:\.\w+)?\(')"
+
+
+def _code_classes(files: DataFrame) -> DataFrame:
+    """(path, decorator, class, body) of decorated classes; a body goes to the next decorator of a class."""
+    parts = files.select("path", F.explode(F.split("content", _CLASS_START)).alias("body"))
+    named = parts.select("path", F.regexp_extract("body", r"^@(\w+)\(", 1).alias("decorator"), F.regexp_extract("body", r"^@\w+\([^\n]*\)\s*export class (\w+)", 1).alias("class"), "body")
+    return named.where("class <> ''")
+
+
+def _methods(classes: DataFrame) -> DataFrame:
+    parts = classes.select("path", "class", F.explode(F.split("body", _METHOD_START)).alias("code"))
+    found = parts.withColumn("method", F.regexp_extract("code", r"^  (?:async )?(\w+)\([^)\n]*\)[^{;\n]*\{", 1))
+    return found.where("method <> '' AND method <> 'constructor'")
+
+
+def code_edges(files: DataFrame) -> DataFrame:
+    """(source, target, type, reason) of source files: CALLS, USES and TESTS edges, and calls that lead nowhere with their reason.
+
+    Sources and targets are named class#method, test cases path#title.  Receivers of calls are fields that a constructor
+    declares and, in tests, constants that hold a new object; a repository of an entity uses the entity.  What the patterns
+    cannot see (calls across functions, aliases) is no edge.  All look-ups are joins, so nothing is gathered.
+    """
+    classes = _code_classes(files)
+    declared = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("decorator") == "Entity").alias("entity")).withColumnRenamed("class", "type")
+    methods = _methods(classes)
+    known = methods.select(F.col("class").alias("type"), "method").distinct().withColumn("known", F.lit(True))
+    field = _each("body", r"(@InjectRepository\(\w+\) )?(?:(?:private|public|protected|readonly) )+(\w+): (?:Repository<)?(\w+)", {"stored": 1, "receiver": 2, "type": 3})
+    fields = classes.select("class", F.explode(field).alias("x")).select("class", "x.receiver", "x.type", (F.col("x.stored") != "").alias("stored"))
+
+    call = _each("code", r"\bthis\.(\w+)\.(\w+)\(", {"receiver": 1, "method": 2})
+    source = F.concat_ws("#", "class", "method").alias("source")
+    calls = methods.select(source, "class", F.explode(call).alias("x")).select("source", "class", "x.receiver", F.col("x.method").alias("method"))
+    sent = calls.join(fields, ["class", "receiver"], "left").select("source", "receiver", "type", "method", F.coalesce("stored", F.lit(False)).alias("stored"), F.lit("CALLS").alias("kind"))
+
+    tested = files.where(~F.col("content").rlike(r"export class "))
+    held = tested.select("path", F.explode(_each("content", r"const (\w+) = new (\w+)\(", {"receiver": 1, "type": 2})).alias("x")).select("path", "x.receiver", "x.type")
+    cases = tested.select("path", F.explode(F.split("content", _TEST_START)).alias("code")).withColumn("title", F.regexp_extract("code", r"^(?:it|test)(?:\.only)?\('([^']*)'", 1)).where("title <> ''")
+    cases = cases.withColumn("source", F.concat_ws("#", "path", "title"))
+    inner = F.filter(_each("code", r"(?<![\w.])(\w+)\.(\w+)\(", {"receiver": 1, "method": 2}), lambda x: ~x["receiver"].isin("expect", "jest", "it", "test"))
+    cases = cases.withColumn("calls", inner)
+    none = cases.where(F.size("calls") == 0).select("source", F.lit(None).cast("string").alias("target"), F.lit("TESTS").alias("type"), F.lit("NO_SUPPORTED_DIRECT_REFERENCE").alias("reason"))
+    run = cases.select("path", "source", F.explode("calls").alias("x")).select("path", "source", "x.receiver", F.col("x.method").alias("method"))
+    run = run.join(held, ["path", "receiver"], "left").select("source", "receiver", "type", "method", F.lit(False).alias("stored"), F.lit("TESTS").alias("kind"))
+
+    found = sent.unionByName(run).distinct().join(declared, "type", "left").join(known, ["type", "method"], "left")
+    uses = F.col("stored") & F.coalesce("entity", F.lit(False))
+    reason = first_match(
+        [
+            (F.col("type").isNull() | F.col("n").isNull(), "UNRESOLVED_RECEIVER"),
+            (F.col("n") > 1, "AMBIGUOUS_SYMBOL"),
+            (~uses & F.col("known").isNull(), "METHOD_ARTIFACT_NOT_EXTRACTED"),
+        ]
+    )
+    wanted = F.concat_ws(".", "receiver", "method")
+    target = F.when(F.col("reason").isNotNull(), wanted).when(uses, F.col("type")).otherwise(F.concat_ws("#", "type", "method"))
+    linked = found.withColumn("reason", reason).select("source", target.alias("target"), F.when(uses, "USES").otherwise(F.col("kind")).alias("type"), "reason")
+
+    entities = declared.where("entity AND n = 1").select(F.col("type").alias("target"))
+    named = methods.select(source, F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\b([A-Z]\w*)\b"), F.lit(1)))).alias("target"))
+    by_name = named.join(entities, "target", "left_semi").select("source", "target", F.lit("USES").alias("type"), F.lit(None).cast("string").alias("reason"))
+    return linked.unionByName(by_name).unionByName(none).distinct()
