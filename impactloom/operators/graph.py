@@ -229,3 +229,36 @@ def scenario_page(edges: DataFrame, targets: DataFrame, limit: int, offset: int,
     more = F.col("n") > offset + limit
     limitations = F.array_compact(F.array(F.when(F.col("n") == 0, "NO_SUPPORTED_TEST_REFERENCE"), F.when(F.col("n") == scan, "SCENARIO_SOURCE_SCAN_LIMIT"), F.when(more | F.col("static_calls_cut") | F.col("dependencies_cut"), "COMPREHENSION_LIMIT")))
     return every.select("id", *[F.coalesce(F.col(c).cast("array<bigint>"), nothing).alias(c) for c in ("scenarios", "static_calls", "dependencies")], more.alias("has_more"), limitations.alias("limitations"))
+
+
+def resolve_tokens(wanted: DataFrame, provides: DataFrame, imports: DataFrame, exports: DataFrame, hops: int = 3) -> DataFrame:
+    """(module, token, provider, outcome): which class a module gets for a token.
+
+    ``provides`` has module, token, kind and target: a class (CLASS), another token of the module (EXISTING), or what no reading
+    of declarations resolves (FACTORY).  A module sees what it provides itself and, if that is nothing, what modules that it
+    imports provide and export.  More than one class is ambiguous; aliases are followed ``hops`` times.
+    """
+    ends, left = [], provides.select("module", "token", "kind", "target").distinct()
+    step = left.select("module", "token", "kind", "target", F.col("target").alias("at"))
+    for _ in range(hops):
+        ends.append(step.where("kind <> 'EXISTING'").select("module", "token", "kind", "target"))
+        nxt = left.select("module", F.col("token").alias("at"), F.col("kind").alias("k2"), F.col("target").alias("t2"))
+        step = step.where("kind = 'EXISTING'").join(nxt, ["module", "at"], "left").select("module", "token", F.coalesce("k2", F.lit("MISSING")).alias("kind"), F.col("t2").alias("target"), F.col("t2").alias("at"))
+    ends.append(step.withColumn("kind", F.when(F.col("kind") == "EXISTING", "TOO_DEEP").otherwise(F.col("kind"))).select("module", "token", "kind", "target"))
+    own = merged(ends).groupBy("module", "token").agg(F.collect_set("kind").alias("kinds"), F.countDistinct("target").alias("n"), F.min("target").alias("target"))
+    given = imports.select("module", F.col("imported").alias("from_module")).distinct().join(exports.select(F.col("module").alias("from_module"), "token").distinct(), "from_module")
+    brought = given.join(merged(ends).withColumnRenamed("module", "from_module"), ["from_module", "token"])
+    brought = brought.groupBy("module", "token").agg(F.collect_set("kind").alias("kinds"), F.countDistinct("target").alias("n"), F.min("target").alias("target"))
+    ask = wanted.select("module", "token").distinct()
+    mine = ask.join(own, ["module", "token"])
+    rest = ask.join(own, ["module", "token"], "left_anti").join(brought, ["module", "token"], "left")
+    every = mine.unionByName(rest)
+    outcome = (
+        F.when(F.col("kinds").isNull(), "UNRESOLVED")
+        .when(F.array_contains("kinds", "FACTORY"), "UNSUPPORTED_FACTORY")
+        .when(F.array_contains("kinds", "TOO_DEEP"), "UNRESOLVED_ALIAS")
+        .when(F.col("n") == 0, "UNRESOLVED")
+        .when(F.col("n") > 1, "AMBIGUOUS")
+        .otherwise("RESOLVED")
+    )
+    return every.select("module", "token", F.when(outcome == "RESOLVED", F.col("target")).alias("provider"), outcome.alias("outcome"))

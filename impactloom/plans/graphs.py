@@ -302,6 +302,29 @@ def gr_receiver(spark, sf):
     return e.join(i, ["module", "symbol"], "left").select("from_id", "symbol", F.when(F.col("n") == 1, F.col("provider")).alias("provider"), outcome.alias("outcome"))
 
 
+# Modules by remainders of parts, tokens by suppliers; every line declares, imports, exports or asks.
+_PROVIDES = "SELECT l_partkey % 60 AS module, concat('T', l_suppkey % 25) AS token, CASE l_orderkey % 5 WHEN 0 THEN 'EXISTING' WHEN 1 THEN 'FACTORY' ELSE 'CLASS' END AS kind, CASE l_orderkey % 5 WHEN 0 THEN concat('T', l_orderkey % 25) ELSE concat('C', l_orderkey % 90) END AS target FROM v_line WHERE l_linenumber = 1 AND l_orderkey % 9 = 0"
+_BROUGHT = "SELECT l_partkey % 60 AS module, l_suppkey % 60 AS imported FROM v_line WHERE l_linenumber = 2 AND l_orderkey % 20 = 0"
+_GIVEN = "SELECT l_partkey % 60 AS module, concat('T', l_suppkey % 25) AS token FROM v_line WHERE l_linenumber = 3"
+_ASKED = "SELECT l_partkey % 60 AS module, concat('T', l_orderkey % 25) AS token FROM v_line WHERE l_linenumber = 4"
+_FOLLOWED = "SELECT DISTINCT module, token, kind, target, 0 AS hop FROM pr UNION SELECT f.module, f.token, coalesce(p.kind, 'MISSING'), p.target, f.hop + 1 FROM fo f LEFT JOIN pr p ON p.module = f.module AND p.token = f.target WHERE f.kind = 'EXISTING' AND f.hop < 3"
+_ENDS = "SELECT module, token, CASE kind WHEN 'EXISTING' THEN 'TOO_DEEP' ELSE kind END AS kind, target FROM fo WHERE kind <> 'EXISTING' OR hop = 3"
+
+
+@query(
+    "gr_receiver_modules",
+    oracle(
+        """SELECT module, token, CASE WHEN NOT f AND NOT d AND n = 1 THEN target END AS provider, CASE WHEN f IS NULL THEN 'UNRESOLVED' WHEN f THEN 'UNSUPPORTED_FACTORY' WHEN d THEN 'UNRESOLVED_ALIAS' WHEN n = 0 THEN 'UNRESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS outcome
+FROM (SELECT a.module, a.token, bool_or(kind = 'FACTORY') AS f, bool_or(kind = 'TOO_DEEP') AS d, count(DISTINCT target) AS n, min(target) AS target FROM (SELECT DISTINCT * FROM ak) a LEFT JOIN (SELECT module, token, kind, target FROM en
+UNION SELECT i.module, e.token, e.kind, e.target FROM br i JOIN gv x ON x.module = i.imported JOIN en e ON e.module = x.module AND e.token = x.token WHERE (i.module, e.token) NOT IN (SELECT (module, token) FROM en)) v USING (module, token) GROUP BY a.module, a.token) y""",
+        ("pr", _PROVIDES), ("br", _BROUGHT), ("gv", _GIVEN), ("ak", _ASKED), ("fo", _FOLLOWED), ("en", _ENDS),
+    ),
+)
+def gr_receiver_modules(spark, sf):
+    """The class behind a token through own providers, aliases, imports and exports of modules."""
+    return g.resolve_tokens(*[over(spark, sf, text, "v_line") for text in (_ASKED, _PROVIDES, _BROUGHT, _GIVEN)])
+
+
 @query("gr_label", oracle("SELECT artifact_id, CASE WHEN length(x) > 60 THEN x[1:57] || '...' ELSE x END AS label FROM (SELECT artifact_id, regexp_replace(replace(name, '\"', ''''), '[\\r\\n]+', ' ', 'g') AS x FROM v_artifact) y"))
 def gr_label(spark, sf):
     return view(spark, sf, "v_artifact").select("artifact_id", label(F.col("name")).alias("label"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources import tables as t
 from .joins import over
+from .projections import JUDGED, judged
 from .views import oracle, view
 
 _STORED = "SELECT idempotency_key AS k, min(event_id) AS event_id, max(value) AS value FROM v_event WHERE event_id % 3 = 0 GROUP BY idempotency_key"
@@ -77,6 +78,45 @@ def snk_markdown(spark, sf):
     return body.select("analysis_id", F.concat(F.lit("# Analysis "), "analysis_id", F.lit("\n"), "markdown").alias("markdown"))
 
 
+_TOLD = "SELECT i.*, run_id FROM v_insight i JOIN v_analysis USING (analysis_id) WHERE review_status <> 'REJECTED'"
+_APPENDIX = """SELECT run_id, evidence_id, min(source) AS source FROM (SELECT run_id, evidence_id, concat('0 Insight: ', statement, ' ', insight_id) AS source FROM told JOIN v_insight_evidence USING (insight_id)
+UNION ALL SELECT run_id, evidence_id, concat('1 Traceability: ', link_id) FROM v_link l JOIN v_analysis a ON a.analysis_id = l.analysis_id JOIN v_link_evidence USING (link_id) WHERE review_status <> 'REJECTED') x GROUP BY run_id, evidence_id"""
+_LINES = """SELECT run_id, 0 AS part, 0 AS a, 0 AS b, concat('# Merged Report Draft: ', run_id, chr(10), chr(10), '## Run Summary', chr(10), chr(10), '- Child Analyses: ', count(*)) AS line FROM j GROUP BY run_id
+UNION ALL SELECT DISTINCT run_id, p, -1, 0, h FROM j CROSS JOIN (VALUES (1, chr(10) || '## Repository Coverage' || chr(10) || chr(10) || '| Repository | Analysis ID | Snapshot ID | Commit | Review |' || chr(10) || '|---|---|---|---|---|'), (2, chr(10) || '## Consolidated Risks' || chr(10)), (3, chr(10) || '## QA Scenarios' || chr(10)), (4, chr(10) || '## Evidence Appendix' || chr(10))) v(p, h)
+UNION ALL SELECT run_id, 1, repository_id, analysis_id, concat('| ', repository_id, ' | `', analysis_id, '` | `', snapshot_id, '` | `', commit_sha, '` | ', coalesce(decision, 'PENDING'), ' |') FROM j
+UNION ALL SELECT run_id, 2, analysis_id, insight_id, concat('- [', certainty, '] ', statement, ' (', insight_type, ')') FROM told WHERE insight_type IN ('CLAIM', 'UNKNOWN', 'QUESTION')
+UNION ALL SELECT run_id, 3, analysis_id, insight_id, concat('- [', certainty, '] ', statement) FROM told WHERE insight_type = 'QA_SCENARIO' UNION ALL SELECT run_id, 4, evidence_id, 0, concat('- ', evidence_id, ' ', source[3:]) FROM ap"""
+
+
+@query(
+    "snk_markdown_run",
+    oracle("SELECT run_id, string_agg(line, chr(10) ORDER BY part, a, b) AS markdown FROM (SELECT * FROM ln UNION ALL SELECT DISTINCT j.run_id, p, 0, 0, '- none' FROM j CROSS JOIN (VALUES (2), (3), (4)) v(p) ANTI JOIN ln ON ln.run_id = j.run_id AND ln.part = p AND ln.a >= 0) x GROUP BY run_id", ("j", JUDGED), ("told", _TOLD), ("ap", _APPENDIX), ("ln", _LINES)),
+)
+def snk_markdown_run(spark, sf):
+    """A run's merged report: what is read, what is at risk, how it is tested, and each evidence once, named by its first use."""
+    j = judged(spark, sf)
+    told = over(spark, sf, _TOLD, "v_insight", "v_analysis")
+    links = view(spark, sf, "v_link").where("review_status <> 'REJECTED'").join(view(spark, sf, "v_analysis").select("analysis_id", "run_id"), "analysis_id")
+    by_insight = told.join(view(spark, sf, "v_insight_evidence"), "insight_id").select("run_id", "evidence_id", F.concat(F.lit("0 Insight: "), "statement", F.lit(" "), "insight_id").alias("source"))
+    by_link = links.join(view(spark, sf, "v_link_evidence"), "link_id").select("run_id", "evidence_id", F.concat(F.lit("1 Traceability: "), "link_id").alias("source"))
+    appendix = by_insight.unionByName(by_link).groupBy("run_id", "evidence_id").agg(F.min("source").alias("source"))
+    table = [F.lit("\n## Repository Coverage\n"), F.lit("| Repository | Analysis ID | Snapshot ID | Commit | Review |"), F.lit("|---|---|---|---|---|")]
+    claim = F.concat(F.lit("- ["), "certainty", F.lit("] "), "statement")
+    row = F.concat(F.lit("| "), "repository_id", F.lit(" | `"), "analysis_id", F.lit("` | `"), "snapshot_id", F.lit("` | `"), "commit_sha", F.lit("` | "), F.coalesce("decision", F.lit("PENDING")), F.lit(" |"))
+    title = F.concat(F.lit("# Merged Report Draft: "), "run_id", F.lit("\n\n## Run Summary\n\n- Child Analyses: "), "n")
+    parts = [
+        (F.concat_ws("\n", *table), j.select("run_id", F.col("repository_id").alias("a"), F.col("analysis_id").alias("b"), row.alias("line"))),
+        (F.lit("\n## Consolidated Risks\n"), told.where("insight_type IN ('CLAIM', 'UNKNOWN', 'QUESTION')").select("run_id", F.col("analysis_id").alias("a"), F.col("insight_id").alias("b"), F.concat(claim, F.lit(" ("), "insight_type", F.lit(")")).alias("line"))),
+        (F.lit("\n## QA Scenarios\n"), told.where("insight_type = 'QA_SCENARIO'").select("run_id", F.col("analysis_id").alias("a"), F.col("insight_id").alias("b"), claim.alias("line"))),
+        (F.lit("\n## Evidence Appendix\n"), appendix.select("run_id", F.col("evidence_id").alias("a"), F.lit(0).alias("b"), F.concat(F.lit("- "), "evidence_id", F.lit(" "), F.substr("source", F.lit(3))).alias("line"))),
+    ]
+    out = j.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select("run_id", title.alias("markdown"))
+    for heading, rows in parts:
+        body = t.report(rows, "run_id", ["a", "b"], F.col("line")).withColumnRenamed("markdown", "body")
+        out = out.join(body, "run_id", "left").select("run_id", F.concat_ws("\n", "markdown", heading, F.coalesce("body", F.lit("- none"))).alias("markdown"))
+    return out
+
+
 @query("loc_validate", oracle("SELECT 'given' AS side, insight_id FROM v_insight WHERE insight_id % 40 = 1 UNION ALL SELECT 'stored', insight_id + 5 FROM v_insight WHERE insight_id % 40 = 1"))
 def loc_validate(spark, sf):
     """Identifiers that a translation lost or made up (here every fortieth was changed)."""
