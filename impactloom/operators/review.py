@@ -189,7 +189,10 @@ def coverage(judged: DataFrame, links: DataFrame, link_bridge: DataFrame, insigh
 def matrix(judged: DataFrame, links: DataFrame, insights: DataFrame) -> DataFrame:
     """One row per analysis: distinct artifacts by kind, risks, scenarios, links and the blocking reason."""
     kind = F.when(F.col("universal_kind").isin(KIND_BUCKETS), F.col("universal_kind")).otherwise(F.lit("UNKNOWN"))
-    counts = links.groupBy("analysis_id").agg(*[F.countDistinct(F.when(kind == k, F.col("artifact_id"))).alias(k.lower()) for k in KIND_BUCKETS], F.count(F.lit(1)).alias("evidence_count"))
+    # Each artifact of a kind once, then counts: distinct counts per kind would multiply every link.
+    once = links.groupBy("analysis_id", "artifact_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    is_one = F.col("artifact_id").isNotNull()
+    counts = once.groupBy("analysis_id").agg(*[count_if(is_one & (F.col("kind") == k)).alias(k.lower()) for k in KIND_BUCKETS], F.sum("n").alias("evidence_count"))
     unknown = F.col("insight_type") == "UNKNOWN"
     found = insights.groupBy("analysis_id").agg(
         count_if(unknown).alias("unknown_count"), count_if(~unknown & (F.col("certainty") == "CONFLICTING")).alias("conflicting_count"), count_if(F.col("insight_type") == "QA_SCENARIO").alias("qa_count")
