@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, lm_score, near_dup, packing, pii, quality, url_filter, warc
+from . import decontaminate, exact_dedup, fingerprints, licenses, lm_score, merkle, near_dup, oracles, packing, pii, quality, resample, url_filter, warc
 from .common import cut, remove, shared_path, table
+from .text import LOWER, UPPER
 
 #: The tokenizer's file for packing; a path of another file can be set in the session.
 TOKENIZER_CONF, TOKENIZER = "impactloom.tokenizer", "word_bpe_49k.json"
@@ -70,6 +71,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_of([F.translate("text", UPPER, LOWER) if f == "text" else F.col(f) for f in fields])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, changed)
+    found = merkle.manifest(docs, fields, carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")
+    told = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded)
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least=20, seed=7)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_near_duplicates,
@@ -82,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc,
         op9_packing,
         op10_exact_dedup,
+        op11_merkle,
+        op12_resample,
+        op13_fingerprints,
     )
     return {f.__name__: f for f in named}
 
@@ -131,4 +154,12 @@ FROM n WINDOW w AS (PARTITION BY t)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _OP1, "op2_license_scan": licenses.scan_sql(), "op6_decontaminate": _OP6, "op8_warc": _OP8, "op10_exact_dedup": _OP10}
+    return {
+        "op1_near_duplicates": _OP1,
+        "op2_license_scan": licenses.scan_sql(),
+        "op6_decontaminate": _OP6,
+        "op8_warc": _OP8,
+        "op10_exact_dedup": _OP10,
+        "op11_merkle": oracles.merkle_sql(),
+        "op12_resample": oracles.resample_sql(),
+    }
