@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("projections", "aggregates", "joins", "ordering", "graphs", "retrieval", "scanning", "merging", "texts", "streams")
+MODULES = ("projections", "aggregates", "joins", "ordering", "graphs", "retrieval", "scanning", "merging", "texts", "streams", "code")
 
 
 def load() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import extract as x
+from ..sources import spans, specs
 from ..sources import scan as s
 from .joins import over
 from .views import oracle, view
@@ -193,9 +194,8 @@ for _name, _language in (("src_py", "python"), ("src_go", "go"), ("src_java", "j
 
 @query("src_ts", oracle(f"SELECT path, decorator, concat('Items', page_id) AS class_name, verb, route, handler FROM (SELECT path, page_id, CASE m WHEN 2 THEN 'Injectable' ELSE 'Controller' END AS decorator FROM s) c LEFT JOIN (SELECT path, verb, route, handler FROM ({_routes('typescript')}) y) r USING (path)", ("s", _PAGES)))
 def src_ts(spark, sf):
-    """Decorated classes with the routes of their files, if there are any."""
-    f = source_files(spark, sf, "typescript")
-    return x.classes(f).join(x.routes(f, "typescript"), "path", "left").select("path", "decorator", F.col("name").alias("class_name"), "verb", "route", "handler")
+    """Decorated classes with their routes, if there are any."""
+    return spans.decorated(source_files(spark, sf, "typescript"))
 
 
 #: The scanner of a page's file; the last language has none.
@@ -215,7 +215,7 @@ def src_registry(spark, sf):
 
 @query("src_jest", oracle(f"SELECT path, {_numbered('title')}, modifier FROM s JOIN {_values([(i, *r) for i, (_, found, _) in enumerate(_TEXT['jest']) for r in found], 'm, title, modifier')} USING (m)", ("s", _PAGES)))
 def src_jest(spark, sf):
-    return x.tests(source_files(spark, sf, "jest"))
+    return specs.cases(spans.tokens(source_files(spark, sf, "jest")))[0].select("path", "title", "modifier")
 
 
 _CLAIMS = f"SELECT path, subject, matcher, arguments, kind, unresolved, place::INT AS place FROM s JOIN {_values(_CLAIMED, 'm, place, subject, matcher, arguments, kind, unresolved')} USING (m)"
@@ -223,12 +223,12 @@ _CLAIMS = f"SELECT path, subject, matcher, arguments, kind, unresolved, place::I
 
 @query("src_jest_behav", oracle(_CLAIMS, ("s", _PAGES)))
 def src_jest_behav(spark, sf):
-    return x.assertions(source_files(spark, sf, "jest"))
+    return specs.assertions(source_files(spark, sf, "jest"))
 
 
 @query("src_assert", oracle(f"SELECT kind, unresolved, count(*) AS n FROM ({_CLAIMS}) c GROUP BY kind, unresolved", ("s", _PAGES)))
 def src_assert(spark, sf):
-    return x.assertions(source_files(spark, sf, "jest")).groupBy("kind", "unresolved").agg(F.count(F.lit(1)).alias("n"))
+    return specs.assertions(source_files(spark, sf, "jest")).groupBy("kind", "unresolved").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_rel", oracle("SELECT artifact_id, artifact_key, file_path FROM v_artifact WHERE snapshot_id = (SELECT min(source) FROM documents) AND artifact_type = 'ENTITY'"))

@@ -34,22 +34,6 @@ UNSUPPORTED = {
     "ruby": r"(?m)^\s*(?:resources|namespace|scope)\b",
     "typescript": r"@All\(",
 }
-# Matchers of assertions by what they check.
-RETURN_VALUE = [
-    "toBe", "toEqual", "toStrictEqual", "toMatchObject", "toContain", "toContainEqual", "toBeCloseTo", "toBeGreaterThan", "toBeGreaterThanOrEqual", "toBeLessThan",
-    "toBeLessThanOrEqual", "toBeInstanceOf", "toBeDefined", "toBeUndefined", "toBeNull", "toBeTruthy", "toBeFalsy", "toBeNaN", "toHaveLength", "toMatch",
-]
-CALL_COUNT = ["toHaveBeenCalled", "toHaveBeenCalledOnce", "toHaveBeenCalledTimes", "toHaveReturned", "toHaveReturnedTimes"]
-INVOCATION_ARGUMENTS = ["toHaveBeenCalledWith", "toHaveBeenLastCalledWith", "toHaveBeenNthCalledWith"]
-EXCEPTION = ["toThrow", "toThrowError"]
-STATE = ["toHaveProperty"]
-SNAPSHOT = ["toMatchSnapshot", "toMatchInlineSnapshot"]
-_TEST = r"\b(describe|it|test)(?:\.(skip|only|todo))?\(\s*'([^']*)'"
-#: What stands between parentheses, with up to three more inside one another.
-_INSIDE = r"[^()]*"
-for _ in range(3):
-    _INSIDE = rf"[^()]*(?:\({_INSIDE}\)[^()]*)*"
-_EXPECT = rf"\bexpect\(({_INSIDE})\)(?:\.(?:not|resolves|rejects))*\.(\w+)\(({_INSIDE})\)"
 
 
 def _each(content: str, pattern: str, groups: dict[str, int]) -> Column:
@@ -84,50 +68,6 @@ def unsupported(files: DataFrame, language: str) -> DataFrame:
     return files.select("path", F.regexp_count("content", F.lit(UNSUPPORTED[language])).cast("long").alias("n")).where("n > 0")
 
 
-def classes(files: DataFrame) -> DataFrame:
-    """(path, decorator, name) of decorated classes."""
-    each = files.select("path", F.explode(_each("content", r"@(Controller|Injectable|Entity|Module)\([^)]*\)\s*export class (\w+)", {"decorator": 1, "name": 2})).alias("x"))
-    return each.select("path", "x.decorator", "x.name")
-
-
-def tests(files: DataFrame) -> DataFrame:
-    """(path, title, modifier) of test cases whose title occurs once in its file."""
-    each = files.select("path", F.explode(_each("content", _TEST, {"kind": 1, "modifier": 2, "title": 3})).alias("x")).select("path", "x.*").where("kind <> 'describe'")
-    modifier = F.upper(F.coalesce(F.nullif("modifier", F.lit("")), F.lit("normal")))
-    once = each.groupBy("path", "title").agg(F.count(F.lit(1)).alias("n"), F.max(modifier).alias("modifier")).where("n = 1")
-    return once.select("path", "title", "modifier")
-
-
-def assertions(files: DataFrame) -> DataFrame:
-    """(path, subject, matcher, arguments, kind, unresolved, place): claims of tests, numbered in their file.
-
-    A returned value is state if the subject is a property or an element of something.  ``unresolved`` tells why a claim
-    says too little: snapshots and unknown matchers have no kind, and some matchers need what they expect.
-    """
-    each = files.select("path", F.explode(_each("content", _EXPECT, {"subject": 1, "matcher": 2, "arguments": 3})).alias("x")).select("path", "x.*")
-    matcher = F.col("matcher")
-    part = F.rtrim("subject").rlike(r"(\.\w+|\])$")
-    kind = first_match(
-        [
-            (matcher.isin(RETURN_VALUE) & part, "STATE"),
-            (matcher.isin(RETURN_VALUE), "RETURN_VALUE"),
-            (matcher.isin(CALL_COUNT), "CALL_COUNT"),
-            (matcher.isin(INVOCATION_ARGUMENTS), "INVOCATION_ARGUMENTS"),
-            (matcher.isin(EXCEPTION), "EXCEPTION"),
-            (matcher.isin(STATE), "STATE"),
-        ]
-    )
-    explicit = matcher.isin([*RETURN_VALUE, *STATE, "toHaveBeenNthCalledWith"])
-    unresolved = first_match(
-        [
-            (matcher.isin(SNAPSHOT), "SNAPSHOT_EXPECTATION_UNRESOLVED"),
-            (F.col("kind").isNull(), "ASSERTION_SEMANTICS_UNRESOLVED"),
-            (explicit & (F.trim("arguments") == ""), "OUTCOME_NOT_EXPLICIT"),
-        ]
-    )
-    return each.withColumn("kind", kind).withColumn("unresolved", unresolved).select("path", "subject", "matcher", "arguments", "kind", "unresolved", "place")
-
-
 _CLASS_START = r"(?=@(?:Controller|Injectable|Entity|Module)\()"
 _METHOD_START = r"(?m)(?=^  (?:async )?\w+\([^)\n]*\)[^{;\n]*\{)"
 _TEST_START = r"(?=\b(?:it|test)(?:\.\w+)?\(')"
