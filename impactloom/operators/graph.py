@@ -6,6 +6,8 @@ neither plans nor work grow with the rounds before; frontiers stay distributed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,19 +114,75 @@ def first_path(edges: DataFrame, starts: DataFrame, goal: int, depth: int = 4) -
 
 
 def lineage(nodes: DataFrame, start: DataFrame) -> DataFrame:
-    """(start, id, steps, cycle): the chain of parents of each start; ``nodes`` has id and parent.
+    """(start, id, steps, cycle): the chain of parents of each start; ``nodes`` has id, of which none is twice, and parent.
+
+    A chain ends at its root, or with ``cycle`` at the first node that it meets again.  Pointers double: in each round a node
+    learns who stands twice as far above it, so rounds go with the logarithm of the longest chain, tail or cycle.
 
-    A chain ends at its root, or with ``cycle`` at the first node that it meets again.  Each round is written, until no
-    chain goes on.
+    * Fewer nodes reach farther.  When a round loses none, those left never end: they run into cycles.
+    * Of these, the images under longer and longer steps shrink; when they no longer do, they are the nodes on cycles.
+    * On a cycle the least node finds itself again, which tells the cycle's length.
     """
-    up = cut(nodes.where("parent is not null").select("id", "parent"))
-    front = cut(start.select(F.col("id").alias("start"), "id", F.array("id").alias("chain"), F.lit(False).alias("cycle")))
-    rounds = []
-    while not front.isEmpty():
-        rounds.append(front)
-        step = front.where("not cycle").join(up, "id").select("start", F.col("parent").alias("id"), "chain", F.array_contains("chain", F.col("parent")).alias("cycle"))
-        front = cut(step.select("start", "id", F.array_append("chain", F.col("id")).alias("chain"), "cycle"))
-    return merged([r.select("start", "id", (F.size("chain") - 1).alias("steps"), "cycle") for r in rounds or [front]])
+    ups = [cut(nodes.where("parent is not null").select("id", F.col("parent").alias("to")))]
+
+    def doubled(up: DataFrame) -> DataFrame:
+        return cut(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+
+    left = ups[0].count()
+    while left:
+        ups.append(doubled(ups[-1]))
+        before, left = left, ups[-1].count()
+        if left == before:
+            break
+    limits = None
+    if left:
+        limits = _cycle_limits(ups, doubled)
+    front = start.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("steps"))
+    if limits is None:
+        front = front.withColumn("most", F.lit(None).cast("long"))
+    else:
+        farthest = limits.agg(F.max("most")).first()[0]
+        while 1 << len(ups) <= farthest:
+            ups.append(doubled(ups[-1]))
+        front = front.join(limits.withColumnRenamed("id", "start"), "start", "left")
+    found = cut(front.select("start", "id", "steps", "most"))
+    for k, up in enumerate(ups):
+        far = F.col("steps") + (1 << k)
+        more = found.join(up, "id").where(F.col("most").isNull() | (far <= F.col("most"))).select("start", F.col("to").alias("id"), far.alias("steps"), "most")
+        found = cut(found.unionByName(more))
+    return found.select("start", "id", F.col("steps").cast("int").alias("steps"), F.coalesce(F.col("steps") == F.col("most"), F.lit(False)).alias("cycle"))
+
+
+def _cycle_limits(ups: list[DataFrame], doubled: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, most) of nodes that run into cycles: after how many steps one meets a node again.  ``ups`` may get longer."""
+    size = ups[-1].select("to").distinct().count()
+    while True:
+        ups.append(doubled(ups[-1]))
+        before, size = size, ups[-1].select("to").distinct().count()
+        if size == before:
+            break
+    looping = ups[-1].select("id")
+    ring = cut(ups[-1].select(F.col("to").alias("id")).distinct())
+    # The least node met within the steps so far, and when first.
+    seen = cut(ups[0].join(ring, "id", "left_semi").select("id", "to", F.struct(F.col("to").alias("least"), F.lit(1).cast("long").alias("after")).alias("best")))
+    width = 1
+    while True:
+        leaders = seen.where("best.least = id").select(F.col("id").alias("leader"), F.col("best.after").alias("length"))
+        of = seen.select("id", F.col("best.least").alias("leader")).join(leaders, "leader", "left")
+        if not of.where("length IS NULL").limit(1).count():
+            break
+        ahead = seen.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("best").alias("beyond"))
+        beyond = F.struct(F.col("beyond.least").alias("least"), (F.col("beyond.after") + width).alias("after"))
+        seen = cut(seen.join(ahead, "to").select("id", F.col("next").alias("to"), F.least("best", beyond).alias("best")))
+        width *= 2
+    of = cut(of.select("id", "length"))
+    # How far the others are from their cycle: pointers stop at its nodes.
+    way = ups[0].join(looping, "id", "left_semi").join(of, "id", "left")
+    way = cut(way.select("id", F.when(F.col("length").isNull(), F.col("to")).otherwise(F.col("id")).alias("to"), F.when(F.col("length").isNull(), 1).otherwise(0).cast("long").alias("far"), F.col("length").isNotNull().alias("there")))
+    while way.where("NOT there").limit(1).count():
+        ahead = way.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("there").alias("then"))
+        way = cut(way.join(ahead, "to").select("id", F.col("next").alias("to"), F.when(F.col("there"), F.col("far")).otherwise(F.col("far") + F.col("more")).alias("far"), (F.col("there") | F.col("then")).alias("there")))
+    return cut(way.join(of.withColumnRenamed("id", "to"), "to").select("id", (F.col("far") + F.col("length")).alias("most")))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

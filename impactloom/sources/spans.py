@@ -46,9 +46,13 @@ KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "throw", "await",
 _COLUMNS = ["path", "i", "kind", "t", "start", "end", "line", "last", "up", "close", "seg", "before", "prev", "prev_i", "next", "next_i", "deco", "fresh", "brace", "paren", "stop", "arrow", "block", "behind"]
 
 
-def _first(is_it: Column, of: Window) -> Column:
-    """The place of the next sibling that ``is_it``, this token included."""
-    return F.min(F.when(is_it, F.col("i"))).over(of.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+def _first(is_it: Column) -> Column:
+    """The place of the next sibling that ``is_it``, this token included.
+
+    Siblings are read from the last on: a running value costs each token once, a frame to the end would cost all that follow.
+    """
+    backwards = Window.partitionBy("path", "up").orderBy(F.col("i").desc())
+    return F.min(F.when(is_it, F.col("i"))).over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def lexed(files: DataFrame) -> DataFrame:
@@ -123,11 +127,11 @@ def tokens(files: DataFrame) -> DataFrame:
     before = F.coalesce(F.col("prev"), F.lit(""))
     found = found.withColumns(
         {
-            "brace": _first((t == "{") & ~before.isin("<", ":", ",", "|", "&", "=", "=>", "?", "...", "(", "extends", "keyof", "is"), sib),
-            "paren": _first(t == "(", sib),
-            "stop": _first(t == ";", sib),
-            "arrow": _first(t == "=>", sib),
-            "block": _first((t == "{") & before.isin("=>", ")"), sib),
+            "brace": _first((t == "{") & ~before.isin("<", ":", ",", "|", "&", "=", "=>", "?", "...", "(", "extends", "keyof", "is")),
+            "paren": _first(t == "("),
+            "stop": _first(t == ";"),
+            "arrow": _first(t == "=>"),
+            "block": _first((t == "{") & before.isin("=>", ")")),
         }
     )
     return cut(found.select(*_COLUMNS))

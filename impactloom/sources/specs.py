@@ -37,7 +37,7 @@ def with_functions(toks: DataFrame) -> DataFrame:
     and ``next_enter``, the next place where one begins.  A function begins at its brace, or at its arrow if it has none."""
     block = (F.col("t") == "{") & ((F.col("prev") == "=>") | ((F.col("prev") == ")") & ~F.get("before", F.lit(2)).isin(_CONTROL)))
     lean = (F.col("t") == "=>") & F.coalesce(F.col("next") != "{", F.lit(False))
-    sib = Window.partitionBy("path", "up").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    sib = Window.partitionBy("path", "up").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     stop = F.min(F.when(F.col("t").isin(",", ";") | F.col("fresh"), F.col("i"))).over(sib)
     marked = toks.withColumns({"enter": F.coalesce(block | lean, F.lit(False)), "lean_stop": stop})
     closes = toks.where("close IS NOT NULL").select("path", F.col("i").alias("up"), F.col("close").alias("shut"))
@@ -48,7 +48,7 @@ def with_functions(toks: DataFrame) -> DataFrame:
     found = marked.join(leave, ["path", "i"], "left")
     found = found.withColumn("depth", F.sum(F.col("enter").cast("int") - F.coalesce("leaves", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     found = found.withColumn("fn", F.when(F.col("depth") > 0, F.last(F.when(F.col("enter"), F.col("i")), ignorenulls=True).over(Window.partitionBy("path", "depth").orderBy("i"))))
-    return found.withColumn("next_enter", F.min(F.when(F.col("enter"), F.col("i"))).over(along.rowsBetween(1, Window.unboundedFollowing))).drop("lean_stop", "leaves", "depth")
+    return found.withColumn("next_enter", F.min(F.when(F.col("enter"), F.col("i"))).over(Window.partitionBy("path").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1))).drop("lean_stop", "leaves", "depth")
 
 
 def _callbacks(toks: DataFrame, calls: DataFrame) -> DataFrame:
