@@ -66,8 +66,13 @@ def without_rows(docs: DataFrame, gone: DataFrame, text: str = "text", key: str
 
     A row is known by its identifier, null or not, and its text together: rows that only share one of them stay.
     """
-    marked = docs.select("*", F.col(key).cast("long").alias("__key"), F.xxhash64(F.col(text)).alias("__hash"))
-    return join_small(marked, gone.select(F.col("id").alias("__key"), F.col("text_hash").alias("__hash")), ["__key", "__hash"], "left_anti").drop("__key", "__hash")
+    marked = known_rows(docs, text, key)
+    return join_small(marked, gone.select("id", "text_hash"), ["id", "text_hash"], "left_anti").select("row.*")
+
+
+def known_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(row, id, text_hash): rows as one struct each, so that none of their columns clashes with what is joined."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_hash"))
 
 
 def remove(spark: SparkSession, path: str) -> None:

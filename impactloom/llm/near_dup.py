@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, without_rows
+from .common import cut, join_small, known_rows, without_rows
 from .components import components
 from .text import shingles
 
@@ -320,7 +320,6 @@ def distinct_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", k: i
     again = cut(again)
     if again.isEmpty():
         return left
-    marks = [F.col(key).cast("long").alias("__id"), F.xxhash64(F.col(text)).alias("__hash")]
-    same = join_small(left.select("*", *marks), again.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), ["__id", "__hash"], "left_semi")
-    once = same.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    same = join_small(known_rows(left, text, key), again, ["id", "text_hash"], "left_semi")
+    once = same.dropDuplicates(["id", "text_hash"]).select("row.*")
     return without_rows(left, again, text, key).unionByName(once)

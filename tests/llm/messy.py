@@ -17,7 +17,7 @@ ROWS = [
     (9, PROSE.upper(), "en", "c"),
 ]
 #: Names that operators use inside.
-EXTRA = ["id", "key", "n", "kept", "set_id", "regs", "score", "label", "component_id", "text_hash", "doc", "item", "level", "value", "host", "path", "digest", "part", "stats", "target"]
+EXTRA = ["id", "key", "n", "kept", "set_id", "regs", "score", "label", "component_id", "text_hash", "doc", "item", "level", "value", "host", "path", "digest", "part", "stats", "target", "row", "__id", "__key", "__hash", "__text_hash", "__row", "__x"]
 
 
 def documents(spark, rows=ROWS):
