@@ -184,7 +184,9 @@ RULES = [
     ("beerware-notice", "Beerware", ["beerware"]),
 ]
 # Every known sentence has one of these; texts with none are not searched further.
-ANCHORS = ["licens", "licenc", "permi", "warrant", "software", "distribut", "copyright", "public domain", "advertising", "misrepresented", "retain", "you want to"]
+ANCHORS = ["licens", "licenc", "permi", "warrant", "software", "distribut", "copyright", "advertising", "misrepresented", "retain"]
+#: The same of two words and more: a frequent word of them, and the words with anything between, as lines may be broken there.
+LONG_ANCHORS = [("domain", "public[^a-z0-9]+domain"), ("want", "you[^a-z0-9]+want[^a-z0-9]+to")]
 _END = "[.!?:;]+[ \\t\\n\\x0B\\f\\r]+"
 _MARK, _LINE = "\x01", "\x02"
 
@@ -213,7 +215,7 @@ def _known(text: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(F.translate(marked, "\n", _LINE), "licence", "license"), f"[^a-z0-9{_MARK}{_LINE}]+", " ")
         found = F.regexp_extract_all(bare, F.lit(_pattern()), F.lit(1))
         told = F.transform(found, lambda s: F.element_at(ids, F.regexp_replace(s, f"[ {_MARK}{_LINE}]+", " ")))
-        hint = reduce(or_, [low.contains(x) for x in ANCHORS])
+        hint = reduce(or_, [low.contains(x) for x in ANCHORS] + [low.contains(word) & low.rlike(pattern) for word, pattern in LONG_ANCHORS])
         return F.when(hint, told).otherwise(F.array().cast("array<string>"))
 
     return let(F.lower(F.coalesce(text, F.lit(""))), of)
