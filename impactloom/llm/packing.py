@@ -17,6 +17,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
 import os
 import re
 import struct
@@ -57,6 +58,24 @@ def forget() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What a tokenizer's file must say for words to be told apart at blanks and met in lower case.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITS_AT_BLANKS = "[^\\s\\p{L}\\p{N}]+"
+
+
+def check_tokenizer(path: str) -> None:
+    """Refuse a file whose tokenizer does not lower-case, or joins words across blanks: its ids would be wrong without a sign."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = steps[0] if steps else {}
+    pattern = split.get("pattern", {}).get("Regex", "")
+    bytes_after = [x.get("type") for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    splits = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and pattern.endswith(_SPLITS_AT_BLANKS) and bytes_after
+    if told.get("normalizer") != _NORMALIZER or not splits or told.get("post_processor") or told.get("model", {}).get("type") != "BPE":
+        raise ValueError(f"{path}: packing needs a BPE tokenizer that lower-cases and splits at blanks")
+
+
 def token_bytes(path: str, memo_words: int = MEMO_WORDS) -> Callable[[str], bytes]:
     """A function from a text to its ids as bytes, for tokenizers that lower-case and never join across blanks.
 
@@ -68,6 +87,7 @@ def token_bytes(path: str, memo_words: int = MEMO_WORDS) -> Callable[[str], byte
 
     memory = _worker_memory()
     if memory.get("path") != path:
+        check_tokenizer(path)
         memory.update(path=path, tokenizer=Tokenizer.from_file(path), words={})
     tokenizer, memo = memory["tokenizer"], memory["words"]
 
