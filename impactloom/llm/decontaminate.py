@@ -13,22 +13,28 @@ Values of wider windows are minima of two values of the next narrower ones, so e
 costs one more pass over an array, and neighbouring windows mostly share a value: of w shingles
 about two values are left to look up.
 
-Candidates are verified by exact containment: shared shingles / shingles of the item.
+Where many items share a window, as with one prompt template, their rarest shingles lead to them instead (``_told_apart``): texts
+that quote the template are no candidates for all of them.  Candidates are verified by exact containment: shared shingles /
+shingles of the item, counted for candidate pairs alone.
 
 An item's row with a null or empty text has no shingles and is never found; items or texts shorter
 than k words are one shingle.  Items with the same identifier count as one by the union of their
 shingles; documents likewise, but ``clean_rows`` tells rows apart by identifier and text.  Empty tables give an
-empty result; extra columns are ignored.  There are no ties.
+empty result; extra columns are ignored.  Long texts are read whole.  There are no ties.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_small, without_rows
 from .text import let, shingles
 
+#: Items that may share a window before it counts as a template's.
+SHARED = 16
+
+
 def _wider(values: Column, step: int) -> Column:
     """MinHash values of windows of 2 * step from those of step; arrays shorter than that stay as they are."""
 
@@ -81,23 +87,48 @@ def contaminated(
     own = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
     sized = cut(own.select("item", shingles(F.col("text"), k).alias("hashes")).withColumn("of", _level(F.size(F.array_distinct("hashes")), k, percent))).where(F.size("hashes") > 0)
     levels = sorted(r[0] for r in sized.select("of").distinct().collect())  # one for each power of two
-    wanted = cut(_windows(sized, levels).where("level = of").select("level", "value", "item").distinct())
+    keys = cut(_windows(sized, levels).where("level = of").select("level", "value", "item").distinct())
+    of_item = cut(sized.select("item", F.explode("hashes").alias("h")).distinct())
+    sizes = cut(of_item.groupBy("item").agg(F.count(F.lit(1)).alias("item_shingles")))
+    wanted = cut(_told_apart(keys, of_item, sizes, percent))
+    levels = sorted(r[0] for r in wanted.select("level").distinct().collect())
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     looked_up = _windows(texts.select("doc", shingles(F.col("text"), k).alias("hashes")), levels)
     candidates = cut(join_small(looked_up, wanted, ["level", "value"]).select("doc", "item").distinct())
+    # Shingles meet only in pairs that are candidates, so what many items share does not multiply.
     sets = join_small(texts, candidates.select("doc").distinct(), ["doc"])
     each = sets.select("doc", F.explode_outer(shingles(F.col("text"), k)).alias("h")).distinct()
-    of_item = cut(sized.select("item", F.explode("hashes").alias("h")).distinct())
-    sizes = of_item.groupBy("item").agg(F.count(F.lit(1)).alias("item_shingles"))
-    shared = join_small(each, of_item, ["h"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("shared"))
+    asked = cut(join_small(candidates, of_item.withColumnRenamed("h", "of_h"), ["item"]).select("doc", "item", F.col("of_h").alias("h")))
+    found = join_small(each, asked, ["doc", "h"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("shared"))
     return (
-        shared.join(candidates, (shared["doc"].eqNullSafe(candidates["doc"])) & (shared["item"].eqNullSafe(candidates["item"])), "left_semi")
-        .join(sizes.withColumnRenamed("item", "__item"), F.col("item").eqNullSafe(F.col("__item")))
+        found.join(sizes.withColumnRenamed("item", "__item"), F.col("item").eqNullSafe(F.col("__item")))
         .where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
         .select(F.col("doc").alias(key), F.col("item").alias(item_key), "shared", "item_shingles")
     )
 
 
+def _told_apart(keys: DataFrame, of_item: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``keys`` (level, value, item) without the windows that many items share, as those of one prompt template do.
+
+    Such a window would lead every text that quotes the template to all of the items.  Items that have one are looked up by single
+    shingles as well: of an item of n shingles a text may lack n - c, where c are enough, so it has one of any n - c + 1; the
+    item's rarest among all items are taken.  Nothing is lost, and a template alone leads to an item only where it is most of it.
+    """
+    crowd = keys.groupBy("level", "value").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > SHARED)
+    crowded = cut(join_small(keys, crowd.select("level", "value"), ["level", "value"], "left_semi"))
+    if crowded.isEmpty():
+        return keys
+    kept = join_small(keys, crowded.select("level", "value").distinct(), ["level", "value"], "left_anti")
+    whose = cut(crowded.select("item").distinct())
+    commonness = of_item.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
+    rows = join_small(of_item, whose, ["item"], "left_semi").join(commonness, "h")
+    place = F.row_number().over(Window.partitionBy("item").orderBy("items", "h"))  # an item's shingles
+    enough = F.ceil(F.col("item_shingles") * percent / 100)
+    ranked = join_small(rows.withColumn("place", place), sizes, ["item"])
+    rare = ranked.where(F.col("place") <= F.col("item_shingles") - enough + 1).select(F.lit(0).alias("level"), F.col("h").alias("value"), "item")
+    return kept.unionByName(rare).distinct()
+
+
 def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no item.
 

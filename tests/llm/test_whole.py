@@ -31,6 +31,16 @@ def test_licences(spark):
     assert licenses.scan(documents(spark)).count() == 12 and licenses.scan(documents(spark, [])).collect() == []
 
 
+def test_notices_are_found_across_line_ends(spark):
+    known = {name: s for name, s in licenses.SENTENCES.items() if not any(a in s for a in licenses.ANCHORS)}
+    for name, sentence in known.items():
+        for gap in (" ", "\n", "\n# "):
+            text = gap.join(licenses.plain(sentence).split(" "))
+            found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+            assert found["n_sentences"] == 1, (name, text)
+    assert known
+
+
 def brute_contained(docs, items, k=5, percent=80):
     sets, wanted = defaultdict(set), defaultdict(set)
     for d, t in docs:
@@ -56,6 +66,23 @@ def test_benchmark_items_equal_brute_force(spark):
     assert {1, 2, 3, 9, None} <= found
 
 
+@pytest.mark.parametrize(("template", "own"), [(15, 20), (40, 6), (40, 14), (9, 60)])
+def test_items_of_one_template_are_no_pairs_of_all(spark, monkeypatch, template, own):
+    """Documents that quote a template, some with the rest of one item: candidates grow with the documents, not with both."""
+    rng = random.Random(template)
+    head = [f"t{i}" for i in range(template)]
+    n = 120
+    items = [(i, " ".join(head + [f"w{rng.randrange(10**6)}" for _ in range(own)])) for i in range(n)]
+    docs = [(i, f"a b c {' '.join(head)} " + (items[i][1].split(" ", template)[template] if i % 2 else " ".join(f"v{rng.randrange(10**6)}" for _ in range(30)))) for i in range(n)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seen, cut = [], decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda x: seen.append(r := cut(x)) or r)
+    got = {tuple(r) for r in decontaminate.contaminated(df, it).collect()}
+    assert got == brute_contained(docs, items)
+    pairs = [x.count() for x in seen if x.columns == ["doc", "item"]]
+    assert len(pairs) == 1 and pairs[0] <= 4 * n
+
+
 def test_edited_items_are_found_wherever_the_edits_stand(spark):
     """Items of all sizes at 80 % and a little more: words replaced in the middle, evenly, or cut off at the ends."""
     r, docs, items = random.Random(4), [], []
@@ -214,3 +241,16 @@ def test_pipeline_stages_equal_brute_force(spark):
     whole = corpus_pipeline.run(spark, SMALL)
     assert spark.conf.get(corpus_pipeline.BATCH) == "10000"
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_unknown_tokenizers_are_refused(spark, tmp_path):
+    import json
+
+    path = tokenizer_path(spark)
+    packing.check_tokenizer(path)
+    told = json.load(open(path, encoding="utf-8"))
+    for change in ({"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}, {"post_processor": {"type": "ByteLevel"}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(told | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="packing needs"):
+            packing.check_tokenizer(str(other))
