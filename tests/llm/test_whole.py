@@ -80,7 +80,7 @@ def test_items_of_one_template_are_no_pairs_of_all(spark, monkeypatch, template,
     got = {tuple(r) for r in decontaminate.contaminated(df, it).collect()}
     assert got == brute_contained(docs, items)
     pairs = [x.count() for x in seen if x.columns == ["doc", "item"]]
-    assert len(pairs) == 1 and pairs[0] <= 4 * n
+    assert len(pairs) == 1 and pairs[0] <= max(len(got), 4 * n)
 
 
 def test_edited_items_are_found_wherever_the_edits_stand(spark):
