@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frugal
 from .text import ascii_lower
 
 #: A run with more rows or bytes than these is not held back until it ends.
@@ -115,7 +115,7 @@ def _runs(df: DataFrame, text: str, key: str, keep: str, partitions: int | None,
     out = [F.sha2(F.col("__norm").cast("binary"), 256).alias("__digest"), F.col("__id").alias("__of"), *(["__row"] if carry else [])]
     schema = ordered.select(*out).schema
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], _STATE])
-    return cut(ordered.select("__norm", "__id", *out).mapInArrow(_neighbours(bool(carry)), ddl))
+    return cut(ordered.select("__norm", "__id", *out).mapInArrow(frugal(_neighbours(bool(carry))), ddl))
 
 
 def mark(df: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "smallest", partitions: int | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, known_rows, without_rows
+from .common import cut, frugal, join_small, known_rows, without_rows
 from .components import components
 from .text import shingles
 
@@ -152,7 +152,7 @@ class _Linker:
 
     def sketches(self) -> DataFrame:
         sets = self.docs.select("id", "text_hash", F.array_distinct(shingles(F.col("text"), self.k)).alias("shingles"))
-        return cut(sets.mapInArrow(_sketch, "id long, text_hash long, n long, set_id binary, regs binary"))
+        return cut(sets.mapInArrow(frugal(_sketch), "id long, text_hash long, n long, set_id binary, regs binary"))
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(set_id, n, shingles) of classes that bring id and text_hash."""
@@ -164,7 +164,7 @@ class _Linker:
         """Of pairs (a, b, na, nb) those that are linked, as (a, b)."""
         regs = classes.select("set_id", "regs")
         with_regs = pairs.join(regs.withColumnRenamed("set_id", "a").withColumnRenamed("regs", "ra"), "a").join(regs.withColumnRenamed("set_id", "b").withColumnRenamed("regs", "rb"), "b")
-        maybe = cut(with_regs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_plausible(self.percent), "a binary, b binary, na long, nb long"))
+        maybe = cut(with_regs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(frugal(_plausible(self.percent)), "a binary, b binary, na long, nb long"))
         ends = maybe.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         sets = cut(self.sets(cut(classes.join(ends, "set_id", "left_semi").select("id", "text_hash", "set_id", "n"))))
         both = maybe.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")

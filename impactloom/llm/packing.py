@@ -14,9 +14,6 @@ only carried.  An empty table gives an empty result, extra columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import json
 import os
 import re
@@ -32,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
 SEQUENCE = 4096
 ID_BYTES = 4  # ids are little-endian unsigned 32-bit integers
@@ -52,10 +49,7 @@ def _worker_memory() -> dict:
 def forget() -> None:
     """Give the tokenizer's and the words' memory back to the system."""
     _worker_memory().clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
 
 
 #: What a tokenizer's file must say for words to be told apart at blanks and met in lower case.

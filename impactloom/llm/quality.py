@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
+from .common import cut, frugal, join_small
 
 STATS = 16
 #: Weights of the common covariance and of the identity in a class covariance.
@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     known = training_labels(labels, label, key)
     # Only labelled documents are needed for the model; all are scored on their way to the result.
     labelled = join_small(ids, known.select("id").distinct(), ["id"], "left_semi")
-    model = train(labelled.mapInArrow(_stats, "id long, stats array<double>"), known)
+    model = train(labelled.mapInArrow(frugal(_stats), "id long, stats array<double>"), known)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
             if len(x):
                 yield batch.filter(pa.array(model.scores(x) >= limit))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(frugal(good), docs.schema)
