@@ -160,6 +160,29 @@ def test_exact_duplicates_equal_brute_force(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("batch", ["1", "7", "10000"])
+def test_exact_runs_go_on_over_batches_and_partitions(spark, batch):
+    """One text with a third of all rows, texts with one long beginning, more partitions than texts, null identifiers."""
+    r, names = random.Random(5), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    texts = ["hot"] * 20 + ["x" * 100 + t for t in "abcA"] + ["x" * 100, "", None, *map(str, range(30))]
+    docs = [(None if i % 50 == 0 else i, r.choice(texts)) for i in range(900)]
+    df, groups = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), {}
+    for d, t in docs:
+        groups.setdefault((t or "").translate(FOLD), []).append(d)
+    best = {t: min((d for d in g if d is not None), default=None) for t, g in groups.items()}
+    before = spark.conf.get(names)
+    spark.conf.set(names, batch)
+    try:
+        for parts in (1, 3, 60):
+            rows = exact_dedup.mark(df, partitions=parts).collect()
+            assert sorted((str(x["doc_id"]), x["keep_id"], x["group_size"]) for x in rows) == sorted((str(d), best[t], len(g)) for t, g in groups.items() for d in g)
+            assert sorted(x["doc_id"] for x in rows if x["kept"]) == sorted(best.values())
+            once = exact_dedup.distinct_rows(df, partitions=parts).collect()
+            assert sorted(x["doc_id"] for x in once) == sorted(best.values())
+    finally:
+        spark.conf.set(names, before)
+
+
 def test_exact_duplicates_of_messy_rows(spark):
     rows = exact_dedup.mark(documents(spark), keep="smallest").collect()
     assert len(rows) == 12
