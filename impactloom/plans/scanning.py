@@ -92,38 +92,54 @@ def src_arch(spark, sf):
     return s.architectures(files(spark, sf))
 
 
-#: Per language, source texts with what a reader finds in them: routes (verb, path, handler), and how many are out of
-#: a scanner's reach.  A page gets the text of its remainder by three; @N@ is its number.  The answers are stated, not derived.
+#: Per language, source texts with what a reader finds in them: routes (verb, path, handler), and what is no route, by code and
+#: number.  A page gets the text of its remainder by three; @N@ is its number.  The answers are stated, not derived.
 _TEXT = {
     "python": [
-        ('@router.get("/items/@N@")\nasync def get_@N@(x):\n  pass\n@app.post(f"/x")\ndef other():\n  pass', [("GET", "/items/@N@", "get_@N@")], 1),
-        ("@app.post('/orders/@N@', status_code=201)\nasync def create(order):\n  pass\n\n@app.delete(\"/orders/{id}\")\ndef drop(id):\n  pass\n", [("POST", "/orders/@N@", "create"), ("DELETE", "/orders/{id}", "drop")], 0),
-        ("def helper(router):\n  return router.get('/x')\n", [], 0),
+        ('@router.get("/items/@N@")\nasync def get_@N@(x):\n  pass\n@app.post(f"/x")\ndef other():\n  pass', [("GET", "/items/@N@", "get_@N@")], {"PY_DYNAMIC_ROUTE_UNSUPPORTED": 1}),
+        ("@app.post('/orders/@N@', status_code=201)\nasync def create(order):\n  pass\n\n@app.delete(\"/orders/{id}\")\ndef drop(id):\n  pass\n", [("POST", "/orders/@N@", "create"), ("DELETE", "/orders/{id}", "drop")], {}),
+        ("r = APIRouter(prefix='/v@N@')\n@r.get('/a')\ndef a(u=Depends(who)): ...\n@app.get(\"/b\" + x)\ndef b(): ...\n@app.head(\n  '/c@N@',\n)\ndef c(): ...\n@app.put(PATH)\ndef d(): ...\ndef helper(router):\n  return router.get('/x')\n", [("HEAD", "/c@N@", "c")], {"PY_ROUTER_PREFIX_UNSUPPORTED": 2, "PY_DEPENDENCY_INJECTION_BOUNDARY": 1, "PY_DYNAMIC_ROUTE_UNSUPPORTED": 2}),
     ],
     "go": [
-        ('r.GET("/items/@N@", handler@N@)\nhttp.HandleFunc("/h", serve)\nr.POST(dynamic, x)', [("GET", "/items/@N@", "handler@N@"), ("ANY", "/h", "serve")], 1),
-        ('e.DELETE( "/orders/:id", api.Remove )\nmux.HandleFunc("/health/@N@", health)', [("DELETE", "/orders/:id", "api.Remove"), ("ANY", "/health/@N@", "health")], 0),
-        ('func main() { fmt.Println("GET /x") }', [], 0),
+        ('r.GET("/items/@N@", handler@N@)\nhttp.HandleFunc("/h", serve)\nr.POST(dynamic, x)', [("GET", "/items/@N@", "handler@N@"), ("UNKNOWN", "/h", "serve")], {"GO_HTTP_METHOD_NOT_EXTRACTED": 1, "GO_ROUTE_CONSTANT_RESOLUTION_UNSUPPORTED": 1}),
+        ('e.DELETE( "/orders/:id", api.Remove )\nmux.HandleFunc("/health/@N@", api.health)', [("UNKNOWN", "/health/@N@", "apihealth")], {"GO_DYNAMIC_ROUTE_UNSUPPORTED": 1, "GO_HTTP_METHOD_NOT_EXTRACTED": 1}),
+        ('v := r.Group("/v1")\nv.Use(log)\nv.HEAD(`/a@N@`, ping)\nv.PUT("/b", auth, put)\nv.PATCH("/c", func(c *gin.Context) {})\nfunc main() { fmt.Println("GET /x") }', [("HEAD", "/a@N@", "ping")], {"GO_ROUTE_GROUP_UNSUPPORTED": 1, "GO_MIDDLEWARE_CHAIN_UNSUPPORTED": 2, "GO_INLINE_HANDLER_UNSTABLE_IDENTITY_UNSUPPORTED": 1}),
     ],
     "java": [
-        ('@GetMapping("/items/@N@")\n  public Item find@N@(Long id) {}\n@RequestMapping(value = X)', [("GET", "/items/@N@", "find@N@")], 1),
-        ('@PostMapping("/orders")\n  public ResponseEntity<Order> add@N@(Order o) {}\n@DeleteMapping("/orders/{id}")\n  public void drop(Long id) {}', [("POST", "/orders", "add@N@"), ("DELETE", "/orders/{id}", "drop")], 0),
-        ("@Service\npublic class Orders { public void get(String path) {} }", [], 0),
+        ('@GetMapping("/items/@N@")\n  public Item find@N@(Long id) {}\n@RequestMapping(value = X)\n public Item x() {}', [("GET", "/items/@N@", "find@N@")], {"SPRING_HTTP_METHOD_UNKNOWN": 1}),
+        ('@PostMapping("/orders")\n  public ResponseEntity<Order> add@N@(Order o) {}\n@DeleteMapping("/orders/{id}")\n  public void drop(Long id) {}', [("POST", "/orders", "add@N@"), ("DELETE", "/orders/{id}", "drop")], {}),
+        (
+            '@RestController\n@RequestMapping("/api/@N@")\npublic class Orders {\n  @GetMapping(path = "/a")\n  @Cached\n  public ResponseEntity<Map<String, List<Item>>> a@N@(@PathVariable("x") String x) {}\n  @RequestMapping(value = "b", method = RequestMethod.PUT)\n  public void b() {}\n  @PatchMapping\n  public void c() {}\n  @GetMapping("/d" + X)\n  public void d() {}\n  @PostMapping({"/e", "/f"})\n  public void e() {}\n  @ApiMapping("/g")\n  public void g() {}\n}',
+            [("GET", "/api/@N@/a", "a@N@"), ("PUT", "/api/@N@/b", "b"), ("PATCH", "/api/@N@", "c")],
+            {"SPRING_DYNAMIC_ROUTE_UNSUPPORTED": 1, "SPRING_MULTI_ROUTE_MAPPING_UNSUPPORTED": 1, "SPRING_COMPOSED_MAPPING_UNSUPPORTED": 1},
+        ),
     ],
     "csharp": [
-        ('[HttpPost("items/@N@")]\npublic async Task Add@N@(int x) {}\napp.MapGet("/m", Handle);app.MapGroup("/g")', [("POST", "items/@N@", "Add@N@"), ("GET", "/m", "Handle")], 1),
-        ('[HttpDelete("orders/{id}")]\npublic IActionResult Drop(int id) {}\napp.MapPut("/o/@N@", Put@N@);', [("DELETE", "orders/{id}", "Drop"), ("PUT", "/o/@N@", "Put@N@")], 0),
-        ("class Orders { void Get(string path) {} }", [], 0),
+        ('[HttpPost("items/@N@")]\npublic async Task Add@N@(int x) {}\napp.MapGet("/m", Handle);app.MapGroup("/g")', [("POST", "items/@N@", "Add@N@"), ("GET", "/m", "Handle")], {"CS_MINIMAL_API_GROUP_UNSUPPORTED": 1}),
+        ('[HttpDelete("orders/{id}")]\npublic IActionResult Drop(int id) {}\napp.MapPut("/o/@N@", Put@N@);', [("DELETE", "orders/{id}", "Drop"), ("PUT", "/o/@N@", "Put@N@")], {}),
+        (
+            '[Route("api/[controller]")]\nclass Orders {\n[HttpGet]\n[Authorize(Roles = "x")]\npublic async Task<ActionResult<List<Item>>> All@N@([FromServices] Db db) {}\n[HttpPatch(Routes.One)]\npublic void One() {}\n}\napp.MapPost("/n@N@", (Item i) => 1);\napp.MapDelete(path, Gone);',
+            [("GET", "/", "All@N@"), ("POST", "/n@N@", "anonymous")],
+            {"CS_ROUTE_TOKEN_UNSUPPORTED": 1, "CS_DI_BOUNDARY": 1, "CS_DYNAMIC_ROUTE_UNSUPPORTED": 2},
+        ),
     ],
     "php": [
-        ("Route::get('/items/@N@', [ItemController::class, 'show@N@']);Route::resource('x')", [("GET", "/items/@N@", "show@N@")], 1),
-        ("Route::post( '/orders', [OrderController::class, 'store']);\nRoute::delete('/orders/@N@', [OrderController::class, 'destroy']);", [("POST", "/orders", "store"), ("DELETE", "/orders/@N@", "destroy")], 0),
-        ("function get($path) { return route($path); }", [], 0),
+        ("Route::get('/items/@N@', [ItemController::class, 'show@N@']);Route::resource('x')", [("GET", "/items/@N@", "ItemController@show@N@")], {"PHP_RESOURCE_ROUTE_UNSUPPORTED": 1}),
+        ("Route::post( '/orders', [OrderController::class, 'store']);\nRoute::delete('/orders/@N@', [OrderController::class, 'destroy']);", [("POST", "/orders", "OrderController@store"), ("DELETE", "/orders/@N@", "OrderController@destroy")], {}),
+        (
+            "Route::get(\"/a@N@\", 'App\\Http\\ItemController@index');\nRoute::put('/b', function () { return 1; });\nRoute::patch('/c', Invoked::class);\nRoute::get('/d' . $x, [X::class, 'y']);\nRoute::post($path, [X::class, 'y']);\nRoute::group(['prefix' => 'z'], fn() => 1)->middleware('auth');\n$app->get('/q', 'r');\nfunction get($path) { return route($path); }",
+            [("GET", "/a@N@", "ItemController@index"), ("PUT", "/b", "closure@closure")],
+            {"PHP_CONTROLLER_RESOLUTION_BOUNDARY": 2, "PHP_DYNAMIC_ROUTE_UNSUPPORTED": 2, "PHP_ROUTE_GROUP_UNSUPPORTED": 1, "PHP_MIDDLEWARE_BOUNDARY": 1, "PHP_UNKNOWN_ROUTER_PATTERN": 1},
+        ),
     ],
     "ruby": [
-        ("get '/items/@N@', to: 'items#show@N@'\nresources :x", [("GET", "/items/@N@", "items#show@N@")], 1),
-        ("  post '/orders', to: 'orders#create'\n  delete '/orders/@N@', to: 'orders#drop'\n", [("POST", "/orders", "orders#create"), ("DELETE", "/orders/@N@", "orders#drop")], 0),
-        ("puts 'get'", [], 0),
+        ("get '/items/@N@', to: 'items#show@N@'\nresources :x", [("GET", "/items/@N@", "items#show@N@")], {"RB_RESOURCE_ROUTE_UNSUPPORTED": 1}),
+        ("  post '/orders', to: 'orders#create'\n  delete '/orders/@N@', to: 'orders#drop'\n", [("POST", "/orders", "orders#create"), ("DELETE", "/orders/@N@", "orders#drop")], {}),
+        (
+            "namespace :admin do\n  get \"/a@N@\", to: \"c#d\"\n  put '/b' => 'b#e'\nend\nscope '/s' do\nend\nmount Sidekiq::Web => '/jobs'\npatch \"/x/#{y}\", to: 'x#y'\ndelete path, to: 'x#z'\nputs 'get'",
+            [("GET", "/a@N@", "c#d"), ("PUT", "/b", "b#e")],
+            {"RB_NAMESPACE_ROUTE_UNSUPPORTED": 1, "RB_CONTROLLER_RESOLUTION_BOUNDARY": 1, "RB_SCOPE_ROUTE_UNSUPPORTED": 1, "RB_MOUNTED_ENGINE_UNSUPPORTED": 1, "RB_DYNAMIC_ROUTE_UNSUPPORTED": 2},
+        ),
     ],
     "typescript": [
         ("@Controller('items')\nexport class Items@N@ {\n@Get(':id')\n  async find@N@(id) {}\n}\n@All()", [("GET", ":id", "find@N@")], 1),
@@ -178,13 +194,13 @@ def _routes(language: str) -> str:
 
 
 def _add(name: str, language: str) -> None:
-    gaps = [(i, n) for i, (_, _, n) in enumerate(_TEXT[language]) if n]
-    missing = f"SELECT path, 'UNSUPPORTED', n::VARCHAR, NULL FROM s JOIN {_values(gaps, 'm, n')} USING (m)"
+    gaps = [(i, code, n) for i, (_, _, codes) in enumerate(_TEXT[language]) for code, n in codes.items()]
+    missing = f"SELECT path, code, n::VARCHAR, NULL FROM s JOIN {_values(gaps, 'm, code, n')} USING (m)"
 
     @query(name, oracle(f"{_routes(language)} UNION ALL {missing}", ("s", _PAGES)))
     def run(spark, sf):
         f = source_files(spark, sf, language)
-        missed = x.unsupported(f, language).select("path", F.lit("UNSUPPORTED").alias("verb"), F.col("n").cast("string").alias("route"), F.lit(None).cast("string").alias("handler"))
+        missed = x.unsupported(f, language).select("path", F.col("code").alias("verb"), F.col("n").cast("string").alias("route"), F.lit(None).cast("string").alias("handler"))
         return x.routes(f, language).unionByName(missed)
 
 
