@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, and a bootstrapped contextual extraction of what they miss.
 
 1. Base: every whole text is searched for e-mail addresses, IP addresses, card and phone numbers.
-2. Seeds are these spans.  A lexical pattern is what stands around a span: the two words before it, or
-   the word before and the word after.  Candidates are the other words with a digit or an @.
+2. Seeds are these spans, and of a fifth kind, ``secret``, values of 16 or more characters with letters and digits that a
+   text assigns to a name of credentials (``NAMES``).  A pattern is what stands around a span: the two words before it, the word
+   before and the word after, or the word before and the shape of the span (``shape``).  Candidates are the other words with a
+   digit or an @; of a word such as ``name="value"`` the value.
 3. Patterns and instances (the strings) form a graph.  For a kind, a pattern's confidence is the mean
    confidence of all distinct instances it surrounds, one unknown one added; it counts only with
    ``SUPPORT`` known instances and from ``SURE`` on.  An instance's confidence is the noisy-or of
    its patterns.  Spark scores the two sides in turn, ``ROUNDS`` times.
-4. Candidates with a confidence of ``ACCEPT`` or more are added with the best kind; base spans stay.
+4. Candidates with a confidence of ``ACCEPT`` or more are added with the best kind, secrets of step 2 too, wherever they stand
+   again; base spans stay.
 
 Null texts are empty.  Repeated rows give a row each; an empty table gives an empty result; extra
 columns are ignored.  Offsets are code points, ends are exclusive.  Every search is linear in the
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds of the base; the last one is the method's own.
+BASE = 4
 SUPPORT, SURE, ACCEPT, ROUNDS = 3, 0.7, 0.85, 3
 #: Longer instances and context words are known by their hash.
 LONGEST = 64
@@ -39,6 +44,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+#: Names of credentials, and what may stand between one and its value.
+NAMES = "password|passwd|pwd|secret|token|credential|(?:api|access|private|auth|secret)[_ -]?key"
+_NAMED = re.compile(rf"(?:{NAMES})s?[\"'`]?\s*(?:=>|:=|=|:)\s*[\"'`]?\Z", re.IGNORECASE | re.ASCII)
+_ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*+[\"'`]?(?:=>|:=|=|:(?!//))[\"'`]?")
+_VALUE = re.compile(r"(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])[A-Za-z0-9+/_.~=-]{16,}")
+#: A name of credentials stands in so many characters before its value.
+NEAR = 48
+_ALNUM = re.compile(r"[^\W_]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -89,10 +102,22 @@ def _nearest(text: str, at: int, step: int, wanted: int) -> list[str]:
         reach *= 4
 
 
+def shape(instance: str) -> str:
+    """``num`` or ``hex`` and the length, or what stands between the letters and digits."""
+    if not re.fullmatch("[0-9A-Fa-f]+", instance):
+        return _known(_ALNUM.sub("w", instance))
+    return f"{'num' if re.fullmatch('[0-9]+', instance) else 'hex'}{len(instance)}"
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span."""
+    """The patterns around a span: two of words, one of a word and the span's shape."""
     one, two = (w or "^" for w in _nearest(text, start, -1, 2))
-    return [f"{two} {one} _", f"{one} _ {_nearest(text, end, 1, 1)[0] or '$'}"]
+    return [f"{two} {one} _", f"{one} _ {_nearest(text, end, 1, 1)[0] or '$'}", f"{one} <{shape(text[start:end])}>"]
+
+
+def is_secret(text: str, start: int, end: int) -> bool:
+    """Whether a candidate is a value that a name of credentials is given."""
+    return end - start >= 16 and _NAMED.search(text[max(0, start - NEAR) : start]) is not None and _VALUE.fullmatch(text, start, end) is not None
 
 
 def _words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -116,6 +141,9 @@ def _words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             end -= 1
         while start < end and text[start] in "([{\"'*&$%#|":
             start += 1
+        named = _ASSIGNED.match(text, start, end)
+        if named and end - named.end() >= 4:
+            start = named.end()
         if end - start >= 4:
             yield start, end
 
@@ -143,8 +171,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if _HINT.search(text):
                 spans = base_spans(text)
                 found = [(k, s, e) for s, k, e in spans]
-                found += [(None, s, e) for s, e in _words(text, spans)]
-            counts = [sum(k == c for _, k, _ in spans) for c in range(len(KINDS))]
+                found += [(BASE if is_secret(text, s, e) else None, s, e) for s, e in _words(text, spans)]
+            counts = [sum(k == c for _, k, _ in spans) for c in range(BASE)]
             told = [{"kind": k, "start": s, "end": e, "instance": _known(text[s:e]), "patterns": patterns(text, s, e)} for k, s, e in found]
             rows.append((f"{part}:{n}", counts, _told(spans), told))
             n += 1
@@ -180,13 +208,14 @@ def _bootstrap(occurrences: DataFrame) -> DataFrame:
         sure = -F.sum(F.log1p(-F.least("belief", F.lit(0.999))))
         new = cut(candidates.join(scored, "pattern").groupBy("instance", "kind").agg(sure.alias("sure")).withColumn("confidence", 1 - F.exp(-F.col("sure"))))
         known = seeds.unionByName(new.select("instance", "kind", "confidence"))
-    return new.where(F.col("confidence") >= ACCEPT)
+    again = seeds.where(F.col("kind") == BASE).withColumn("sure", F.lit(float("inf")))
+    return new.where(F.col("confidence") >= ACCEPT).unionByName(again)
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row: ``key``, n_email, n_ip, n_card, n_phone (of the base), base, spans.
 
-    ``base`` and ``spans`` list kind:start:end by start, then kind; spans has the discovered ones too.
+    ``base`` and ``spans`` list kind:start:end by start, then kind; spans has secrets and the discovered ones too.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     seen = cut(rows.mapInArrow(_extract, _ROW))
@@ -195,9 +224,9 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     best = accepted.groupBy("instance").agg(F.max(F.struct("confidence", F.round("sure", 9).alias("s"), (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("by"))
     more = each.where("kind is null").join(best, "instance").groupBy("row").agg(F.collect_list(F.struct("start", F.col("by").alias("kind"), "end")).alias("more"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    base = F.transform(F.filter("found", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    every = F.sort_array(F.concat(base, F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
+    seeds = F.transform(F.filter("found", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    every = F.sort_array(F.concat(seeds, F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     told = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     return seen.join(more, "row", "left").select(
-        F.col("id").alias(key), *[F.get("n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(KINDS)], "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(told).alias("spans")
+        F.col("id").alias(key), *[F.get("n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])], "base", told.alias("spans")
     )

@@ -38,8 +38,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    every = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", every)
+    each = F.filter(F.split("spans", ","), lambda x: x != "")
+    secrets = F.size(F.filter(each, lambda x: F.startswith(x, F.lit("secret:")))).cast("long").alias("n_secret")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", F.size(each).cast("long").alias("n_spans"), secrets)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

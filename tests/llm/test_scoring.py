@@ -258,8 +258,36 @@ def test_bootstrapping_keeps_what_is_sure_and_what_is_long(spark):
         assert rows[i] == f"email:{start}:{start + len(long if i == 6000 else sure)}"
 
 
+def brute_secret(text, s, e):
+    value, before = text[s:e], text[:s].lower().rstrip("\"'`")
+    if len(value) < 16 or not re.fullmatch("[A-Za-z0-9+/_.~=-]+", value) or not re.search("[A-Za-z]", value) or not re.search("[0-9]", value):
+        return False
+    if len(text[:s]) - len(before) > 1:
+        return False
+    before = before.rstrip()
+    sign = next((x for x in ("=>", ":=", "=", ":") if before.endswith(x)), None)
+    if sign is None:
+        return False
+    name = before[: -len(sign)].rstrip()
+    name = name[:-1] if name[-1:] in ("\"", "'", "`") else name
+    name = name[:-1] if name.endswith("s") else name
+    plain = ["password", "passwd", "pwd", "secret", "token", "credential"]
+    return any(name.endswith(n) for n in plain + [k + c + "key" for k in ("api", "access", "private", "auth", "secret") for c in ("", " ", "_", "-")])
+
+
+def brute_shape(name):
+    if all(c in "0123456789" for c in name):
+        return f"num{len(name)}"
+    if all(c in "0123456789abcdefABCDEF" for c in name):
+        return f"hex{len(name)}"
+    out = ""
+    for c in name:
+        out += "w" * (not out.endswith("w")) if c.isalnum() else c
+    return out
+
+
 def brute_spans(docs):
-    """Base and discovered spans with dictionaries; candidates and contexts by splitting at blanks."""
+    """Base, secret and discovered spans with dictionaries; candidates and contexts by splitting at blanks."""
     found = []
     for d, text in docs:
         base = brute_base(text)
@@ -271,11 +299,15 @@ def brute_spans(docs):
             e -= len(m[0]) - len(m[0].rstrip(".,;:!?)]}\"'*&$%#|"))
             while s < e and text[s] in "([{\"'*&$%#|":
                 s += 1
+            sign = re.search("=>|:=|=|:", text[s:e])
+            if sign and re.fullmatch("[A-Za-z_][A-Za-z0-9_.-]*[\"'`]?", text[s : s + sign.start()]) and not text[s + sign.start() : e].startswith("://"):
+                value = s + sign.end() + (text[s + sign.end() : s + sign.end() + 1] in tuple("\"'`"))
+                s = value if e - value >= 4 else s
             if e - s >= 4:
-                spans.append((s, e, None))
+                spans.append((s, e, 4 if brute_secret(text, s, e) else None))
         for s, e, k in spans:
             before, after = ["^", "^", *text[:s].lower().split()], [*text[e:].lower().split(), "$"]
-            found.append((d, s, e, k, text[s:e].lower(), {f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {after[0]}"}))
+            found.append((d, s, e, k, text[s:e].lower(), {f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {after[0]}", f"{before[-1]} <{brute_shape(text[s:e]).lower()}>"}))
     kinds, around = {}, {}
     for _, _, _, k, name, contexts in found:
         for c in contexts:
@@ -291,7 +323,7 @@ def brute_spans(docs):
     for _ in range(pii.ROUNDS):
         belief = {}
         for c, names in around.items():
-            for k in range(4):
+            for k in range(5):
                 held = [known[n, k] for n in names if (n, k) in known]
                 if len(held) >= pii.SUPPORT and sum(held) / (len(names) + 1) >= pii.SURE:
                     belief[c, k] = sum(held) / (len(names) + 1)
@@ -304,7 +336,8 @@ def brute_spans(docs):
     best = {}
     for (n, k), v in sure.items():
         if 1 - math.exp(-v) >= pii.ACCEPT:
-            best[n] = max(best.get(n, (-1, 0, 0)), (1 - math.exp(-v), round(v, 9), -k))
+            best[n] = max(best.get(n, (-1, 0, -9)), (1 - math.exp(-v), round(v, 9), -k))
+    best |= {n: (1, math.inf, -4) for n, ks in kinds.items() if 4 in ks}
     out = {}
     for d, s, e, k, name, _ in found:
         if k is not None or name in best:
@@ -314,8 +347,8 @@ def brute_spans(docs):
 
 def test_bootstrapping_equals_brute_force(spark):
     r = random.Random(17)
-    frames = ["mail me at {} today", "call {} now", "server {} is down", "my card {} please", "reach him via {} or not", "x{} y"]
-    values = [lambda i: f"u{i}@h{i % 3}.org", lambda i: f"user{i}(at)host", lambda i: f"10.0.{i}.7", lambda i: f"host-{i}", lambda i: f"+49 30 {1000000 + i}", lambda i: f"0049-30-{i}", lambda i: f"id{i:04d}", lambda i: "z" * 70 + str(i), lambda i: f"({i}@)."]
+    frames = ["mail me at {} today", "call {} now", "server {} is down", "my card {} please", "reach him via {} or not", "x{} y", 'the token = "{}" here', "key={} of"]
+    values = [lambda i: f"u{i}@h{i % 3}.org", lambda i: f"user{i}(at)host", lambda i: f"10.0.{i}.7", lambda i: f"host-{i}", lambda i: f"+49 30 {1000000 + i}", lambda i: f"0049-30-{i}", lambda i: f"id{i:04d}", lambda i: "z" * 70 + str(i), lambda i: f"({i}@).", lambda i: f"{i:08x}" * 3 + "a1", lambda i: f"Ab{i:014d}"]
     discovered = 0
     for _ in range(3):
         docs = []
@@ -333,9 +366,36 @@ def test_bootstrapping_equals_brute_force(spark):
 def test_contexts_are_whole_words():
     text = "a" * 500 + " " + "b" * 300 + " me@x.org " + "c" * 200
     start = text.index("me@")
-    first, second = pii.patterns(text, start, start + 8)
+    first, second, third = pii.patterns(text, start, start + 8)
     assert first == f"{pii._known('a' * 500)} {pii._known('b' * 300)} _" and second == f"{pii._known('b' * 300)} _ {pii._known('c' * 200)}"
-    assert pii.patterns("me@x.org", 0, 8) == ["^ ^ _", "^ _ $"]
+    assert third == f"{pii._known('b' * 300)} <w@w.w>"
+    assert pii.patterns("me@x.org", 0, 8) == ["^ ^ _", "^ _ $", "^ <w@w.w>"]
+
+
+def test_secrets_under_unknown_names(spark):
+    """Values of known names induce patterns that find values of names nobody listed; plain text and plain hex digits stay alone.
+
+    A pattern counts from SURE on: with 40 unknown names beside 60 known ones it must not.
+    """
+    r = random.Random(4)
+    key = lambda: f"{r.getrandbits(160):040x}"
+    lead = lambda: " ".join(r.choice(["the", "house", "stands", "by", "old", "river"]) for _ in range(r.randrange(3, 20)))
+    known = [(i, f'{lead()} token = "{key()}" {lead()}') for i in range(60)]
+    plain = [(200 + i, f"{lead()} commit {key()} of 1874, 4 bridges, ratio = 0.75 and {lead()}") for i in range(60)]
+    place = lambda text: f"secret:{text.index(chr(34)) + 1}:{text.index(chr(34)) + 41}"
+    for n, least, most in ((20, 0.9, 1), (40, 0, 0)):
+        hidden = [(100 + i, f'{lead()} {r.choice(["sid", "schluessel", "clef", "session"])} = "{key()}" {lead()}') for i in range(n)]
+        rows = {x["doc_id"]: x["spans"] for x in pii.find(spark.createDataFrame(known + hidden + plain, "doc_id long, text string")).collect()}
+        assert all(place(text) in rows[i].split(",") for i, text in known)
+        assert least <= sum(place(text) in rows[i].split(",") for i, text in hidden) / n <= most
+        assert not [rows[i] for i, _ in plain if "secret" in rows[i]]
+
+
+def test_a_secret_is_known_wherever_it_stands_again(spark):
+    value = "aZ9" * 8
+    docs = [(1, f"api_key: {value}"), (2, f"somebody wrote {value}, no more"), (3, f"password={'x' * 30}"), (4, "token: short1")]
+    rows = {x["doc_id"]: x["spans"] for x in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {1: "secret:9:33", 2: "secret:15:39", 3: "", 4: ""}
 
 
 def test_personal_data_of_messy_rows(spark):
