@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import extract as x
-from ..sources import spans, specs
+from ..sources import runs, spans, specs
 from ..sources import scan as s
 from .joins import over
 from .views import oracle, view
@@ -264,6 +264,57 @@ def src_runtime(spark, sf):
     return e.groupBy(outcome.alias("outcome"), (F.col("x.k") % 7).alias("line")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
 
 
+#: A report for each document: its text gives path and commit, its number what the cases hold.  DuckDB reads only ``_RUNS``.
+_RUNS = """SELECT doc_id, concat('run.', doc_id) AS run_id, concat('src/', md5(coalesce(text, '')), '.spec.ts') AS path, concat(md5(coalesce(text, '')), '0a1b2c3d') AS commit_sha,
+ CASE WHEN doc_id % 10 = 0 THEN concat('0a1b2c3d', md5(coalesce(text, ''))) ELSE concat(md5(coalesce(text, '')), '0a1b2c3d') END AS static_commit, coalesce(n_chars, 0) AS took FROM documents"""
+_CASE = """concat('{"status":', CASE doc_id % 6 WHEN 0 THEN '"passed"' WHEN 1 THEN '"failed"' WHEN 2 THEN '"pending"' WHEN 3 THEN '"todo"' WHEN 4 THEN '"odd"' ELSE '7' END, ',"location":{"line":', doc_id % 50 + 1, ',"column":5},"startAt":', 1000 + doc_id, ',"duration":', took, '}')"""
+_REPORT = f"""CASE WHEN doc_id % 11 = 0 THEN '{{"testResults":[' WHEN doc_id % 13 = 0 THEN '{{"testResults":[]}}' ELSE
+ concat('{{"testResults":[{{"testFilePath":"/w/', path, '","testResults":[', {_CASE}, ',{{"status":"passed","startAt":5,"duration":-1}},',
+ CASE doc_id % 4 WHEN 0 THEN '{{"wouldRun":true}}' WHEN 1 THEN '"text"' ELSE '{{"status":"passed","location":{{"line":999,"column":1}},"startAt":1,"duration":2}}' END, ']}},',
+ CASE doc_id % 3 WHEN 0 THEN '{{"testFilePath":"/elsewhere/x.ts","testResults":[{{}}]}}' WHEN 1 THEN '{{"testFilePath":"/w/b.ts","testExecError":{{"m":1}}}}' ELSE '17' END, ']}}') END"""
+_STATIC = "SELECT concat('case', doc_id) AS stable_id, path, doc_id % 50 + 1 AS line FROM r WHERE doc_id % 7 <> 0 UNION ALL SELECT concat('twin', doc_id), path, doc_id % 50 + 1 FROM r WHERE doc_id % 5 = 0"
+_OBSERVED = """SELECT run_id, path, line, col, outcome, started, duration, CASE WHEN line IS NULL THEN 'SOURCE_LOCATION_MISSING' WHEN NOT same THEN 'STATIC_SNAPSHOT_MISMATCH' WHEN n > 1 THEN 'STATIC_CASE_AMBIGUOUS' WHEN n IS NULL THEN 'STATIC_CASE_UNMATCHED' END AS why, CASE WHEN line IS NOT NULL AND same AND n = 1 THEN least_id END AS test_case FROM
+(SELECT run_id, path, doc_id % 50 + 1 AS line, 5 AS col, ['PASSED', 'FAILED', 'PENDING', 'TODO', 'UNKNOWN', 'UNKNOWN'][doc_id % 6 + 1] AS outcome, 1000 + doc_id AS started, took AS duration, doc_id % 10 <> 0 AS same FROM g
+ UNION ALL SELECT run_id, path, NULL, NULL, 'PASSED', 5, NULL, doc_id % 10 <> 0 FROM g UNION ALL SELECT run_id, path, 999, 1, 'PASSED', 1, 2, doc_id % 10 <> 0 FROM g WHERE doc_id % 4 > 1) o LEFT JOIN (SELECT path, line, count(*) AS n, min(stable_id) AS least_id FROM k GROUP BY path, line) i USING (path, line)"""
+_CORRELATED = "CASE why WHEN 'STATIC_SNAPSHOT_MISMATCH' THEN 'SNAPSHOT_MISMATCH' WHEN 'STATIC_CASE_AMBIGUOUS' THEN 'AMBIGUOUS' ELSE CASE WHEN why IS NULL THEN 'MATCHED' ELSE 'UNMATCHED' END END"
+_SEEDED = f"""SELECT *, {_CORRELATED} AS correlation, sha256(concat_ws('|', run_id, path, coalesce(line::VARCHAR, '-'), coalesce(col::VARCHAR, '-'), coalesce(concat(started, '.000'), '-'), CASE WHEN duration IS NULL THEN '-' ELSE concat(duration, '.000') END, outcome, coalesce(test_case, '-'), {_CORRELATED})) AS seed FROM o"""
+_TOLD = """SELECT run_id, code, count(*) AS n FROM (SELECT run_id, why AS code FROM o WHERE why IS NOT NULL UNION ALL SELECT run_id, 'UNSUPPORTED_RESULT_STATUS' FROM o WHERE outcome = 'UNKNOWN' UNION ALL SELECT run_id, 'INCOMPLETE_CASE_TIMING' FROM o WHERE duration IS NULL
+ UNION ALL SELECT run_id, CASE doc_id % 4 WHEN 0 THEN 'COLLECTION_ONLY_RESULT' ELSE 'MALFORMED_CASE_RESULT' END FROM g WHERE doc_id % 4 < 2 UNION ALL SELECT run_id, CASE doc_id % 3 WHEN 0 THEN 'SOURCE_PATH_OUTSIDE_REPOSITORY' ELSE 'MALFORMED_SUITE_RESULT' END FROM g
+ UNION ALL SELECT run_id, 'SUITE_RUNTIME_ERROR' FROM g WHERE doc_id % 3 = 1 UNION ALL SELECT run_id, CASE WHEN doc_id % 11 = 0 THEN 'REPORT_UNREADABLE' ELSE 'NO_TEST_CASE_RESULTS' END FROM r WHERE doc_id % 11 = 0 OR doc_id % 13 = 0) d GROUP BY run_id, code"""
+_READ = [("r", _RUNS), ("g", "SELECT * FROM r WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0"), ("k", _STATIC), ("o", _OBSERVED), ("z", _SEEDED), ("d", _TOLD)]
+
+
+def _imported(spark, sf):
+    r = over(spark, sf, _RUNS, "documents")
+    reports = r.select("run_id", F.expr(_REPORT).alias("report"), F.lit("/w").alias("root"), "commit_sha", "static_commit")
+    return reports, *runs.imported(reports, spark.sql(_STATIC.replace("FROM r", "FROM {r}"), r=r))
+
+
+@query("src_runtime_cases", oracle("SELECT run_id, path, line::BIGINT AS line, col::BIGINT AS place, outcome, correlation, test_case, started::DOUBLE AS started, (started + duration)::DOUBLE AS ended, seed FROM z", *_READ))
+def src_runtime_cases(spark, sf):
+    """Observations of reports with whole, odd and broken parts."""
+    return _imported(spark, sf)[1].select("run_id", "path", "line", F.col("column").alias("place"), "outcome", "correlation", "test_case", "started", "ended", "seed")
+
+
+@query("src_runtime_codes", oracle("SELECT run_id, code, n FROM d", *_READ))
+def src_runtime_codes(spark, sf):
+    """How often each thing kept a part of a report from being read or told."""
+    return _imported(spark, sf)[2]
+
+
+@query(
+    "src_runtime_trace",
+    oracle(
+        """SELECT run_id, CASE WHEN c IS NULL THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, coalesce(n, 0) AS observations, coalesce(c, '') AS diagnostics, sha256(concat(coalesce(s, ''), ';', coalesce(c, ''))) AS digest FROM r
+ LEFT JOIN (SELECT run_id, count(*) AS n, array_to_string(list_sort(list(concat(seed, ':1'))), ',') AS s FROM z GROUP BY run_id) a USING (run_id) LEFT JOIN (SELECT run_id, array_to_string(list_sort(list(concat(code, ':', n))), ',') AS c FROM d GROUP BY run_id) b USING (run_id)""",
+        *_READ,
+    ),
+)
+def src_runtime_trace(spark, sf):
+    """One row a report: whether all was read, counts and digest."""
+    return runs.traces(*_imported(spark, sf))
+
+
 @query("src_fixture", oracle("SELECT 'documents' AS relation, count(*) AS n, count(DISTINCT source) AS groups FROM documents UNION ALL SELECT 'pages', count(*), count(DISTINCT split_part(url, '/', 3)) FROM pages"))
 def src_fixture(spark, sf):
     """The loaded tables with their sizes."""
