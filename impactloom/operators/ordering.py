@@ -68,22 +68,29 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], text: str,
     return rows.withColumn("truncated", ~fits).withColumn(text, F.when(fits, F.col(text)).otherwise(cut)).drop("__left")
 
 
-def within_limits(df: DataFrame, by: list[str], order: list[str], size: str, files: int, total: int) -> DataFrame:
-    """Rows in order with ``kept``: false from the first on that passes the number of files or the total size.
+def running_counts(df: DataFrame, by: list[str], order: list[str], counters: dict[str, Column]) -> DataFrame:
+    """Rows with the running sum of each counter over their group, in order; null counts as 0.
 
-    Rows are sorted in ranges, so a large group lies in many of them; sums run inside a range, and what a group has in
-    earlier ranges is added.  Only one group of a range can have begun before it.
+    One pass for all counters: rows are sorted in ranges, so a large group lies in many of them; sums run inside a range, and
+    what a group has in earlier ranges is added.  Only one group of a range can have begun before it.  Rows that tie in
+    ``order`` share a range's sorting, so ``order`` should tell rows apart.
     """
-    ranged = cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    rows = df.select(*df.columns, *[F.coalesce(c, F.lit(0)).alias(f"__{n}") for n, c in counters.items()])
+    ranged = cut(rows.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = ranged.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum(size), F.lit(0)).alias("__s"))
+    parts = ranged.groupBy("__part", *by).agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in counters])
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select(F.col("__part").alias("__of"), *[F.col(c).alias(f"__by_{c}") for c in by], F.sum("__n").over(earlier).alias("__n"), F.sum("__s").over(earlier).alias("__s")).where("__n is not null")
+    first = next(iter(counters))
+    before = parts.select(F.col("__part").alias("__of"), *[F.col(c).alias(f"__by_{c}") for c in by], *[F.sum(f"__{n}").over(earlier).alias(f"__before_{n}") for n in counters]).where(F.col(f"__before_{first}").isNotNull())
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("__part") == F.col("__of"))
-    rows = ranged.join(F.broadcast(before), same, "left")  # a row for each range at most
-    n, s = (F.coalesce(c, F.lit(0)) for c in ("__n", "__s"))
-    kept = (F.count(F.lit(1)).over(w) + n <= files) & (F.coalesce(F.sum(size).over(w), F.lit(0)) + s <= total)
-    return rows.withColumn("kept", kept).select(*df.columns, "kept")
+    joined = ranged.join(F.broadcast(before), same, "left")  # a row for each range at most
+    return joined.select(*df.columns, *[(F.sum(f"__{n}").over(w) + F.coalesce(f"__before_{n}", F.lit(0))).alias(n) for n in counters])
+
+
+def within_limits(df: DataFrame, by: list[str], order: list[str], size: str, files: int, total: int) -> DataFrame:
+    """Rows in order with ``kept``: false from the first on that passes the number of files or the total size."""
+    counted = running_counts(df, by, order, {"__files": F.lit(1), "__bytes": F.col(size)})
+    return counted.select(*df.columns, ((F.col("__files") <= files) & (F.col("__bytes") <= total)).alias("kept"))
 
 
 def interleaved(df: DataFrame, by: list[str], lists: list[str], column: str, order: list[str], n: int) -> DataFrame:

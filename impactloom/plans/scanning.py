@@ -53,6 +53,27 @@ def src_enum(spark, sf):
     return _enumerated(spark, sf).select("doc_id", "reason")
 
 
+_COUNTED = _REASONS.replace("coalesce(r, CASE", "r AS own, coalesce(r, CASE").replace(
+    "AS reason FROM", "AS reason, count(*) FILTER (r IS NULL) OVER w AS n, coalesce(sum(size) FILTER (r IS NULL) OVER w, 0) AS b, count(*) FILTER (r IS NULL AND regexp_matches(lower(path), '[.]tsx?$')) OVER w AS t FROM"
+)
+_STOPS = "SELECT *, CASE WHEN own IS NULL THEN CASE WHEN n > 40 THEN 'FILE_LIMIT_EXCEEDED' WHEN b > 2500000 THEN 'REPO_SIZE_LIMIT_EXCEEDED' WHEN t > 18 THEN 'TS_FILE_LIMIT_EXCEEDED' END END AS stop FROM e"
+
+
+@query(
+    "src_enum_limits",
+    oracle(
+        """SELECT repository, count(stop) = 0 AS complete, arg_min(stop, (path, doc_id)) FILTER (stop IS NOT NULL) AS stopped_by, arg_min(path, (path, doc_id)) FILTER (stop IS NOT NULL) AS path,
+ coalesce(max(n) FILTER (ok), 0) AS n_read, coalesce(max(b) FILTER (ok), 0)::BIGINT AS bytes_read, coalesce(max(t) FILTER (ok), 0) AS typescript_read FROM (SELECT *, own IS NULL AND stop IS NULL AS ok FROM x) y GROUP BY repository""",
+        _F,
+        ("e", _COUNTED),
+        ("x", _STOPS),
+    ),
+)
+def src_enum_limits(spark, sf):
+    """Where the enumeration of each repository stops, by three limits counted in one pass."""
+    return s.stops(s.enumerated(files(spark, sf), 40, 2_500_000, 18, ("path", "doc_id")), ("path", "doc_id"))
+
+
 @query("agg_skip", oracle("SELECT repository, reason, count(*) AS n, list_sort(list_distinct(list(path)))[1:100] AS samples FROM e WHERE reason IS NOT NULL GROUP BY repository, reason", _F, ("e", _REASONS)))
 def agg_skip(spark, sf):
     return s.skip_summary(_enumerated(spark, sf))

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookup import first_match, lookup
-from ..operators.ordering import margin, within_limits
+from ..operators.ordering import margin, running_counts, within_limits
 
 # Folders and endings that are never read, and limits.
 IGNORED_FOLDERS = [".git", "node_modules", "dist", "build", "coverage", ".next", ".turbo", ".cache", "vendor", "tmp", "out", "target", ".idea", ".vscode", ".mvn", ".gradle"]
 IGNORED_ENDINGS = [".min.js", ".map", ".lock", ".zip", ".tar", ".gz", ".7z", ".exe", ".dll", ".so", ".dylib", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".csv"]
 LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml"]
-MAX_FILES, MAX_FILE_BYTES, MAX_BYTES = 10_000, 1 << 20, 100 << 20
+MAX_FILES, MAX_TYPESCRIPT, MAX_FILE_BYTES, MAX_BYTES = 10_000, 2_000, 1 << 20, 100 << 20
+# Codes of the limits, in the order in which a file is held against them.
+LIMIT_CODES = {"files": "FILE_LIMIT_EXCEEDED", "bytes": "REPO_SIZE_LIMIT_EXCEEDED", "typescript": "TS_FILE_LIMIT_EXCEEDED"}
 SNIFFED, CONTROL_SHARE = 8192, 0.3
 # Path terms of domains.
 DOMAIN_TERMS = {
@@ -77,11 +79,35 @@ def skip_reason(path: Column, size: Column, binary: Column) -> Column:
     )
 
 
-def enumerated(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files with the reason why they are skipped (null: read); the limits hold per repository in the order of paths."""
+def counted(files: DataFrame, order: list[str]) -> DataFrame:
+    """Files with ``reason`` (null: read, if no limit stops it) and the running ``files``, ``bytes`` and ``typescript`` of their repository.
+
+    Files that are skipped for what they are count for nothing, and so have the counts of the file before them.
+    """
     rows = files.withColumn("reason", skip_reason(F.col("path"), F.col("size"), F.col("binary")))
-    fine = within_limits(rows.where("reason is null"), ["repository"], ["path"], "size", max_files, max_bytes)
-    return rows.where("reason is not null").unionByName(fine.withColumn("reason", F.when(~F.col("kept"), "REPO_LIMIT_EXCEEDED")).drop("kept"))
+    reads = F.col("reason").isNull()
+    script = F.lower("path").rlike("\\.tsx?$")
+    counters = {"files": reads.cast("long"), "bytes": F.when(reads, F.col("size")), "typescript": (reads & script).cast("long")}
+    return running_counts(rows, ["repository"], order, counters)
+
+
+def enumerated(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, max_typescript: int = MAX_TYPESCRIPT, order: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Files with the reason why they are skipped (null: read); the limits hold per repository in the order of paths.
+
+    ``stopped_by`` is the code of the first limit that a file passes; from the first such file on nothing is read.
+    """
+    most = {"files": max_files, "bytes": max_bytes, "typescript": max_typescript}
+    rows = counted(files, list(order)).withColumn("stopped_by", F.when(F.col("reason").isNull(), first_match([(F.col(c) > n, LIMIT_CODES[c]) for c, n in most.items()])))
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("stopped_by").isNotNull(), "REPO_LIMIT_EXCEEDED")))
+
+
+def stops(files: DataFrame, order: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(repository, complete, stopped_by, path, n_read, bytes_read, typescript_read) from ``enumerated``: the first limit that
+    stopped a repository, at which file, and what had been read by then."""
+    stopped, read = F.col("stopped_by").isNotNull(), F.col("reason").isNull()
+    first = F.min(F.when(stopped, F.struct(*order, F.col("stopped_by").alias("by"), F.col("path").alias("at"))))
+    out = files.groupBy("repository").agg(first.alias("f"), *[F.coalesce(F.max(F.when(read, F.col(c))), F.lit(0)).alias(f"{c}_read") for c in ("files", "bytes", "typescript")])
+    return out.select("repository", F.col("f").isNull().alias("complete"), F.col("f.by").alias("stopped_by"), F.col("f.at").alias("path"), F.col("files_read").alias("n_read"), "bytes_read", "typescript_read")
 
 
 def skip_summary(files: DataFrame, samples: int = 100) -> DataFrame:
