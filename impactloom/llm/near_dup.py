@@ -228,16 +228,19 @@ class _Linker:
             form = F.coalesce("template", F.array().cast("array<bigint>"))
             apart = own.join(template, "group", "left").select("group", "set_id", "n", F.array_except("shingles", form).alias("more"), F.array_except(form, "shingles").alias("lacks"))
             apart = cut(apart.withColumn("d", F.size("more") + F.size("lacks")).withColumn("e", F.col("d") * both - F.col("n") * less))
-            best = cut(apart.groupBy("group").agg(F.min(F.struct("e", "set_id")).alias("best"), F.count_if(F.col("e") <= 0).alias("core"), F.count(F.lit(1)).alias("m")))
-            told = join_small(apart, best, ["group"]).select(
+            best = apart.groupBy("group").agg(F.min(F.struct("e", "set_id")).alias("best"))
+            near = (F.col("best.e") <= 0) & (F.col("e") + F.col("best.e") <= 0)
+            rated = cut(join_small(apart, cut(best), ["group"]).withColumn("near", near))
+            taken = cut(rated.groupBy("group").agg((F.count_if("near") * 4 >= F.count(F.lit(1))).alias("split")))
+            told = join_small(rated, taken, ["group"]).select(
                 "group",
                 "set_id",
                 "n",
                 "d",
                 "e",
                 F.col("best.set_id").alias("centre"),
-                ((F.col("best.e") <= 0) & (F.col("e") + F.col("best.e") <= 0)).alias("near"),
-                (F.col("core") * 4 >= F.col("m")).alias("split"),
+                "near",
+                "split",
                 F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("best.e")) / (2.0 * both) - F.lit(1e-9))).alias("least"),
                 "more",
                 "lacks",
@@ -264,12 +267,13 @@ class _Linker:
         first = listed.select(*of, alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), length)).alias("i", "x"))
         prefix = cut(first.select(*of, F.col("x.token").alias("token"), F.col("x.lacking").alias("lacking"), (F.col("i") + F.col("alone") + 1).alias("place")))
         on = ["group", "token", "lacking"]
-        side = ["set_id", "n", "d", "e", "place"]
+        side = ["set_id", "n", "d", "e", "near", "place"]
         x = prefix.where("NOT (split AND near)").select(*on, "split", *[F.col(c).alias(f"x_{c}") for c in side])
         y = prefix.where("NOT split OR near").select(*on, *[F.col(c).alias(f"y_{c}") for c in side])
         most = F.lit(1) + F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place"))
         enough = most * (2 * (100 + self.percent)) >= F.col("x_e") + F.col("y_e")
-        once = F.col("split") | (F.col("x_set_id") < F.col("y_set_id"))
+        # Two that are near are linked by way of the centre, whatever they have in common.
+        once = F.col("split") | ((F.col("x_set_id") < F.col("y_set_id")) & ~(F.col("x_near") & F.col("y_near")))
         met = x.join(y, on).where(once & (F.col("x_set_id") != F.col("y_set_id")) & enough & self.near_size("x_n", "y_n"))
         swap = F.col("x_set_id") > F.col("y_set_id")
         ends = [F.when(swap, F.col(f"{u}_{c}")).otherwise(F.col(f"{v}_{c}")).alias(to) for c, u, v, to in (("set_id", "y", "x", "a"), ("set_id", "x", "y", "b"), ("n", "y", "x", "na"), ("n", "x", "y", "nb"))]

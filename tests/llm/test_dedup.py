@@ -106,6 +106,19 @@ def test_groups_of_copies_and_variants_lose_no_link(spark, monkeypatch):
         assert verified < len(docs) * 20
 
 
+def test_variants_that_share_edits_are_linked_by_way_of_the_centre(spark, monkeypatch):
+    """Three of a few edits in each copy: few are close to the form alone, all are by way of it, and they share differences."""
+    from itertools import combinations
+
+    base, met, across = [f"w{i}" for i in range(150)], [], near_dup._Linker.across
+    monkeypatch.setattr(near_dup._Linker, "across", lambda self, told, often: (met.append(across(self, told, often).count()), across(self, told, often))[1])
+    edits = combinations(range(6, 126, 12), 3)
+    docs = list(enumerate([" ".join(base), *(" ".join(f"x{i}" if i in e else w for i, w in enumerate(base)) for e in edits)]))
+    got, _ = candidates(spark, monkeypatch, docs, 5, 80)
+    assert got == brute_components(docs, 5, 80)
+    assert met and sum(met) < len(docs)
+
+
 def test_near_distinct_rows_tell_rows_apart_by_identifier_and_text(spark):
     near, other = PROSE + " today", "completely different words stand here so that nothing is alike at all in this one text"
     rows = [(1, PROSE), (None, near), (None, other), (7, PROSE + " now"), (7, other + " x"), (8, ""), (8, ""), (9, None), (3, LONG), (3, LONG)]
