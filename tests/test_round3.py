@@ -37,3 +37,17 @@ def test_copies_from_several_old_artifacts_are_all_stored(spark):
 def test_domains_are_read_from_all_paths(spark):
     paths = [("r", f"a{i:04}.ts") for i in range(300)] + [("r", "z/booking.ts"), ("r", "z/reservation.ts")]
     assert scan.domains(spark.createDataFrame(paths, "repository string, path string")).collect()[0]["domain"] == "BOOKING"
+
+
+def test_tokens_of_many_files_are_dealt_by_their_number(spark, monkeypatch):
+    from impactloom.sources import spans
+
+    files = spark.createDataFrame([(f"f{i}.ts", "/* " + "x\n" * 50 + "*/\nconst a = 1") for i in range(40)], "path string, content string")
+    whole = sorted(map(tuple, spans.tokens(files).select("path", "i", "t", "start", "line").collect()))
+    assert whole[:2] == [("f0.ts", 1, "const", 106, 52), ("f0.ts", 2, "a", 112, 52)]
+    monkeypatch.setattr(spans, "FILES_A_TASK", 10)
+    assert spans.dealt(files).rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, spans.tokens(files).select("path", "i", "t", "start", "line").collect())) == whole
+    # Sorted for their places are lengths, not the texts of comments.
+    plan = spans.lexed(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "whole" not in plan[: plan.index("Window")]
