@@ -184,9 +184,9 @@ RULES = [
     ("beerware-notice", "Beerware", ["beerware"]),
 ]
 # Every known sentence has one of these; texts with none are not searched further.
-ANCHORS = ["licens", "licenc", "permi", "warrant", "software", "distribut", "copyright", "advertising", "misrepresented", "retain"]
+ANCHORS = ["licens", "licenc", "permi", "warrant", "software", "distribut", "copyright", "advertising", "misrepresented", "retain", "fuck"]
 #: The same of two words and more: a frequent word of them, and the words with anything between, as lines may be broken there.
-LONG_ANCHORS = [("domain", "public[^a-z0-9]+domain"), ("want", "you[^a-z0-9]+want[^a-z0-9]+to")]
+LONG_ANCHORS = [("domain", "public[^a-z0-9]+domain")]
 _END = "[.!?:;]+[ \\t\\n\\x0B\\f\\r]+"
 _MARK, _LINE = "\x01", "\x02"
 
