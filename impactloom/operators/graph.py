@@ -201,62 +201,81 @@ def impact_graph(analyses: DataFrame, links: DataFrame, edges: DataFrame, insigh
     """
     room, by = max_nodes - 2, ["analysis_id"]
     best = links.groupBy("analysis_id", "artifact_id").agg(F.max(F.struct("score", (-F.col("link_id")).alias("l"))).alias("b"))
-    artifacts = cut(top_per_group(best, by, [F.col("b").desc()], room).select("analysis_id", "artifact_id"))
-    taken = analyses.select("analysis_id").join(artifacts.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n")), "analysis_id", "left").fillna(0)
-    # Only the first edges of an artifact can be among the first of an analysis, so hubs do not multiply.
-    out = top_per_group(edges, ["from_id"], [F.col("to_id"), F.col("type")], max_edges).withColumn("artifact_id", F.col("from_id"))
-    back = top_per_group(edges, ["to_id"], [F.col("from_id"), F.col("type")], max_edges).withColumn("artifact_id", F.col("to_id"))
-    near = artifacts.join(out.unionByName(back), "artifact_id").select("analysis_id", "from_id", "to_id", "type").distinct()
-    order = Window.partitionBy("analysis_id")
-    near = near.withColumn("place", F.row_number().over(order.orderBy("from_id", "to_id", "type"))).where(F.col("place") <= max_edges)
-    deps = cut(near.join(taken, "analysis_id").where(F.col("place") <= max_edges - 1 - F.col("n")))
-    ends = deps.select("analysis_id", "n", F.explode(F.array(F.struct(F.col("from_id").alias("artifact_id"), (2 * F.col("place")).alias("o")), F.struct(F.col("to_id").alias("artifact_id"), (2 * F.col("place") + 1).alias("o")))).alias("e"))
-    fresh = ends.select("analysis_id", "n", "e.*").join(artifacts, ["analysis_id", "artifact_id"], "left_anti").groupBy("analysis_id", "n", "artifact_id").agg(F.min("o").alias("o"))
-    fresh = cut(fresh.withColumn("r", F.row_number().over(order.orderBy("o"))).where(F.col("r") <= room - F.col("n")).select("analysis_id", "artifact_id"))
-    counts = [deps.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("d")), fresh.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("f"))]
-    for c in counts:
-        taken = taken.join(c, "analysis_id", "left").fillna(0)
+    artifacts = top_per_group(best, by, [F.col("b").desc()], room).select("analysis_id", "artifact_id")
+
+    def listed(at: str, far: str) -> DataFrame:
+        """(artifact_id, ``far``): the other ends of an artifact's edges, by type; only its first can be among the first of an analysis, so hubs do not multiply."""
+        first = top_per_group(edges, [at], [F.col(far), F.col("type")], max_edges)
+        lists = first.groupBy(F.col(at).alias("artifact_id")).agg(F.collect_list(F.struct("type", F.col(far).alias("id"))).alias("l"))
+        of = lambda t: F.transform(F.filter("l", lambda x: x["type"].eqNullSafe(t)), lambda x: x["id"])
+        return lists.select("artifact_id", F.transform(F.array_distinct(F.transform("l", lambda x: x["type"])), lambda t: F.struct(t.alias("type"), of(t).alias("ids"))).alias(far))
+
+    # An analysis is one row with its bounded lists: its edges are shuffled once, as lists of other ends, and are not written.
+    own = artifacts.join(listed("from_id", "to_id"), "artifact_id", "left").join(listed("to_id", "from_id"), "artifact_id", "left")
+    own = own.groupBy("analysis_id").agg(F.collect_list(F.struct("artifact_id", *[F.coalesce(c, F.array()).alias(c) for c in ("to_id", "from_id")])).alias("own"))
+
+    def edges_of(far: str):
+        def one(a, i, t):
+            start, end = (a["artifact_id"], i) if far == "to_id" else (i, a["artifact_id"])
+            return F.struct(start.alias("from_id"), end.alias("to_id"), t.alias("type"))
+
+        return F.flatten(F.transform("own", lambda a: F.flatten(F.transform(a[far], lambda g: F.transform(g["ids"], lambda i: one(a, i, g["type"]))))))
+
+    near = F.sort_array(F.concat(edges_of("to_id"), edges_of("from_id")))
+    rows = analyses.select("analysis_id", "requirement_id").join(own, "analysis_id", "left").withColumn("own", F.coalesce("own", F.array()))
+    rows = rows.select("analysis_id", "requirement_id", F.transform("own", lambda a: a["artifact_id"]).alias("artifacts"), near.alias("near"))
+    # Both ends of an edge may be artifacts of the analysis.
+    once = F.filter("near", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("near", i - 1)))
+    n, n_deps, n_fresh = F.size("artifacts"), F.size("deps"), F.size("fresh")
+    rows = rows.withColumn("near", once).withColumn("deps", F.slice("near", F.lit(1), F.greatest(max_edges - 1 - n, F.lit(0)))).drop("near")
+    ends = F.flatten(F.transform("deps", lambda d: F.array(d["from_id"], d["to_id"])))
+    rows = rows.withColumn("fresh", F.slice(F.array_except(ends, "artifacts"), F.lit(1), room - n))
+
     state = F.when(F.col("review_status") == "CONFIRMED", 0).when(F.col("review_status") == "NEEDS_REVIEW", 1).otherwise(2)
     told = top_per_group(insights, by, [state, F.col("insight_id")], room)
-    told = told.withColumn("place", F.row_number().over(order.orderBy(state, "insight_id"))).join(taken, "analysis_id").where(F.col("place") <= room - F.col("n") - F.col("f"))
-    shown = artifacts.unionByName(fresh)
-    on = told.select("analysis_id", "insight_id").join(proofs, "insight_id").join(shown, ["analysis_id", "artifact_id"], "left_semi").groupBy("insight_id").agg(F.min_by("artifact_id", "evidence_id").alias("on"))
-    told = cut(told.join(on, "insight_id", "left"))
+    told = told.withColumn("place", F.row_number().over(Window.partitionBy("analysis_id").orderBy(state, "insight_id"))).select("analysis_id", "insight_id", "insight_type", "place")
+    room_left = F.col("place") <= room - F.col("n") - F.col("f")
+    counts = [n.alias("n"), n_deps.alias("d"), n_fresh.alias("f")]
 
-    def name(kind: str, c: str):
+    def name(kind: str, c):
         return F.concat(F.lit(f"{kind}-"), c)
 
-    def nodes_of(df: DataFrame, node, node_type, source: str, rank: int) -> DataFrame:
-        return df.select("analysis_id", node.alias("node"), node_type.alias("node_type"), F.lit(source).alias("source"), F.lit(rank).alias("rank"))
+    def node(of, node_type: str, source: str, rank: int):
+        return F.struct(of.alias("node"), F.lit(node_type).alias("node_type"), F.lit(source).alias("source"), F.lit(rank).alias("rank"))
 
-    def edges_of(df: DataFrame, source, target, kind, source_kind: str) -> DataFrame:
-        return df.select("analysis_id", source.alias("source"), target.alias("target"), kind.alias("type"), F.lit(source_kind).alias("source_kind"))
+    def edge(source, target, kind, source_kind: str):
+        return F.struct(source.alias("source"), target.alias("target"), kind.alias("type"), F.lit(source_kind).alias("source_kind"))
 
+    root = name("analysis", F.col("analysis_id"))
     insight_type = F.col("insight_type")
     node_type = F.when(insight_type.isin("UNKNOWN", "QA_SCENARIO"), insight_type).otherwise(F.lit("INSIGHT"))
     told_by = F.when(insight_type == "UNKNOWN", "RAISES_UNKNOWN").when(insight_type == "QA_SCENARIO", "SUGGESTS_QA").otherwise("EVIDENCES")
     size = links.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("l")), insights.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("i"))
     whole = analyses.select("analysis_id").join(size[0], "analysis_id", "left").join(size[1], "analysis_id", "left").fillna(0)
     truncated = whole.select("analysis_id", (F.col("l") + F.col("i") + 2 > max_nodes).alias("truncated"))
-    nodes = merged(
-        [
-            nodes_of(analyses, name("req", "requirement_id"), F.lit("REQUIREMENT"), "ROOT", 0),
-            nodes_of(analyses, name("analysis", "analysis_id"), F.lit("ANALYSIS"), "ROOT", 1),
-            nodes_of(artifacts, name("artifact", "artifact_id"), F.lit("ARTIFACT"), "TRACEABILITY", 2),
-            nodes_of(fresh, name("artifact", "artifact_id"), F.lit("ARTIFACT"), "DEPENDENCY", 4),
-            nodes_of(told, name("insight", "insight_id"), node_type, "INSIGHT", 3),
-        ]
-    ).join(truncated, "analysis_id")
-    tests = F.col("type") == "TESTS"  # shown from what is tested to its test
-    drawn = told.where(F.col("place") <= max_edges - 1 - F.col("n") - F.col("d"))
-    shown_edges = merged(
-        [
-            edges_of(analyses, name("req", "requirement_id"), name("analysis", "analysis_id"), F.lit("AFFECTS"), "ROOT_LINK"),
-            edges_of(artifacts, name("analysis", "analysis_id"), name("artifact", "artifact_id"), F.lit("AFFECTS"), "TRACEABILITY"),
-            edges_of(deps, F.when(tests, name("artifact", "to_id")).otherwise(name("artifact", "from_id")), F.when(tests, name("artifact", "from_id")).otherwise(name("artifact", "to_id")), F.col("type"), "DEPENDENCY"),
-            edges_of(drawn, F.coalesce(name("artifact", "on"), name("analysis", "analysis_id")), name("insight", "insight_id"), told_by, "EVIDENCE_LINK"),
-        ]
+    listed_nodes = F.concat(
+        F.array(node(name("req", F.col("requirement_id")), "REQUIREMENT", "ROOT", 0), node(root, "ANALYSIS", "ROOT", 1)),
+        F.transform("artifacts", lambda a: node(name("artifact", a), "ARTIFACT", "TRACEABILITY", 2)),
+        F.transform("fresh", lambda a: node(name("artifact", a), "ARTIFACT", "DEPENDENCY", 4)),
+    )
+    told_nodes = told.join(rows.select("analysis_id", *counts), "analysis_id").where(room_left).select("analysis_id", name("insight", F.col("insight_id")).alias("node"), node_type.alias("node_type"), F.lit("INSIGHT").alias("source"), F.lit(3).alias("rank"))
+    nodes = rows.select("analysis_id", F.explode(listed_nodes).alias("x")).select("analysis_id", "x.*").unionByName(told_nodes).join(truncated, "analysis_id")
+
+    def drawn(d):  # tests are shown from what is tested to its test
+        a, b, tests = name("artifact", d["from_id"]), name("artifact", d["to_id"]), d["type"] == "TESTS"
+        return edge(F.when(tests, b).otherwise(a), F.when(tests, a).otherwise(b), d["type"], "DEPENDENCY")
+
+    listed_edges = F.concat(
+        F.array(edge(name("req", F.col("requirement_id")), root, F.lit("AFFECTS"), "ROOT_LINK")),
+        F.transform("artifacts", lambda a: edge(root, name("artifact", a), F.lit("AFFECTS"), "TRACEABILITY")),
+        F.transform("deps", drawn),
     )
+    # Insights hang on the shown artifact of their first evidence.
+    proven = told.join(proofs.select("insight_id", "evidence_id", "artifact_id"), "insight_id", "left").join(rows.select("analysis_id", *counts, F.concat("artifacts", "fresh").alias("shown")), "analysis_id")
+    proven = proven.where(room_left & (F.col("place") <= max_edges - 1 - F.col("n") - F.col("d"))).withColumn("on", F.when(F.array_contains("shown", F.col("artifact_id")), F.struct("artifact_id", "evidence_id")))
+    proven = proven.groupBy("analysis_id", "insight_id", "insight_type").agg(F.min_by("on.artifact_id", "on.evidence_id").alias("on"))
+    told_edges = proven.select("analysis_id", F.coalesce(name("artifact", F.col("on")), root).alias("source"), name("insight", F.col("insight_id")).alias("target"), told_by.alias("type"), F.lit("EVIDENCE_LINK").alias("source_kind"))
+    shown_edges = rows.select("analysis_id", F.explode(listed_edges).alias("x")).select("analysis_id", "x.*").unionByName(told_edges)
     return nodes, shown_edges
 
 

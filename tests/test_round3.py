@@ -51,3 +51,31 @@ def test_tokens_of_many_files_are_dealt_by_their_number(spark, monkeypatch):
     # Sorted for their places are lengths, not the texts of comments.
     plan = spans.lexed(files)._jdf.queryExecution().optimizedPlan().toString()
     assert "whole" not in plan[: plan.index("Window")]
+
+
+def test_edges_of_impact_graphs_are_shuffled_as_lists_and_not_written(spark, monkeypatch):
+    from impactloom.operators import graph as g
+    from __spark_entry__ import QUERIES
+
+    monkeypatch.setattr(g, "cut", lambda df: pytest.fail("written are all edges of all analyses"))
+    for name in ("gr_impact", "gr_impact_edges"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # Nothing is grouped or joined after the lists of an analysis are laid out as rows.
+        assert plan.count("Generate explode") == 1, name
+
+
+def test_ends_that_are_artifacts_themselves_bring_an_edge_once(spark):
+    from impactloom.operators import graph as g
+
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    links = table([(1, 1, 10, 0.5), (1, 2, 11, 0.9), (2, 3, 11, 0.1)], "analysis_id long, link_id long, artifact_id long, score double")
+    edges = table([(10, 11, "CALLS"), (11, 10, "TESTS"), (10, 11, "TESTS"), (11, 12, None)], "from_id long, to_id long, type string")
+    told = table([(2, 5, "CLAIM", "CONFIRMED"), (2, 6, "CLAIM", "REJECTED")], "analysis_id long, insight_id long, insight_type string, review_status string")
+    proofs = table([(5, 1, 99), (5, 2, 12), (5, 3, 10), (6, 1, None)], "insight_id long, evidence_id long, artifact_id long")
+    nodes, lines = g.impact_graph(table([(1, 7), (2, 8), (3, 9)], "analysis_id long, requirement_id long"), links, edges, told, proofs)
+    got = sorted((r["analysis_id"], r["source"], r["target"], r["type"] or "") for r in lines.where("source_kind IN ('DEPENDENCY', 'EVIDENCE_LINK')").collect())
+    first = [("artifact-10", "artifact-11", "CALLS"), ("artifact-10", "artifact-11", "TESTS"), ("artifact-11", "artifact-10", "TESTS"), ("artifact-11", "artifact-12", "")]
+    assert got == sorted([(a, *x) for a in (1, 2) for x in first] + [(2, "artifact-12", "insight-5", "EVIDENCES"), (2, "analysis-2", "insight-6", "EVIDENCES")])
+    assert sorted((r["analysis_id"], r["node"]) for r in nodes.where("rank = 4").collect()) == [(1, "artifact-12"), (2, "artifact-10"), (2, "artifact-12")]
