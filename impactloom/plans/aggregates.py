@@ -91,7 +91,9 @@ FROM (SELECT analysis_id, count(*) FILTER (item_type = 'INSIGHT') AS i, count(*)
     ),
 )
 def agg_reviewcov(spark, sf):
-    return r.review_coverage(r.gate_items(insights_graded(spark, sf), links_graded(spark, sf)))
+    """Counts of decisions, which do not ask for quality: no evidence is joined."""
+    ungraded = [view(spark, sf, n).withColumn("quality", F.lit(None).cast("string")) for n in ("v_insight", "v_link")]
+    return r.review_coverage(r.gate_items(*ungraded))
 
 
 _MATRIX = f"""SELECT j.run_id, j.analysis_id, j.status, j.decision, {', '.join(f"coalesce({k.lower()}, 0) AS {k.lower()}" for k in r.KIND_BUCKETS)}, coalesce(n, 0) AS evidence_count,

@@ -79,3 +79,10 @@ def test_ends_that_are_artifacts_themselves_bring_an_edge_once(spark):
     first = [("artifact-10", "artifact-11", "CALLS"), ("artifact-10", "artifact-11", "TESTS"), ("artifact-11", "artifact-10", "TESTS"), ("artifact-11", "artifact-12", "")]
     assert got == sorted([(a, *x) for a in (1, 2) for x in first] + [(2, "artifact-12", "insight-5", "EVIDENCES"), (2, "analysis-2", "insight-6", "EVIDENCES")])
     assert sorted((r["analysis_id"], r["node"]) for r in nodes.where("rank = 4").collect()) == [(1, "artifact-12"), (2, "artifact-10"), (2, "artifact-12")]
+
+
+def test_review_coverage_reads_no_evidence(spark):
+    from __spark_entry__ import QUERIES
+
+    plan = QUERIES["agg_reviewcov"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
