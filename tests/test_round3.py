@@ -86,3 +86,37 @@ def test_review_coverage_reads_no_evidence(spark):
 
     plan = QUERIES["agg_reviewcov"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_shared_words_are_counted_without_pairs(spark):
+    from impactloom.operators import retrieval
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    asked = [(i, r.sample(words, r.randint(0, 12)) or None) for i in range(15)]
+    held = [(i, r.sample(words + ["x"], r.randint(0, 12))) for i in r.sample(range(1000), 200)] + [(2000, None)]
+    q, a = spark.createDataFrame(asked, "request_id int, words array<string>"), spark.createDataFrame(held, "artifact_id long, words array<string>")
+    want = []
+    for i, w in asked:
+        counts = sorted((-len(set(w or ()) & set(v or ())), j) for j, v in held)
+        want += [(i, j, -n) for n, j in counts[:4] if n]
+    for limit in (100, 4):
+        found = retrieval.most_shared(q, a, 4, limit)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Join" not in retrieval.most_shared(q, a, 4)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_of_many_equal_vectors_are_the_smallest_identifiers(spark):
+    from impactloom.operators import retrieval
+
+    rows = [(i, i % 2, [0.1, 0.2, 0.7] if i % 3 else [0.1 * i, 1.0, -0.3]) for i in range(5_000)] + [(6_000, 0, [1.0, 2.0]), (6_001, 0, None), (6_002, 0, [0.0, 0.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "artifact_id long, snapshot_id int, embedding array<double>").repartition(3)
+    asked = [(i, 0 if i % 2 else None, [0.1, 0.2, 0.7]) for i in range(40)] + [(90, 0, [0.0, 0.0, 0.0]), (91, 1, [2.0, 4.0])]
+    got = {}
+    found = retrieval.nearest(chunks, spark.createDataFrame(asked, "query_id long, snapshot_id int, embedding array<double>"), 3)
+    for x in found.collect():
+        got.setdefault(x["query_id"], []).append((x["artifact_id"], x["similarity"]))
+    assert {i: sorted(j for j, _ in got[i]) for i in range(40)} == {i: [2, 4, 8] if i % 2 else [1, 2, 4] for i in range(40)}
+    assert sorted(got[90]) == [(0, None), (2, None), (4, None)] and 91 not in got
+    # Vectors meet in products of matrices, not one by one in expressions.
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
