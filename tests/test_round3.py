@@ -53,6 +53,21 @@ def test_tokens_of_many_files_are_dealt_by_their_number(spark, monkeypatch):
     assert "whole" not in plan[: plan.index("Window")]
 
 
+def test_lookups_of_tokens_are_dealt_by_the_number_of_files(spark, monkeypatch):
+    from impactloom.sources import spans, specs
+
+    files = spark.createDataFrame([(f"f{i}.spec.ts", f"describe('s', () => {{ it('a{i}', () => {{ expect(run({i})).toBe(1) }}) }})") for i in range(60)], "path string, content string")
+    monkeypatch.setattr(spans, "FILES_A_TASK", 10)
+    toks = spans.tokens(files)
+    for found in (specs.declarations(toks), specs.calls(specs.with_functions(toks))):
+        # Small files of many equal rows are neither broadcast nor put together in one task.
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.rdd.getNumPartitions() == 7
+    assert specs.declarations(toks).count() == 120
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert sorted((r["subject"], r["kind"]) for r in specs.assertions(files).collect()) == sorted((f"run({i})", "RETURN_VALUE") for i in range(60))
+
+
 def test_edges_of_impact_graphs_are_shuffled_as_lists_and_not_written(spark, monkeypatch):
     from impactloom.operators import graph as g
     from __spark_entry__ import QUERIES
