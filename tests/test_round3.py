@@ -27,6 +27,27 @@ def test_claims_make_no_pairs(spark, monkeypatch):
     assert QUERIES["jn_claims"](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_equal_ranges_are_joined_as_one_and_their_pairs_leave_in_order(spark, monkeypatch):
+    r = random.Random(6)
+    spans = [(r.choice("ab"), s, s + r.randint(0, 9), s - r.randint(0, 9), s + r.randint(5, 60)) for s in range(20)]
+    inner = [(f, n, s, e) for n, (f, s, e, _, _) in enumerate(r.sample(spans * 60, 1_200))] + [("a", None, 4, 5), ("a", None, 4, 5), (None, 1, 4, 5), ("a", 2, None, 5)]
+    outer = [(f, n, s, e) for n, (f, _, _, s, e) in enumerate(r.sample(spans * 60, 1_200))] + [("a", None, 3, 9), ("b", -1, 9, 3), ("a", -2, 0, 10**9)]
+    i = spark.createDataFrame(inner, "file string, inner_id long, start long, end long")
+    o = spark.createDataFrame(outer, "file string, outer_id long, start long, end long")
+    want = sorted(str((a[0], a[1], b[1])) for a in inner for b in outer if a[0] and a[0] == b[0] and None not in a[2:] and a[2] >= b[2] and a[3] <= b[3])
+    for size, pairs in ((7, 1_000), (j.LIST, j.PAIRS_A_TASK)):
+        monkeypatch.setattr(j, "LIST", size)
+        monkeypatch.setattr(j, "PAIRS_A_TASK", pairs)
+        assert sorted(str(tuple(x)) for x in j.contained(i, o, ["file"]).collect()) == want
+    # An outer_id stays for all the inner ones of a range, so that files of pairs, which grow with the square of the lines, are small.
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    ids = [x["outer_id"] for x in j.contained(i, o, ["file"]).collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sum(x != y for x, y in zip(ids, ids[1:])) < len(want) / 20
+    assert j.contained(i, o.limit(0), ["file"]).collect() == []
+
+
 def test_copies_from_several_old_artifacts_are_all_stored(spark):
     stored = spark.createDataFrame([(1, 0, 5), (2, 0, 5), (3, 0, 6), (9, 0, 7)], "artifact_id long, snapshot_id long, code long")
     plan = spark.createDataFrame([(1, 4, 0), (2, 4, 0), (3, 4, 0), (1, 9, 0)], "old_id long, artifact_id long, snapshot_id long")
