@@ -18,3 +18,13 @@ def test_artifacts_are_read_without_writing_or_joining_tokens(spark, monkeypatch
     assert (got["symbol"], got["route"], [tuple(p) for p in got["parameters"]]) == ("C.m", "g1", [("a", "A<B, D>", "a: A<B, D>"), ("b", "UNDECLARED", "b?")])
     assert [tuple(c)[:2] for c in got["conditions"]] == [("IF", "a"), ("SWITCH_CASE", "case 1: b;"), ("SWITCH_DEFAULT", "default: c")]
     assert [tuple(h)[:2] for h in got["handlers"]] == [("THROW", "throw b")]
+
+
+def test_behaviour_of_specs_has_all_kinds_of_claims(spark):
+    from __spark_entry__ import queries
+
+    found = queries()["src_jest_behav"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["kind"] for r in found} == {"SETUP_HOOK", "TEARDOWN_HOOK", "INPUT", "MOCK", "ACTION", "ASSERTION", "EXPECTED_OUTCOME"}
+    # Assertions know the call that they are about, outcomes their assertion; skipped and repeated cases state nothing.
+    assert any(r["invocation_start"] for r in found) and all((r["assertion_start"] is not None) == (r["kind"] == "EXPECTED_OUTCOME") for r in found)
+    assert not {r["title"] for r in found} & {"skipped", "twice"}
