@@ -206,20 +206,31 @@ def impact_graph(analyses: DataFrame, links: DataFrame, edges: DataFrame, insigh
     def listed(at: str, far: str) -> DataFrame:
         """(artifact_id, ``far``): the other ends of an artifact's edges, by type; only its first can be among the first of an analysis, so hubs do not multiply."""
         first = top_per_group(edges, [at], [F.col(far), F.col("type")], max_edges)
-        lists = first.groupBy(F.col(at).alias("artifact_id")).agg(F.collect_list(F.struct("type", F.col(far).alias("id"))).alias("l"))
-        of = lambda t: F.transform(F.filter("l", lambda x: x["type"].eqNullSafe(t)), lambda x: x["id"])
-        return lists.select("artifact_id", F.transform(F.array_distinct(F.transform("l", lambda x: x["type"])), lambda t: F.struct(t.alias("type"), of(t).alias("ids"))).alias(far))
+        lists = first.groupBy(F.col(at).alias("artifact_id")).agg(F.sort_array(F.collect_list(F.struct("type", F.col(far).alias("id")))).alias("l"))
+        # These lists are shuffled for each analysis of an artifact: types and how many ends they have, and ends as integers where they are small.
+        types, ids = F.transform("l", lambda x: x["type"]), F.transform("l", lambda x: x["id"])
+        small = F.coalesce(F.forall(ids, lambda i: i.between(-(1 << 31), (1 << 31) - 1)), F.lit(False))
+        counts = F.transform(F.array_distinct(types), lambda t: F.size(F.filter(types, lambda x: x.eqNullSafe(t))))
+        told = F.struct(F.array_distinct(types).alias("types"), counts.alias("counts"), F.when(small, F.transform(ids, lambda i: i.cast("int"))).alias("ints"), F.when(~small, ids).alias("longs"))
+        return lists.select("artifact_id", told.alias(far))
 
     # An analysis is one row with its bounded lists: its edges are shuffled once, as lists of other ends, and are not written.
     own = artifacts.join(listed("from_id", "to_id"), "artifact_id", "left").join(listed("to_id", "from_id"), "artifact_id", "left")
-    own = own.groupBy("analysis_id").agg(F.collect_list(F.struct("artifact_id", *[F.coalesce(c, F.array()).alias(c) for c in ("to_id", "from_id")])).alias("own"))
+    own = own.groupBy("analysis_id").agg(F.collect_list(F.struct("artifact_id", "to_id", "from_id")).alias("own"))
+    id_type = edges.schema["from_id"].dataType
+    no_edges = F.array().cast(f"array<struct<from_id: {id_type.simpleString()}, to_id: {id_type.simpleString()}, type: {edges.schema['type'].dataType.simpleString()}>>")
 
     def edges_of(far: str):
         def one(a, i, t):
             start, end = (a["artifact_id"], i) if far == "to_id" else (i, a["artifact_id"])
-            return F.struct(start.alias("from_id"), end.alias("to_id"), t.alias("type"))
+            return F.struct(start.cast(id_type).alias("from_id"), end.cast(id_type).alias("to_id"), t.alias("type"))
 
-        return F.flatten(F.transform("own", lambda a: F.flatten(F.transform(a[far], lambda g: F.transform(g["ids"], lambda i: one(a, i, g["type"]))))))
+        def drawn_from(a):
+            l = a[far]  # noqa: E741
+            types = F.flatten(F.zip_with(l["types"], l["counts"], F.array_repeat))
+            return F.coalesce(F.zip_with(F.coalesce(F.transform(l["ints"], lambda i: i.cast(id_type)), l["longs"]), types, lambda i, t: one(a, i, t)), no_edges)
+
+        return F.flatten(F.transform("own", drawn_from))
 
     near = F.sort_array(F.concat(edges_of("to_id"), edges_of("from_id")))
     rows = analyses.select("analysis_id", "requirement_id").join(own, "analysis_id", "left").withColumn("own", F.coalesce("own", F.array()))
